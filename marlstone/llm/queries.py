@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, packed_ids, quality, secrets, warc
+from marlstone.llm import bpe, html_main, packed_ids, quality, secrets, warc
 
 QUERIES = {
     "op2_bpe_round_trip": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_packed_ids": packed_ids.query,
     "op8_warc": warc.query,
     "op9_secret_scans": secrets.query,
+    "op10_html_main": html_main.query,
 }
 
 #: None of them can be said in SQL over whole tables in sensible time; tests/llm holds them against brute force.
