@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, html_main, packed_ids, quality, secrets, warc
+from marlstone.llm import bpe, html_main, packed_ids, quality, secrets, substrings, warc
 
 QUERIES = {
     "op2_bpe_round_trip": bpe.query,
     "op3_quality_rules": quality.query,
     "op6_packed_ids": packed_ids.query,
+    "op7_substring_dedup": substrings.query,
     "op8_warc": warc.query,
     "op9_secret_scans": secrets.query,
     "op10_html_main": html_main.query,
