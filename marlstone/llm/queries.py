@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, html_main, packed_ids, quality, secrets, substrings, warc
+from marlstone.llm import bpe, decontaminate, html_main, packed_ids, quality, secrets, substrings, warc
 
 QUERIES = {
     "op2_bpe_round_trip": bpe.query,
     "op3_quality_rules": quality.query,
+    "op5_benchmark_decontamination": decontaminate.query,
     "op6_packed_ids": packed_ids.query,
     "op7_substring_dedup": substrings.query,
     "op8_warc": warc.query,
