@@ -14,7 +14,8 @@ verified by the exact edit distance to the best stretch near the window.
 
 Only windows that can be near an item are embedded: by the q-gram lemma a
 stretch within k edits keeps n - 1 - 2k of the item's word pairs, so a window
-that begins there holds n - 1 - 3k pairs of the benchmark. This loses nothing.
+that begins there holds n - 1 - 3k pairs of items of that size. This loses
+nothing.
 
 Benchmark items are a stated query set: they are taken in blocks of bounded
 size, each block sent to all tasks and held against all rows in one scan.
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, item_id long, edits long, n_item_words long, start long, stop long"
 PLAIN = re.compile(r"[\W_]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-PAIR_BITS = 1 << 24
 BATCH_WORDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,14 +77,14 @@ def edit_distance(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def pair_slots(codes: np.ndarray) -> np.ndarray:
+def pair_slots(codes: np.ndarray, bits: int) -> np.ndarray:
     a, b = codes[:-1].astype(np.uint64), codes[1:].astype(np.uint64)
-    return ((a * MIX + b) * MIX >> np.uint64(40)).astype(np.int64)
+    return ((a * MIX + b) * MIX >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
 class Lsh:
-    """Walks and tables over items (sequences of codes above 0)."""
+    """Walks and tables over items (sequences of at least two codes above 0)."""
 
     items: list[np.ndarray]
     ids: list[list[int]]
@@ -96,40 +96,45 @@ class Lsh:
     most_walks: int = 32
     seed: int = 17
     walks: int = 0
-    keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     pairs: np.ndarray | None = None
+    pair_bits: int = 0
 
     def allowed(self, n: int) -> int:
         return int(self.share * n)
 
     def fit(self) -> Lsh:
-        self.pairs = np.zeros(PAIR_BITS, bool)
+        self.lengths = sorted({len(x) for x in self.items})
+        self.pair_bits = max(16, (32 * sum(map(len, self.items))).bit_length())
+        self.pairs = np.zeros(1 << self.pair_bits, np.uint64)  # a bit for each class of lengths that has the pair
         for x in self.items:
-            self.pairs[pair_slots(x)] = True
+            self.pairs[pair_slots(x, self.pair_bits)] |= np.uint64(1 << self.lengths.index(len(x)) % 64)
         rng = np.random.default_rng(self.seed)
-        trials = [self._edited(x, rng) for x in self.items for _ in range(max(2, 400 // max(1, len(self.items))))]
-        origin = [x for x in self.items for _ in range(max(2, 400 // max(1, len(self.items))))]
-        found = np.zeros(len(trials), bool)
-        while self.walks < self.most_walks and (not len(found) or found.mean() < self.recall):
-            for i, (a, b) in enumerate(zip(trials, origin, strict=True)):
-                if not found[i]:
-                    found[i] = (self._embed(b, np.zeros(1, np.int64), len(b), self.walks) == self._embed(np.append(a, np.zeros(len(b), np.int64)), np.zeros(1, np.int64), len(b), self.walks)).any()
+        each = max(2, 400 // max(1, len(self.items)))
+        origin = [i for i in range(len(self.items)) for _ in range(each)][:20_000]
+        trials, _, begin = self._rows([self._edited(self.items[i], rng) for i in origin])
+        flat, size, starts = self._rows(self.items)
+        found = np.zeros(len(origin), bool)
+        while len(origin) and self.walks < self.most_walks and found.mean() < self.recall:
+            keys = self._embed(flat, starts, size, self.walks)
+            found |= (self._embed(trials, begin, size[origin], self.walks) == keys[origin]).any(axis=1)
+            for t in range(self.tables_per_walk):
+                order = np.argsort(keys[:, t], kind="stable")
+                self.tables.append((keys[order, t], order))
             self.walks += 1
-            if not len(found):
-                break
-        by_length = defaultdict(list)
-        for i, x in enumerate(self.items):
-            by_length[len(x)].append(i)
-        for n, members in by_length.items():
-            flat = np.concatenate([self.items[i] for i in members])
-            starts = np.arange(len(members), dtype=np.int64) * n
-            rows = np.concatenate([self._embed(flat, starts, n, w) for w in range(self.walks)], axis=1)
-            self.keys[n] = []
-            for t in range(rows.shape[1]):
-                order = np.argsort(rows[:, t], kind="stable")
-                self.keys[n].append((rows[order, t], np.array(members)[order]))
         return self
 
+    @staticmethod
+    def _rows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All sequences in one array with room after each; their sizes and starts."""
+        size = np.array([len(x) for x in sequences], np.int64)
+        gap = int(size.max(initial=0)) * 2 + 2
+        starts = np.concatenate([[0], np.cumsum(size + gap)])[: len(size)]
+        flat = np.zeros(int((size + gap).sum()) + 1, np.int64)
+        for x, a in zip(sequences, starts.tolist(), strict=True):
+            flat[a : a + len(x)] = x
+        return flat, size, starts
+
     def _edited(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         y = x.tolist()
         for _ in range(self.allowed(len(x))):
@@ -142,45 +147,55 @@ class Lsh:
                 del y[at]
         return np.array(y, np.int64)
 
-    def _embed(self, codes: np.ndarray, starts: np.ndarray, n: int, walk: int) -> np.ndarray:
-        """Keys of the tables of one walk for the windows of n codes at ``starts``: the sampled outputs, hashed."""
-        rng = np.random.default_rng([self.seed, walk, n])
-        steps = 2 * n
-        factor, shift = rng.integers(0, 1 << 63, (2, steps)).astype(np.uint64)
-        picked = [sorted(rng.choice(steps, min(self.sampled, steps), replace=False).tolist()) for _ in range(self.tables_per_walk)]
-        keys = np.zeros((len(starts), self.tables_per_walk), np.uint64)
-        use = defaultdict(list)
-        for t, where in enumerate(picked):
-            for j in where:
-                use[j].append(t)
+    def _embed(self, codes: np.ndarray, starts: np.ndarray, size: np.ndarray, walk: int) -> np.ndarray:
+        """Keys of the tables of one walk for the windows of ``size`` codes at ``starts``: sampled outputs and size, hashed."""
+        rng = np.random.default_rng([self.seed, walk])
+        steps = 2 * int(size.max(initial=1))
+        share = rng.random((self.tables_per_walk, self.sampled))
+        factor = rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64)[np.arange(steps) % (1 << 16)]
+        said = np.empty((len(starts), steps), np.int32)
         at, last = np.zeros(len(starts), np.int64), len(codes) - 1
-        for j in range(max(use) + 1):
-            x = codes[np.minimum(starts + at, last)].astype(np.uint64)
-            x[(at >= n) | (starts + at > last)] = 0
-            for t in use.get(j, ()):
-                keys[:, t] = (keys[:, t] + x + np.uint64(1)) * MIX
-            at += (((x + np.uint64(1)) * (factor[j] | np.uint64(1)) + shift[j]) >> np.uint64(47) & np.uint64(1)).astype(np.int64)
+        for j in range(steps):
+            x = codes[np.minimum(starts + at, last)]
+            x[at >= size] = 0
+            said[:, j] = x
+            at += (((x.astype(np.uint64) + np.uint64(1)) * (factor[j] | np.uint64(1)) + factor[j]) >> np.uint64(47) & np.uint64(1)).astype(np.int64)
+        keys = np.empty((len(starts), self.tables_per_walk), np.uint64)
+        rows = np.arange(len(starts))
+        for t in range(self.tables_per_walk):
+            key = size.astype(np.uint64) * MIX
+            for s in share[t]:
+                key = (key + said[rows, (s * 2 * size).astype(np.int64)].astype(np.uint64) + np.uint64(1)) * MIX
+            keys[:, t] = key
         return keys
 
     def candidates(self, codes: np.ndarray) -> dict[int, list[int]]:
-        """Item -> starts of windows that agree with it in some table."""
-        held = np.concatenate([[0], np.cumsum(self.pairs[pair_slots(codes)] & (codes[:-1] > 0) & (codes[1:] > 0))]).astype(np.int32)
+        """Item -> starts of windows that agree with it in some table. ``codes`` ends in zeros, more than the longest item has words."""
+        marks = self.pairs[pair_slots(codes, self.pair_bits)]
+        marks[(codes[:-1] == 0) | (codes[1:] == 0)] = 0
+        where = np.flatnonzero(marks)
+        marks = marks[where]
+        starts, sizes = [], []
+        for c, n in enumerate(self.lengths):
+            need = max(1, n - 1 - 3 * self.allowed(n))
+            at = where[(marks >> np.uint64(c % 64) & np.uint64(1)).astype(bool)]
+            dense = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= n - 2)  # so many pairs in one window
+            spans = [np.arange(max(0, b - n + 2), a + 1) for a, b in zip(at[dense].tolist(), at[dense + need - 1].tolist(), strict=True)]
+            fit = np.unique(np.concatenate(spans)) if spans else np.empty(0, np.int64)
+            starts.append(fit)
+            sizes.append(np.full(len(fit), n, np.int64))
+        start, size = np.concatenate(starts), np.concatenate(sizes)
         out: dict[int, set[int]] = defaultdict(set)
-        for n, tables in self.keys.items():
-            need = max(1, n - 1 - 3 * self.allowed(n)) if n > 1 else 0
-            stop = np.minimum(np.arange(len(held)) + n - 1, len(held) - 1)
-            starts = np.flatnonzero(held[stop] - held >= need) if n > 1 else np.flatnonzero(codes > 0)
-            for part in np.array_split(starts, max(1, len(starts) // 200_000)):
-                if not len(part):
-                    continue
-                for w in range(self.walks):
-                    rows = self._embed(codes, part, n, w)
-                    for t in range(self.tables_per_walk):
-                        keys, members = tables[w * self.tables_per_walk + t]
-                        low, high = np.searchsorted(keys, rows[:, t]), np.searchsorted(keys, rows[:, t], "right")
-                        for i in np.flatnonzero(high > low):
-                            for m in members[low[i] : high[i]].tolist():
-                                out[m].add(int(part[i]))
+        for low in range(0, len(start), 50_000):
+            a, n = start[low : low + 50_000], size[low : low + 50_000]
+            for w in range(self.walks):
+                rows = self._embed(codes, a, n, w)
+                for t in range(self.tables_per_walk):
+                    keys, members = self.tables[w * self.tables_per_walk + t]
+                    left, right = np.searchsorted(keys, rows[:, t]), np.searchsorted(keys, rows[:, t], "right")
+                    for i in np.flatnonzero(right > left):
+                        for m in members[left[i] : right[i]].tolist():
+                            out[m].add(int(a[i]))
         return {m: sorted(s) for m, s in out.items()}
 
     def verify(self, item: int, codes: np.ndarray, starts: list[int]) -> tuple[int, int, int] | None:
@@ -190,17 +205,21 @@ class Lsh:
         best = None
         at = 0
         while at < len(starts):
-            first = last = starts[at]
+            first, begin = starts[at], at
+            last = first
             while at < len(starts) and starts[at] - last <= n:
                 last = starts[at]
                 at += 1
             low, high = max(0, first - 2 * k), min(len(codes), last + n + 2 * k)
+            if np.isin(codes[low:high], x).sum() < n - k:  # too few of its words for so few edits
+                continue
+            exact = next((s for s in starts[begin:at] if np.array_equal(codes[s : s + n], x)), None)
+            if exact is not None:
+                return 0, exact, exact + n
             edits, end = edit_distance(x, codes[low:high])
             if edits <= k and (best is None or edits < best[0]):
                 _, back = edit_distance(x[::-1], codes[max(0, low + end - n - k) : low + end][::-1])
                 best = (edits, low + end - back, low + end)
-                if not edits:
-                    break
         return best
 
 
@@ -260,7 +279,7 @@ def item_blocks(items: DataFrame, share: float, least_words: int, block_words: i
 
     for row in items.toLocalIterator():
         words = tuple(w for w in (plain_word(m[0]) for m in WORD.finditer(row.text or "")) if w)
-        if len(words) >= least_words:
+        if len(words) >= max(2, least_words):
             found.setdefault(words, []).append(row.item_id)
             held += len(words)
         if held >= block_words:
@@ -271,7 +290,7 @@ def item_blocks(items: DataFrame, share: float, least_words: int, block_words: i
         yield fitted()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 5, block_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 5, block_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, n_item_words, start, stop) of each leak; offsets in code points."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -57,7 +57,7 @@ def test_leaks_against_brute_force(spark):
         docs.append((d, rnd.choice([" ", "\n", " | "]).join(w.title() if rnd.random() < 0.2 else w + rnd.choice(["", ","]) for w in words)))
     docs.append(docs[5])
     want = {(d, i): e for d, t in docs for i, x in items if len(plain(x)) >= 5 and (e := slow_distance(plain(x), plain(t))) <= int(0.2 * len(plain(x)))}
-    got = find_leaks(spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), block_words=700).collect()
+    got = find_leaks(spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), share=0.2, block_words=700).collect()
     found = {(r.doc_id, r.item_id): r.edits for r in got}
     assert all(want[k] == e for k, e in found.items())
     assert len(want) > 60 and len(found) >= 0.95 * len(want)
