@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, decontaminate, html_main, packed_ids, quality, secrets, substrings, warc
+from marlstone.llm import bpe, decontaminate, html_main, jaccard, packed_ids, quality, secrets, substrings, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.query,
     "op2_bpe_round_trip": bpe.query,
     "op3_quality_rules": quality.query,
     "op5_benchmark_decontamination": decontaminate.query,
