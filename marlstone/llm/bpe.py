@@ -268,7 +268,8 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _digests(t: Tokenizer, text: str) -> tuple[int, str, str]:
+def _digests(t: Tokenizer, text: str, held: list[bytes] | None = None) -> tuple[int, str, str]:
+    """Number and digest of the ids, digest of their decoding; ``held`` gets the ids themselves."""
     ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
 
     def counted() -> Iterator[bytes]:
@@ -276,6 +277,8 @@ def _digests(t: Tokenizer, text: str) -> tuple[int, str, str]:
         for part in t.encode(text):
             ids.update(part)
             n += len(part) // 4
+            if held is not None:
+                held.append(part)
             yield part
 
     for s in t.decode(counted()):
@@ -283,17 +286,27 @@ def _digests(t: Tokenizer, text: str) -> tuple[int, str, str]:
     return n, ids.hexdigest(), out.hexdigest()
 
 
-def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count and digest of the ids of each text, and digest of their decoding."""
+def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Count and digest of the ids of each text, digest of their decoding, and at wish the ids."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            rows = [_digests(t, x or "") for x in batch.column(1).to_pylist()]
+            ids: list[np.ndarray] = []
+            rows = []
+            for x in batch.column(1).to_pylist():
+                held: list[bytes] | None = [] if with_ids else None
+                rows.append(_digests(t, x or "", held))
+                if with_ids:
+                    ids.append(np.frombuffer(b"".join(held), "<i4"))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if with_ids:
+                arrays.append(pa.array(ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(digest, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(digest, SCHEMA + ", ids array<int>" * with_ids)
 
 
 def bpe_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, item_id long, edits long, n_item_words long, start long, stop long"
 PLAIN = re.compile(r"[\W_]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BATCH_WORDS = 1_000_000
+BATCH_BYTES = 6_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -223,48 +223,54 @@ class Lsh:
         return best
 
 
-def _scan(lsh: Lsh, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = Codes(lsh.vocabulary)
-    gap = max(map(len, lsh.items)) + 1
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+class Scanner:
+    """Leaks of one block of items in texts."""
+
+    def __init__(self, lsh: Lsh) -> None:
+        self.lsh, self.codes = lsh, Codes(lsh.vocabulary)
+        self.gap = max(map(len, lsh.items)) + 1
 
-    def group(ids: list[int], texts: list[bytes]) -> list[tuple]:
+    def _group(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(number of the text, item, edits, first word, word after) of each leak."""
         parts, bounds, at = [], [], 0
         for t in texts:
             words = t.split()
-            c = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            c = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
             c = c[c >= 0]
             bounds.append((at, at + len(c)))
-            parts += [c, np.zeros(gap, np.int64)]
-            at += len(c) + gap
+            parts += [c, np.zeros(self.gap, np.int64)]
+            at += len(c) + self.gap
         every = np.concatenate(parts)
         edges = np.array([b for b, _ in bounds])
-        out = []
-        for item, starts in lsh.candidates(every).items():
+        for item, starts in self.lsh.candidates(every).items():
             owner = np.searchsorted(edges, starts, "right") - 1
             for d in np.unique(owner).tolist():
                 low, high = bounds[d]
                 mine = [s - low for s, o in zip(starts, owner.tolist(), strict=True) if o == d]
-                if hit := lsh.verify(item, every[low:high], mine):
-                    edits, a, b = hit
-                    spans = [m.span() for m in WORD.finditer(texts[d].decode("utf-8", "replace")) if plain_word(m[0])]
-                    out += [(ids[d], i, edits, len(lsh.items[item]), spans[a][0] if a < b else 0, spans[b - 1][1] if a < b else 0) for i in lsh.ids[item]]
-        return out
+                if hit := self.lsh.verify(item, every[low:high], mine):
+                    yield d, item, *hit
 
-    for batch in batches:
-        ids, texts, size, rows = [], [], 0, []
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+    def leaks(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, int, int]]:
+        """As ``_group``, over groups of texts of bounded size."""
+        numbers, size = [], 0
+        for i, t in enumerate(texts):
             if t:
-                ids.append(i)
-                texts.append(t)
+                numbers.append(i)
                 size += len(t)
-            if size > 6 * BATCH_WORDS:
-                rows += group(ids, texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            rows += group(ids, texts)
+            if numbers and (size > BATCH_BYTES or i + 1 == len(texts)):
+                yield from ((numbers[d], *rest) for d, *rest in self._group([texts[n] for n in numbers]))
+                numbers, size = [], 0
+
+
+def _scan(lsh: Lsh, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    scanner = Scanner(lsh)
+    for batch in batches:
+        ids, texts, rows = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), []
+        for d, item, edits, a, b in scanner.leaks(texts):
+            spans = [m.span() for m in WORD.finditer(texts[d].decode("utf-8", "replace")) if plain_word(m[0])]
+            rows += [(ids[d], i, edits, len(lsh.items[item]), spans[a][0] if a < b else 0, spans[b - 1][1] if a < b else 0) for i in lsh.ids[item]]
         columns = zip(*rows, strict=True) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def item_blocks(items: DataFrame, share: float, least_words: int, block_words: int) -> Iterator[Lsh]:
@@ -303,5 +309,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 5, block_words: int = 100_000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` into which no item leaks, with all their columns."""
+    at = docs.columns.index(text_col)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+    def keep(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(sent.value)
+        for batch in batches:
+            bad = {d for d, *_ in scanner.leaks(batch.column(at).cast(pa.binary()).to_pylist())}
+            yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+
+    for lsh in item_blocks(items, share, least_words, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(lsh)
+        docs = docs.mapInArrow(lambda batches, sent=sent: keep(batches, sent), docs.schema)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

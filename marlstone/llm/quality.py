@@ -96,5 +96,19 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, SCHEMA)
 
 
+def keep_good(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rolling = WordHashes(), Rolling(0x9E3779B97F4A7C15)
+        packer = zstandard.ZstdCompressor(level=bands.level)
+        for batch in batches:
+            good = [_judge(t or b"", hashes, rolling, packer, bands)[6] for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -128,6 +128,15 @@ def redact(text: F.Column, found: F.Column, mark: str = "[SECRET]") -> F.Column:
     return F.aggregate(found, state, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.lit(2147483647) - s["at"])))
 
 
+def redact_secrets(docs: DataFrame, reach: int = 256, text_col: str = "text") -> DataFrame:
+    """All rows of ``docs`` with their secrets replaced; texts without any stay as they are."""
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    found = secret_scan(keyed, reach, "_key", text_col).where(F.size("found") > 0).select(F.col("doc_id").alias("_key"), "found").dropDuplicates(["_key"])
+    marked = keyed.join(found, "_key", "left")
+    clean = F.when(F.col("found").isNotNull(), redact(F.col(text_col), F.col("found"))).otherwise(F.col(text_col))
+    return marked.withColumn(text_col, clean).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return secret_scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
