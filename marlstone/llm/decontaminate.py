@@ -179,7 +179,7 @@ class Lsh:
         for c, n in enumerate(self.lengths):
             need = max(1, n - 1 - 3 * self.allowed(n))
             at = where[(marks >> np.uint64(c % 64) & np.uint64(1)).astype(bool)]
-            dense = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= n - 2)  # so many pairs in one window
+            dense = np.flatnonzero(at[need - 1 :] - at[: max(0, len(at) - need + 1)] <= n - 2)  # so many pairs in one window
             spans = [np.arange(max(0, b - n + 2), a + 1) for a, b in zip(at[dense].tolist(), at[dense + need - 1].tolist(), strict=True)]
             fit = np.unique(np.concatenate(spans)) if spans else np.empty(0, np.int64)
             starts.append(fit)

@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -144,13 +145,12 @@ class ByteBpe:
     """Ids of texts by the tokenizers library, which is asked once for each piece that this process has not seen lately.
 
     The library splits a text at special tokens and then into pieces that it
-    merges each by itself. A run of characters other than white space, with one
-    space before it, holds whole pieces; so does each stretch of white space.
+    merges each by itself, so the ids of a text are those of its pieces.
     """
 
-    RUNS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+    # Fixed value: how the tokenizer splits texts, with White_Space spelled out.
     PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^WHITE\p{L}\p{N}]+|[WHITE]+(?![^WHITE])|[WHITE]+""".replace("WHITE", WHITE))
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -163,22 +163,16 @@ class ByteBpe:
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {k: np.array([i], "<u4").tobytes() for k, i in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.runs: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, texts: list[str]) -> None:
-        runs = {r for t in texts for r in self.RUNS.findall(t)}.difference(self.runs)
-        if len(self.runs) + len(runs) > self.LIMIT:
-            self.runs.clear()
-            runs = {r for t in texts for r in self.RUNS.findall(t)}
-        of = {r: self.PIECES.findall(r) for r in runs}
-        if len(self.pieces) > self.LIMIT:
-            self.pieces.clear()
-        new = list({p for ps in of.values() for p in ps}.difference(self.pieces))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        for r, ps in of.items():
-            self.runs[r] = b"".join(map(self.pieces.__getitem__, ps))
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, lists: list[list[str]]) -> None:
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        new = list(set().union(*lists).difference(self.known))
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[p] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, asking the library once for all new pieces of about a million characters."""
@@ -192,11 +186,18 @@ class ByteBpe:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        parts = [self.split.split(t) if self.split and "<|" in t else [t] for t in texts]
-        self._learn([s for p in parts for s in p[::2]])
-        known = self.runs.__getitem__
-        for p in parts:
-            out = b"".join(self.special[s] if k % 2 else b"".join(map(known, self.RUNS.findall(s))) for k, s in enumerate(p))
+        find, every, parts = self.PIECES.findall, [], []
+        for t in texts:
+            stretches = self.split.split(t) if self.split and "<|" in t else [t]
+            pieces = [find(x) for x in stretches[::2]]
+            every += pieces
+            parts.append((pieces, stretches[1::2]))
+        self._learn(every)
+        known = self.known.__getitem__
+        for pieces, specials in parts:
+            out = b"".join(map(known, pieces[0]))
+            for s, more in zip(specials, pieces[1:], strict=True):
+                out += self.special[s] + b"".join(map(known, more))
             yield np.frombuffer(out, "<u4")
 
 

@@ -3,16 +3,18 @@
 First pass. Each window of ``WINDOW`` words is counted under its anchor, the
 least hash among the ``GRAM``-word runs inside it: equal windows have equal
 anchors, so the count of an anchor is never below that of a window. Tasks
-count the anchors of their documents in sketches (two rows of cells, counts up
+count the anchors of their documents in sketches (four rows of cells, counts up
 to two), the sketches are merged cell by cell, and one bit a cell, "two or
-more", is sent to all tasks. Its size is fixed by ``cells`` (2**26: 16 MB), not by
+more", is sent to all tasks. Its size is fixed by ``cells`` (2**26: 32 MB), not by
 the data; a fuller sketch lets more windows through and never loses one.
 
-Second pass. Only windows whose anchor may be repeated go on. They are grouped
-exactly, by 128 bits of their word sequence, to the smallest document that has
-them, and joined back to find windows with a smaller holder. Documents with the
-same words are represented by the smallest of them, so groups of copies cost
-one member; a larger copy of 50 words or more loses all its words.
+Second pass. Only windows whose anchor may be repeated go on. Documents with
+the same words are represented by the smallest of them, so groups of copies
+cost one member; a larger copy of 50 words or more loses all its words. Among
+the representatives anchors are counted exactly first, and windows of those
+that are in two of them are grouped, by 128 bits of their word sequence, to the
+smallest document that has them, and joined back to find windows with a smaller
+holder.
 
 Defined results: null and empty texts have no words; texts under ``WINDOW`` words
 lose none. Rows that repeat an id and text are equal to each other and remove
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import Rolling, WordHashes, covered, materialize
 
 WINDOW, GRAM = 50, 25
-CELLS = 1 << 26
+CELLS, ROWS = 1 << 26, 4
 BLOCK = 1 << 16
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -57,9 +59,13 @@ class Windows:
 
 
 def cells_of(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
-    """Cells of the two rows of the sketch, the second after the first."""
-    mask = np.uint64(cells - 1)
-    return [anchors & mask, ((anchors * np.uint64(SECOND)) >> np.uint64(32) & mask) + np.uint64(cells)]
+    """Cells of each row of the sketch, the rows one after the other."""
+    mask, out, x = np.uint64(cells - 1), [], anchors
+    for row in range(ROWS):
+        out.append((x >> np.uint64(20) & mask) + np.uint64(row * cells))
+        x = x * np.uint64(SECOND)
+        x = x ^ x >> np.uint64(31)
+    return out
 
 
 def sketch(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
@@ -105,23 +111,20 @@ def sketch(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
 
     parts = docs.mapInArrow(count, "block long, once binary, twice binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
-    bits = np.zeros(2 * cells // 8, np.uint8)
-    for row in merged.collect():  # at most 2 * cells / 65536 rows of 8 KB
+    bits = np.zeros(ROWS * cells // 8, np.uint8)
+    for row in merged.collect():  # at most ROWS * cells / 65536 rows of 8 KB
         bits[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 
 
 def maybe_repeated(bits: np.ndarray, anchors: np.ndarray, cells: int) -> np.ndarray:
-    a, b = ((bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 for c in cells_of(anchors, cells))
-    return (a & b).astype(bool)
+    out = np.ones(len(anchors), bool)
+    for c in cells_of(anchors, cells):
+        out &= (bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
-def _runs(flags: np.ndarray) -> bytes:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return edges.astype("<i4").tobytes()
-
-
-PLAN = "doc_id long, n_words long, k1 long, k2 long, sha string, text string, runs binary"
+PLAN = "doc_id long, n_words long, k1 long, k2 long, sha string, text string, anchors array<long>"
 
 
 def dedup_substrings(docs: DataFrame, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,65 +142,76 @@ def dedup_substrings(docs: DataFrame, cells: int = CELLS, id_col: str = "doc_id"
                 joined = b" ".join(words)
                 digest = hashlib.sha256(joined)
                 k1, k2 = np.frombuffer(digest.digest()[:16], "<i8").tolist()
-                runs = None
+                seen = None
                 if len(words) >= WINDOW:
-                    flags = maybe_repeated(bits.value, windows.anchors(windows.words.of(words)), cells)
-                    runs = _runs(flags) if flags.any() else None
-                out.append((len(words), k1, k2, digest.hexdigest(), joined if runs else None, runs))
-            n, k1, k2, sha, text, runs = zip(*out, strict=True) if out else [()] * 6
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(runs, pa.binary())]
+                    seen = np.unique(windows.anchors(windows.words.of(words)))
+                    seen = seen[maybe_repeated(bits.value, seen, cells)].view(np.int64)
+                    seen = seen if len(seen) else None
+                out.append((len(words), k1, k2, digest.hexdigest(), joined if seen is not None else None, seen))
+            n, k1, k2, sha, text, anchors = zip(*out, strict=True) if out else [()] * 6
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(anchors, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PLAN.split(", ")])
 
     planned = materialize(rows.mapInArrow(plan, PLAN), "window-plan")
-    flagged = planned.where("runs is not null")
+    flagged = planned.where("anchors is not null")
     least = flagged.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    holders = flagged.join(least, ["k1", "k2"]).where(F.col("doc_id") == F.col("first")).select("doc_id", "k1", "k2", "text", "runs")
+    holders = flagged.select("doc_id", "k1", "k2", "anchors").join(least, ["k1", "k2"]).where(F.col("doc_id") == F.col("first"))
+    anchored = holders.select("doc_id", "k1", "k2", F.explode("anchors").alias("anchor"))
+    twice = materialize(anchored.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor"), "anchors")
+    mine = anchored.join(twice, "anchor").groupBy("k1", "k2", F.col("doc_id").alias("first")).agg(F.collect_list("anchor").alias("shared"))  # a document's own
+    sharing = flagged.select("doc_id", "k1", "k2", "text").join(mine, ["k1", "k2"]).where("doc_id = first").dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "k2", F.xxhash64("k1", "k2", "doc_id").alias("key"), "text", "shared")
+    sharing = materialize(sharing, "sharing")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
+
+        def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h1", "h2", "doc_id", "key", "at"])
+
         for batch in batches:
             parts: list[tuple] = []
             held = 0
-            for doc, k1, k2, text, runs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                h1, h2 = windows.ids(windows.words.of(text.encode().split()))
-                at = np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in np.frombuffer(runs, "<i4").reshape(-1, 2)])
-                parts.append((h1[at], h2[at], np.full(len(at), doc), np.full(len(at), k1), np.full(len(at), k2), at))
+            for doc, key, text, shared in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                hashes = windows.words.of(text.encode().split())
+                at = np.flatnonzero(np.isin(windows.anchors(hashes), np.array(shared, np.int64).view(np.uint64))).astype(np.int32)
+                h1, h2 = windows.ids(hashes)
+                parts.append((h1[at], h2[at], np.full(len(at), doc), np.full(len(at), key), at))
                 held += len(at)
                 if held > 200_000:
-                    yield _batch(parts)
+                    yield batch_of(parts)
                     parts, held = [], 0
             if parts:
-                yield _batch(parts)
+                yield batch_of(parts)
 
-    def _batch(parts: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h1", "h2", "doc_id", "k1", "k2", "at"])
-
-    found = holders.mapInArrow(explode, "h1 long, h2 long, doc_id long, k1 long, k2 long, at int")
-    shared = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    hits = found.join(shared, ["h1", "h2"]).where("doc_id > first").select("k1", "k2", "at")
-    starts = hits.groupBy("k1", "k2").agg(F.collect_list("at").alias("starts"))  # no more than the windows of one document
-
-    marked = planned.join(least, ["k1", "k2"], "left").join(starts, ["k1", "k2"], "left")
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    marked = marked.select("doc_id", "n_words", "sha", copy.alias("copy"), F.when(~copy & F.col("starts").isNotNull(), F.struct("text", "starts")).alias("cut"))
+    found = sharing.select("doc_id", "key", "text", "shared").mapInArrow(explode, "h1 long, h2 long, doc_id long, key long, at int")
+    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = materialize(first, "repeated-windows")  # so that the join below starts from two exchanges, which Spark can split where a window is hot
+    hits = found.join(first, ["h1", "h2"]).where("doc_id > first").select("key", "at")
+    starts = hits.groupBy("key").agg(F.collect_list("at").alias("starts"))  # no more than the windows of one document
+    todo = sharing.select("k1", "k2", "doc_id", "key", "text").join(starts, "key").select("k1", "k2", "doc_id", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, n, sha, is_copy, todo in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if is_copy:
-                    out.append((doc, n, n, EMPTY_SHA, ""))
-                elif todo:
-                    words = todo["text"].split(" ")
-                    gone = covered(np.array(todo["starts"], np.int64), WINDOW, n)
-                    kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                    out.append((doc, n, int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
-                else:
-                    out.append((doc, n, 0, sha, None))
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return marked.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+            for text, starts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                words = text.split(" ")
+                gone = covered(np.array(starts, np.int64), WINDOW, len(words))
+                kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+                out.append((int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
+            columns = zip(*out, strict=True) if out else [()] * 3
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], ["k1", "k2", "doc_id", "gone", "cut_sha", "cut"])
+
+    cuts = todo.mapInArrow(cut, "k1 long, k2 long, doc_id long, gone long, cut_sha string, cut string").dropDuplicates(["k1", "k2", "doc_id"])
+    marked = planned.drop("text", "anchors").join(least, ["k1", "k2"], "left").join(cuts, ["k1", "k2", "doc_id"], "left")
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+        F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+        F.when(copy, F.lit("")).otherwise(F.col("cut")).alias("kept"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

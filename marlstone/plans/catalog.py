@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from marlstone.plans import cross_section
+
+FAMILIES = [cross_section]
+QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

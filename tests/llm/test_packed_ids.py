@@ -45,7 +45,7 @@ def test_ids_match_the_library():
     library, own = Library.from_file(PATH), ByteBpe(PATH)
     rnd = random.Random(3)
     alphabet = list("abcdeXYZ    \n\n\t'sdt<|>.,0123éß́Σ中🎉\x85\xa0 \x1c")
-    texts = ["", " ", "\n\n a", "a  b", "a \n b", "it's  don't 'll", "x<|endoftext|> y<|endof"] + ["".join(rnd.choices(alphabet, k=rnd.randrange(150))) for _ in range(400)]
+    texts = ["", " ", "\n\n a", "a  b", "a \n b", "it's  don't 'll", "x<|endoftext|> y<|endof", "a_b __ ½x ²³ Ⅷ 九9 ٣٤", "_x1_ \x1f\x1ca"] + ["".join(rnd.choices(alphabet, k=rnd.randrange(150))) for _ in range(400)]
     for t, ids in zip(texts, own.encode(texts), strict=True):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
