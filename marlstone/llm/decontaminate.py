@@ -45,7 +45,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain_word(word: str) -> str:
-    return PLAIN.sub("", word.lower())
+    word = word.lower()
+    return word if word.isalnum() else PLAIN.sub("", word)
 
 
 class Codes(dict):
@@ -152,20 +153,26 @@ class Lsh:
         rng = np.random.default_rng([self.seed, walk])
         steps = 2 * int(size.max(initial=1))
         share = rng.random((self.tables_per_walk, self.sampled))
-        factor = rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64)[np.arange(steps) % (1 << 16)]
-        said = np.empty((len(starts), steps), np.int32)
-        at, last = np.zeros(len(starts), np.int64), len(codes) - 1
+        factor = rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64)[np.arange(steps) % (1 << 16)] | np.uint64(1)
+        said = np.empty((steps, len(starts)), np.int32)
+        at, last, top = starts.copy(), len(codes) - 1, np.uint64(63)
+        stop = starts + size
         for j in range(steps):
-            x = codes[np.minimum(starts + at, last)]
-            x[at >= size] = 0
-            said[:, j] = x
-            at += (((x.astype(np.uint64) + np.uint64(1)) * (factor[j] | np.uint64(1)) + factor[j]) >> np.uint64(47) & np.uint64(1)).astype(np.int64)
+            x = codes.take(at, mode="clip") if last >= 0 else np.zeros(len(at), np.int64)
+            x *= at < stop
+            said[j] = x
+            x += 1
+            move = x.view(np.uint64)
+            move *= factor[j]
+            move += factor[j]
+            move >>= top
+            at += x
         keys = np.empty((len(starts), self.tables_per_walk), np.uint64)
         rows = np.arange(len(starts))
         for t in range(self.tables_per_walk):
             key = size.astype(np.uint64) * MIX
             for s in share[t]:
-                key = (key + said[rows, (s * 2 * size).astype(np.int64)].astype(np.uint64) + np.uint64(1)) * MIX
+                key = (key + said[(s * 2 * size).astype(np.int64), rows].astype(np.uint64) + np.uint64(1)) * MIX
             keys[:, t] = key
         return keys
 
@@ -186,8 +193,11 @@ class Lsh:
             sizes.append(np.full(len(fit), n, np.int64))
         start, size = np.concatenate(starts), np.concatenate(sizes)
         out: dict[int, set[int]] = defaultdict(set)
-        for low in range(0, len(start), 50_000):
-            a, n = start[low : low + 50_000], size[low : low + 50_000]
+        low = 0
+        while low < len(start):  # windows of like sizes together, for they take as many steps as the longest
+            high = min(low + 50_000, int(np.searchsorted(size, size[low] * 5 // 4, "right")))
+            a, n = start[low:high], size[low:high]
+            low = high
             for w in range(self.walks):
                 rows = self._embed(codes, a, n, w)
                 for t in range(self.tables_per_walk):
