@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marlstone.plans import cross_section
+from marlstone.plans import cross_section, folds, ledger, news
 
-FAMILIES = [cross_section]
+FAMILIES = [cross_section, folds, news, ledger]
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
