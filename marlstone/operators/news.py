@@ -38,7 +38,7 @@ def hot_tags(news: DataFrame, least_score: float = 7.0, top: int = 8) -> DataFra
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(top)
 
 
-def source_quality(news: DataFrame, tier_d_rate: float = 0.02, tier_d_samples: int = 50) -> DataFrame:
+def source_quality(news: DataFrame, tier_d_rate: float = 0.03, tier_d_samples: int = 200) -> DataFrame:
     """Rates of each source and its tier: D for a low rate over many samples, C under 10 %, A from 30 %, else B."""
     share = lambda cond: F.sum(F.when(cond, 1).otherwise(0)) / F.count("*")
     score = F.col("ai_score")

@@ -27,7 +27,7 @@ SELECT related_to_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY publish
     "source_quality": with_views(NEWS, sql=""",
 q AS (SELECT source, count(*) AS samples, round(avg(ai_score), 6) AS mean_score, round(count(CASE WHEN ai_score >= 5 THEN 1 END) / count(*), 6) AS pass_rate, round(count(CASE WHEN ai_score >= 6 THEN 1 END) / count(*), 6) AS display_rate,
   round(count(CASE WHEN is_highlight THEN 1 END) / count(*), 6) AS highlight_rate, round(count(related_to_id) / count(*), 6) AS duplicate_rate FROM news GROUP BY source)
-SELECT *, CASE WHEN display_rate < 0.02 AND samples >= 50 THEN 'D' WHEN display_rate < 0.1 THEN 'C' WHEN display_rate >= 0.3 THEN 'A' ELSE 'B' END AS tier FROM q"""),
+SELECT *, CASE WHEN display_rate < 0.03 AND samples >= 200 THEN 'D' WHEN display_rate < 0.1 THEN 'C' WHEN display_rate >= 0.3 THEN 'A' ELSE 'B' END AS tier FROM q"""),
     "distinct_urls": with_views(NEWS, sql=""",
 b AS (SELECT id, regexp_replace(url, '#.*$', '') AS u FROM news),
 p AS (SELECT id, regexp_replace(regexp_extract(u, '^([^?]*)', 1), '/+$', '') AS path, array_to_string(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: NOT regexp_matches(x, '^(utm_|feed_item)')), '&') AS kept FROM b),
