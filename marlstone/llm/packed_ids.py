@@ -254,7 +254,8 @@ def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(f.docs), pa.array(f.starts + row["base"]), pa.array(ends - f.starts), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
-    named = manifest.select("path", before.alias("base")).repartition("path")
+    files = max(1, manifest.count())  # a stated number of partitions: by default so small a table is put into one task, which would read all files
+    named = manifest.select("path", before.alias("base")).repartition(files, "path")
     return named.mapInArrow(read, RESULT)
 
 
