@@ -9,9 +9,13 @@ frequent (in at least ``support`` of the host's pages) and hold at least two
 tokens, each opening and closing in order, make the template: the class that
 occurs once in every page is its frame, others nest in the gaps of it by their
 roles. What stands in the gaps are slots. A slot is main text if an article (or
-else a main element) of the template frames it; in a template with neither, if
-its text differs between pages. Menus, headers, footers, sidebars, notices,
-adverts, forms and comments are told by element and class names.
+else a main element) of the template frames it, and so are the page's other
+articles beside framed ones. Where the template frames neither, a page's own
+article or main element goes first, whatever its role; in pages without one the
+gap between the blocks with the same text in all pages is taken whole: all from
+the first block that differs to the last, and all inside the nearest element
+around the blocks of the template that differ. Menus, headers, footers, sidebars,
+notices, adverts, forms and comments are told by element and class names.
 
 Defined results: a null or empty html gives an empty text. Hosts of one page,
 pages without a host and pages that lack their template's frame are judged by
@@ -114,11 +118,16 @@ def parse(page: str) -> Iterator[tuple[str, Element | None, list[Element], str]]
     yield from block()
 
 
+def block_role(stack: list[Element]) -> int:
+    """Role of the innermost open element that is no inline one."""
+    return next((e.role for e in reversed(stack) if e.tag not in INLINE), 0)
+
+
 def page_tokens(page: str) -> tuple[dict[tuple[int, str], int], dict[int, int]]:
     """How often each token occurs, and a hash of the text directly in each role."""
     counts: dict[tuple[int, str], int] = defaultdict(int)
     texts: dict[int, int] = defaultdict(int)
-    for what, e, _, text in parse(page):
+    for what, e, stack, text in parse(page):
         if e is None:
             continue
         if what == "open":
@@ -126,7 +135,8 @@ def page_tokens(page: str) -> tuple[dict[tuple[int, str], int], dict[int, int]]:
                 kind = "aside" if e.aside else e.tag if e.tag in ("article", "main") else "other"
                 counts[e.role, kind] += 1
         elif not e.aside:
-            texts[e.role] = (texts[e.role] * 31 + (xxhash.xxh64_intdigest(text) >> 1)) & 0x7FFFFFFFFFFFFFFF
+            role = block_role(stack)
+            texts[role] = (texts[role] * 31 + (xxhash.xxh64_intdigest(text) >> 1)) & 0x7FFFFFFFFFFFFFFF
     return counts, texts
 
 
@@ -153,33 +163,58 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduce_templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
-    """(host, mains): the roles whose contents are the main slots of a host's template."""
+    """(host, mains, fixed): the roles that hold a host's main slots; without an article or main element among them those whose text varies, and ``fixed``, else null, has those with the same text in all pages."""
     sums = pages.where("host is not null").select(F.xxhash64("page_id", "url").alias("key"), "host", "html").mapInArrow(_vectors, STATS)
     stats = sums.groupBy("host", "role", "kind").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "high", "low")), F.min("texts_min").alias("texts_min"), F.max("texts_max").alias("texts_max"))
     size = stats.where("kind = 'page'").select("host", F.col("pages").alias("n"))
     frequent = stats.where("kind != 'page'").join(size, "host").where((F.col("n") >= 2) & (F.col("pages") >= support * F.col("n")))  # few by host: no more than a page has roles
-    classes = frequent.groupBy("host", "n", "pages", "total", "high", "low").agg(F.count("*").alias("tokens"), F.collect_list(F.struct("role", "kind", F.expr("texts_min < texts_max").alias("varies"))).alias("members"))
+    classes = frequent.groupBy("host", "n", "pages", "total", "high", "low").agg(F.count("*").alias("tokens"), F.collect_list(F.struct("role", "kind", F.expr("texts_min < texts_max").alias("varies"), F.expr("texts_min = texts_max and texts_min >= 0").alias("same"))).alias("members"))
     frame = (F.col("pages") == F.col("n")) & (F.col("total") == F.col("n"))
     member = classes.where((F.col("tokens") >= 2) | (F.col("total") > F.col("pages")) | frame).select("host", frame.alias("frame"), F.explode("members").alias("m")).select("host", "frame", "m.*")
     pick = lambda cond: F.collect_set(F.when(cond, F.col("role")))
-    slots = member.groupBy("host").agg(pick(F.col("kind") == "article").alias("articles"), pick(F.col("kind") == "main").alias("main_roles"), pick((F.col("kind") == "other") & F.col("varies")).alias("varying"))
-    return slots.select("host", F.when(F.size("articles") > 0, F.col("articles")).when(F.size("main_roles") > 0, F.col("main_roles")).otherwise(F.col("varying")).alias("mains"))
-
-
-def main_text(page: str, mains: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main slots, or without any in this page, of its article, main element or body."""
-    ranked: list[list[str]] = [[], [], [], []]
+    slots = member.groupBy("host").agg(pick(F.col("kind") == "article").alias("articles"), pick(F.col("kind") == "main").alias("main_roles"), pick((F.col("kind") == "other") & F.col("varies")).alias("varying"), pick((F.col("kind") == "other") & F.col("same")).alias("same"))
+    framed = (F.size("articles") > 0) | (F.size("main_roles") > 0)
+    return slots.select("host", F.when(F.size("articles") > 0, F.col("articles")).when(F.size("main_roles") > 0, F.col("main_roles")).otherwise(F.col("varying")).alias("mains"), F.when(~framed, F.col("same")).alias("fixed"))
+
+
+def gap(blocks: list[tuple[list[Element], str]], varying: frozenset[int], fixed: frozenset[int]) -> list[str]:
+    """The blocks between fixed ones, and those in the nearest element around all varying ones if fixed ones are outside it."""
+    roles = [block_role(stack) for stack, _ in blocks]
+    free = [i for i, r in enumerate(roles) if r not in fixed]
+    if not varying or not free:
+        return []
+    around: list[Element] | None = None
+    for (stack, _), r in zip(blocks, roles, strict=True):
+        if r in varying:
+            above = [e for e in stack if e.tag not in INLINE][:-1]
+            around = above if around is None else [a for a, b in zip(around, above, strict=False) if a is b]
+    inside = [bool(around) and any(e is around[-1] for e in stack) for stack, _ in blocks]
+    if not any(r in fixed and not i for r, i in zip(roles, inside, strict=True)):
+        inside = [False] * len(blocks)
+    return [text for i, (_, text) in enumerate(blocks) if free[0] <= i <= free[-1] or inside[i]]
+
+
+def main_text(page: str, mains: frozenset[int] = frozenset(), fixed: frozenset[int] | None = None) -> str:
+    """Blocks of the framed slots, or without any in this page, of its article, its main element, the gap of its template or its body."""
+    ranked: list[list[str]] = [[], [], []]
+    blocks: list[tuple[list[Element], str]] = []
+    in_article = False
     for what, _, stack, text in parse(page):
         if what == "text" and not (stack and stack[-1].aside):
-            inner = stack[-1] if stack else None
-            if mains and any(e.role in mains for e in stack):
+            kind = stack[-1].kind if stack else ""
+            slots = [e for e in stack if e.role in mains] if mains and fixed is None else []
+            in_article = in_article or any(e.tag == "article" for e in slots)
+            if slots:
                 ranked[0].append(text)
-            if inner and inner.kind == "article":
+            if kind == "article" or any(e.tag == "article" for e in slots):
                 ranked[1].append(text)
-            elif inner and inner.kind == "main":
+            elif kind == "main":
                 ranked[2].append(text)
-            ranked[3].append(text)
-    return "\n\n".join(next((r for r in ranked if r), []))
+            blocks.append((stack, text))
+    if in_article:
+        ranked[0] = ranked[1]
+    found = next((r for r in ranked if r), None) or (gap(blocks, mains, fixed) if fixed is not None else None)
+    return "\n\n".join(found or [text for _, text in blocks])
 
 
 def extract_main(pages: DataFrame, support: float = 0.6) -> DataFrame:
@@ -187,11 +222,12 @@ def extract_main(pages: DataFrame, support: float = 0.6) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract("url", HOST, 1))
     rows = rows.withColumn("host", F.when(host != "", host))
-    joined = rows.join(deduce_templates(rows, support), "host", "left").select("page_id", "url", "html", "mains")
+    joined = rows.join(deduce_templates(rows, support), "host", "left").select("page_id", "url", "html", "mains", "fixed")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, frozenset(m or ())) for h, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            columns = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            texts = [main_text(h, frozenset(m or ()), None if f is None else frozenset(f)) for h, m, f in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

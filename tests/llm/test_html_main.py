@@ -27,6 +27,34 @@ def test_template_without_article_keeps_what_varies(spark):
     assert got == {i: f"alpha {i}\n\nbeta {i * i}" for i in range(5)}
 
 
+def texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in extract_main(df).orderBy("page_id").collect()]
+
+
+def test_own_article_or_main_goes_before_what_varies(spark):
+    for tag in ("article", "main"):
+        page = "<body><p class='kicker'>kicker {i}</p><" + tag + " id='post-{i}'><h1>Title {i}</h1><p>Text {i}</p></" + tag + "><p class='byline'>by {i}</p><div class='end'>end</div></body>"
+        assert texts(spark, [page.format(i=i) for i in range(5)]) == [f"Title {i}\n\nText {i}" for i in range(5)]
+
+
+def test_framed_cards_leave_the_own_article(spark):
+    page = "<body><article id='post-{i}'><p>Text {i}</p></article><article class='card'><p>Card {i}</p></article></body>"
+    assert texts(spark, [page.format(i=i) for i in range(5)]) == [f"Text {i}\n\nCard {i}" for i in range(5)]
+
+
+def test_gap_keeps_rare_and_equal_blocks(spark):
+    page = "<body><div class='top'><a href='/'>Our site</a></div><div class='x'><h2>Summary</h2><p><b>alpha</b> {i}</p>{rare}<h3>Sources</h3></div><div class='end'>Rights reserved</div></body>"
+    rare = ["<ul><li>one</li></ul>", "<blockquote>said</blockquote>", "<table><tr><td>cell</td></tr></table>", "<h4>sub</h4>", ""]
+    want = ["one", "said", "cell", "sub", None]
+    assert texts(spark, [page.format(i=i, rare=r) for i, r in enumerate(rare)]) == ["\n\n".join(x for x in ("Summary", f"alpha {i}", w, "Sources") if x) for i, w in enumerate(want)]
+
+
+def test_gap_holds_blocks_with_a_role_of_their_own(spark):
+    page = "<body><div class='top'>Our site</div><div class='meta'><p>by {i}</p></div><div id='post-{i}'><p>Text {i}</p><p>The end</p></div><div class='end'>Rights reserved</div></body>"
+    assert texts(spark, [page.format(i=i) for i in range(5)]) == [f"by {i}\n\nText {i}\n\nThe end" for i in range(5)]
+
+
 def test_occurrence_vectors_separate_classes(spark):
     rows = [(i, "http://h", "<body><main>" + "<p>x</p>" * (i + 1) + "</main></body>") for i in range(4)]
     from pyspark.sql import functions as F
