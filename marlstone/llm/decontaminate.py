@@ -8,9 +8,12 @@ The CGK embedding reads a sequence by a random walk (each step outputs the
 current word; a random bit of that word and step says whether to move on), so
 a small edit distance becomes a small Hamming distance. Windows of an item's
 size are embedded; tables of a few sampled positions find items whose embedding
-agrees there. Walks are added until trial edits of the items themselves, at the
-largest distance allowed, are found with the wanted recall. Candidates are then
-verified by the exact edit distance to the best stretch near the window.
+agrees there. Walks are added for each item length by itself until trial edits
+of its items, at the largest distance allowed, are found with the wanted recall.
+Where walks stop finding more before that (``patience`` of them leave half of
+what was missing, or more), the length is held exactly: every window with enough of an
+item's own word pairs is a candidate. Candidates are then verified by the exact
+edit distance to the best stretch near the window.
 
 Only windows that can be near an item are embedded: by the q-gram lemma a
 stretch within k edits keeps n - 1 - 2k of the item's word pairs, so a window
@@ -94,12 +97,16 @@ class Lsh:
     recall: float = 0.99
     sampled: int = 4
     tables_per_walk: int = 8
-    most_walks: int = 32
     seed: int = 17
-    walks: int = 0
+    trials: int = 400
+    patience: int = 8
+    walks: dict[int, int] = field(default_factory=dict)
+    reached: dict[int, float] = field(default_factory=dict)
+    exact: set[int] = field(default_factory=set)
     tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     pairs: np.ndarray | None = None
     pair_bits: int = 0
+    postings: tuple[np.ndarray, np.ndarray] | None = None  # word pairs of the items held exactly, sorted, and those items
 
     def allowed(self, n: int) -> int:
         return int(self.share * n)
@@ -111,20 +118,45 @@ class Lsh:
         for x in self.items:
             self.pairs[pair_slots(x, self.pair_bits)] |= np.uint64(1 << self.lengths.index(len(x)) % 64)
         rng = np.random.default_rng(self.seed)
-        each = max(2, 400 // max(1, len(self.items)))
-        origin = [i for i in range(len(self.items)) for _ in range(each)][:20_000]
-        trials, _, begin = self._rows([self._edited(self.items[i], rng) for i in origin])
-        flat, size, starts = self._rows(self.items)
-        found = np.zeros(len(origin), bool)
-        while len(origin) and self.walks < self.most_walks and found.mean() < self.recall:
-            keys = self._embed(flat, starts, size, self.walks)
-            found |= (self._embed(trials, begin, size[origin], self.walks) == keys[origin]).any(axis=1)
+        by_length = {n: [i for i, x in enumerate(self.items) if len(x) == n] for n in self.lengths}
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)  # walk -> (items, their keys) of each length that has it
+        for n, members in by_length.items():
+            origin = np.repeat(np.arange(len(members)), max(2, -(-self.trials // len(members))))
+            trials, _, begin = self._rows([self._edited(self.items[members[i]], rng) for i in origin.tolist()])
+            flat, size, starts = self._rows([self.items[i] for i in members])
+            found, missing = np.zeros(len(origin), bool), [1.0]
+            mine = []
+            while not self._reached(found) and n not in self.exact:
+                keys = self._embed(flat, starts, size, len(mine))
+                found |= (self._embed(trials, begin, size[origin], len(mine)) == keys[origin]).any(axis=1)
+                mine.append((np.array(members, np.int64), keys))
+                missing.append(1 - float(found.mean()))
+                if not self._reached(found) and len(mine) >= self.patience and missing[-1] >= missing[-1 - self.patience] / 2:
+                    self.exact.add(n)
+            self.reached[n] = float(found.mean())
+            self.walks[n] = 0 if n in self.exact else len(mine)
+            for w in range(self.walks[n]):
+                parts[w].append(mine[w])
+        for w in range(len(parts)):
+            members, keys = (np.concatenate(x) for x in zip(*parts[w], strict=True))
             for t in range(self.tables_per_walk):
                 order = np.argsort(keys[:, t], kind="stable")
-                self.tables.append((keys[order, t], order))
-            self.walks += 1
+                self.tables.append((keys[order, t], members[order]))
+        held = [(self._exact_pairs(x), i) for n in sorted(self.exact) for i in by_length[n] for x in [self.items[i]]]
+        pair = np.concatenate([p for p, _ in held]) if held else np.empty(0, np.int64)
+        owner = np.concatenate([np.full(len(p), i, np.int64) for p, i in held]) if held else np.empty(0, np.int64)
+        order = np.argsort(pair, kind="stable")
+        self.postings = pair[order], owner[order]
         return self
 
+    def _reached(self, found: np.ndarray) -> bool:
+        """Whether the trials found vouch for the recall: their misses, raised to about 95 % confidence, are few enough."""
+        misses = len(found) - int(found.sum())
+        return misses + 2 * misses**0.5 + 3 <= (1 - self.recall) * len(found)
+
+    def _exact_pairs(self, codes: np.ndarray) -> np.ndarray:
+        return np.unique(codes[:-1] * (len(self.vocabulary) + 1) + codes[1:])
+
     @staticmethod
     def _rows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All sequences in one array with room after each; their sizes and starts."""
@@ -177,13 +209,18 @@ class Lsh:
         return keys
 
     def candidates(self, codes: np.ndarray) -> dict[int, list[int]]:
-        """Item -> starts of windows that agree with it in some table. ``codes`` ends in zeros, more than the longest item has words."""
+        """Item -> starts of windows that agree with it in some table, or for lengths held exactly hold enough of its pairs. ``codes`` ends in zeros, more than the longest item has words."""
         marks = self.pairs[pair_slots(codes, self.pair_bits)]
         marks[(codes[:-1] == 0) | (codes[1:] == 0)] = 0
         where = np.flatnonzero(marks)
         marks = marks[where]
-        starts, sizes = [], []
+        out: dict[int, set[int]] = defaultdict(set)
+        if self.exact:
+            self._exact_candidates(codes, where, out)
+        starts, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for c, n in enumerate(self.lengths):
+            if n in self.exact:
+                continue
             need = max(1, n - 1 - 3 * self.allowed(n))
             at = where[(marks >> np.uint64(c % 64) & np.uint64(1)).astype(bool)]
             dense = np.flatnonzero(at[need - 1 :] - at[: max(0, len(at) - need + 1)] <= n - 2)  # so many pairs in one window
@@ -192,13 +229,16 @@ class Lsh:
             starts.append(fit)
             sizes.append(np.full(len(fit), n, np.int64))
         start, size = np.concatenate(starts), np.concatenate(sizes)
-        out: dict[int, set[int]] = defaultdict(set)
         low = 0
         while low < len(start):  # windows of like sizes together, for they take as many steps as the longest
             high = min(low + 50_000, int(np.searchsorted(size, size[low] * 5 // 4, "right")))
             a, n = start[low:high], size[low:high]
             low = high
-            for w in range(self.walks):
+            walks = np.array([self.walks[x] for x in self.lengths])[np.searchsorted(self.lengths, n)]
+            for w in range(int(walks.max())):
+                more = walks > w
+                if not more.all():
+                    a, n, walks = a[more], n[more], walks[more]
                 rows = self._embed(codes, a, n, w)
                 for t in range(self.tables_per_walk):
                     keys, members = self.tables[w * self.tables_per_walk + t]
@@ -208,6 +248,31 @@ class Lsh:
                             out[m].add(int(a[i]))
         return {m: sorted(s) for m, s in out.items()}
 
+    def _exact_candidates(self, codes: np.ndarray, where: np.ndarray, out: dict[int, set[int]]) -> None:
+        """Adds all windows that hold as many of an item's own pairs as the lossless bound asks for; ``where`` has all pairs of items."""
+        pair, owner = self.postings
+        base = len(self.vocabulary) + 1
+        step = max(1, 4_000_000 // max(1, len(self.items)))
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        for low in range(0, len(where), step):  # so many at once that their postings stay of bounded size
+            at = where[low : low + step]
+            key = codes[at] * base + codes[at + 1]
+            left, many = np.searchsorted(pair, key), np.searchsorted(pair, key, "right")
+            many -= left
+            spot = np.repeat(at, many)
+            item = owner[np.repeat(left - np.cumsum(many) + many, many) + np.arange(len(spot))]
+            order = np.argsort(item, kind="stable")
+            item, spot = item[order], spot[order]
+            edges = np.flatnonzero(np.diff(item, prepend=-1))
+            for i, some in zip(item[edges].tolist(), np.split(spot, edges[1:]) if len(edges) else [], strict=True):
+                places[i].append(some)
+        for i, some in places.items():
+            at, n = np.concatenate(some), len(self.items[i])
+            need = max(1, n - 1 - 3 * self.allowed(n))
+            dense = np.flatnonzero(at[need - 1 :] - at[: max(0, len(at) - need + 1)] <= n - 2)
+            for a, b in zip(at[dense].tolist(), at[dense + need - 1].tolist(), strict=True):
+                out[i].update(range(max(0, b - n + 2), a + 1))
+
     def verify(self, item: int, codes: np.ndarray, starts: list[int]) -> tuple[int, int, int] | None:
         """Fewest edits of the item near the windows, with the words where that stretch begins and ends."""
         x = self.items[item]

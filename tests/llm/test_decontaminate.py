@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from marlstone.llm.decontaminate import edit_distance, find_leaks, plain_word
+from marlstone.llm.decontaminate import Lsh, Scanner, edit_distance, find_leaks, plain_word
 
 
 def slow_distance(item, words):
@@ -69,6 +69,32 @@ def test_leaks_against_brute_force(spark):
             assert plain(texts[r.doc_id][r.start : r.stop]) == plain(dict(items)[r.item_id])
 
 
+def leak_count(items, rnd, tries, **options):
+    """How many of ``tries`` edits of each item, at the largest distance, are found, and the tables."""
+    vocabulary = {}
+    coded = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in x], np.int64) for x in items]
+    lsh = Lsh(coded, [[i] for i in range(len(items))], vocabulary, 0.2, **options).fit()
+    owner = [i for i in range(len(items)) for _ in range(tries)]
+    texts = [" ".join(["before"] * 9 + edited(rnd, items[i], int(0.2 * len(items[i]))) + ["after"] * 9).encode() for i in owner]
+    got = {(d, item) for d, item, *_ in Scanner(lsh).leaks(texts)}
+    return [sum((d, i) in got for d, o in enumerate(owner) if o == i) for i in range(len(items))], lsh
+
+
+def test_short_items_do_not_hide_long_ones():
+    rnd = random.Random(6)
+    items = [[f"w{rnd.randrange(3000)}" for _ in range(n)] for n in [8] * 300 + [400] * 4]
+    found, lsh = leak_count(items, rnd, 20)
+    assert sum(found[300:]) >= 0.97 * 80
+    assert all(lsh.reached[n] >= lsh.recall or n in lsh.exact for n in lsh.lengths)
+
+
+def test_lengths_held_exactly_lose_nothing():
+    rnd = random.Random(7)
+    items = [[rnd.choice("abcdefgh") if rnd.random() < 0.3 else f"w{rnd.randrange(300)}" for _ in range(n)] for n in (5, 10, 15, 40, 40, 200)]
+    found, lsh = leak_count(items, rnd, 15, recall=1.1)
+    assert lsh.exact == {5, 10, 15, 40, 200} and found == [15] * 6
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
