@@ -3,7 +3,9 @@
 Repetitive text compresses too well and noise hardly at all. Each length class
 has its own band of allowed zstandard ratios (compressed bytes / bytes); chunks
 of a fixed size have a further band, and a document may have only a small share
-of chunks outside it.
+of its bytes in chunks outside it. What is left after the last whole chunk is
+judged by a chunk that ends with the text, and counts with the bytes no chunk
+before has. A text shorter than a chunk is judged by the band of its length.
 
 Defined results: a null text counts as having no words and fails the base rule;
 an empty text too. Repeated rows are judged each by itself. Other columns of
@@ -73,11 +75,12 @@ def _judge(text: bytes, hashes: WordHashes, rolling: Rolling, packer: zstandard.
     failed = n < 20 or 100 * repeats > 30 * n
     ratio = len(packer.compress(text)) / len(text) if text else 0.0
     size = bands.chunk_bytes
-    chunks = [len(packer.compress(text[i : i + size])) / size for i in range(0, len(text) - size + 1, size)]
-    bad = sum(not bands.chunk_low <= x <= bands.chunk_high for x in chunks)
+    ends = [*range(size, len(text), size), len(text)] if len(text) >= size else []
+    bad = [end for end in ends if not bands.chunk_low <= len(packer.compress(text[end - size : end])) / size <= bands.chunk_high]
+    bad_bytes = sum((end - 1) % size + 1 for end in bad)
     low, high = bands.band(len(text))
-    kept = not failed and low <= ratio <= high and bad <= bands.bad_chunk_share * len(chunks)
-    return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, kept, ratio, len(chunks), bad
+    kept = not failed and low <= ratio <= high and bad_bytes <= bands.bad_chunk_share * len(text)
+    return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, kept, ratio, len(ends), len(bad)
 
 
 def quality_rules(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

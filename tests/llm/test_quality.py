@@ -47,6 +47,18 @@ def test_bands(spark):
     assert not got[2].base_failed and not got[3].base_failed
 
 
+def test_tail_under_a_chunk_is_judged(spark):
+    rnd = random.Random(3)
+    parts = [a + b for a in "bcdfghlmnprst" for b in ("a", "e", "on", "ing")]
+    prose = " ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 5))) for _ in range(6000))
+    junk = "".join(f"{i} {i % 3} " for i in range(2000))
+    rows = [(n, prose[: 4096 * n] + junk[:4095]) for n in (1, 4)] + [(11, prose[: 4096 * 10 + 1]), (12, prose[:8191]), (13, prose[:4095])]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[n].n_chunks, got[n].n_bad_chunks, got[n].kept) for n in (1, 4)] == [(2, 1, False), (5, 1, False)]
+    assert [(got[n].n_chunks, got[n].n_bad_chunks, got[n].kept) for n in (11, 12, 13)] == [(11, 0, True), (2, 0, True), (0, 0, True)]
+    assert not any(got[n].base_failed for n in got)
+
+
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
