@@ -14,9 +14,11 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is unset (tests on one machine) a temporary folder is used."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is unset a temporary folder will do on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _local_dirs.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="marlstone-"))
     return found.rstrip("/")
 
@@ -24,12 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def drop() -> None:
         try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             pass
 
@@ -37,11 +37,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Spark then deletes the shuffle files of a write once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends here, and a lost executor costs no earlier stage."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from ``materialize`` that nothing reads any more."""
+    delete(df.sparkSession, df.written_to)
 
 
 class WordHashes(dict):
@@ -61,6 +82,66 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Words:
+    """Hashes of the words of texts, without making a Python object a word.
+
+    Bytes become fixed random numbers; a word's hash is a polynomial in them,
+    taken from running sums over a stretch of text, then mixed.
+    """
+
+    SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self, block: int = 1 << 18) -> None:
+        self.block, self.base, self.inverse = block, 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+        self.values = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.up) < n:
+            for name, b in (("up", self.base), ("down", self.inverse)):
+                p = np.full(n, b, np.uint64)
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+
+    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end, in bytes."""
+        space = np.ones(len(data) + 2, np.bool_)
+        space[1:-1] = self.SPACES[np.frombuffer(data, np.uint8)]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        return edges[::2], edges[1::2]
+
+    def hashes(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words at these spans, which are in order."""
+        out, i = np.empty(len(starts), np.uint64), 0
+        raw = np.frombuffer(data, np.uint8)
+        while i < len(starts):
+            low = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, low + self.block, "right")))
+            x = self.values[raw[low : int(ends[j - 1])]]
+            self._grow(len(x))
+            x *= self.up[: len(x)]
+            sums = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(x, out=sums[1:])
+            a = starts[i:j] - low
+            h = (sums[ends[i:j] - low] - sums[a]) * self.down[a]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD1342543DE82EF95)
+            h ^= h >> np.uint64(29)
+            out[i:j] = h
+            i = j
+        return out
+
+    def of_texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one text after the other, and the number of words of each."""
+        if not texts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        data = b"\n".join(t or b"" for t in texts)
+        starts, ends = self.spans(data)
+        bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+        upto = np.searchsorted(starts, bounds)
+        return self.hashes(data, starts, ends), np.diff(upto, prepend=0)
+
+
 class Rolling:
     """Hashes of all runs of n items: a polynomial modulo 2**64 with an odd base, from running sums and inverse powers."""
 

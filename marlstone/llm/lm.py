@@ -5,194 +5,193 @@ S(w | context) is count(context w) / count(context) where the n-gram occurs
 by one word; the last resort is count(w) / number of words. A document's score
 is the sum of log10 S over its words; at its start contexts are shorter.
 
-The work is a join of exploded n-grams with count tables partitioned by hash.
-Tasks explode their documents in batches of bounded size and send each distinct
-n-gram of a batch once, with its count there, to the partition of its hash:
-packed as sorted arrays, a row for each batch and partition. A partition sums
-the counts of all batches and answers each with the totals in the same order.
-Answers meet the (compressed) texts of their batch again, where positions look
-up their totals and are summed by document. A frequent n-gram costs one entry a
-batch, so no partition is hot.
-
-Batches are named by their contents' order, hence the input is read twice in
-the same order: an input that comes out of a shuffle is written first.
-
-Defined results: null and empty texts have no words and a null score. Rows that
-repeat are each counted and each scored.
+The work is relational. For each order the n-grams of all documents are exploded
+and counted by ``groupBy`` (a count table), kept from ``least_count`` on, and
+joined to the count table of the order below for what they add to a score:
+
+    gain(g) = log10 S(g) - log10(0.4) - log10 S(g without its first word)
+
+The n-grams of each document, each with its number there, are joined to the
+gains and summed by document. A part of a known n-gram is known too, so a
+document's score is the sum of the gains of its known n-grams and log10(0.4) for
+each place where a longer context was tried; nothing has to be looked up by
+position. Each order above the first goes through ``slices`` ranges of the n-gram hash,
+one after the other, so that only that share of the exploded rows is on disk at a time.
+
+A frequent n-gram is counted within tasks first and comes once a document to the
+join, where AQE splits partitions that are too large.
+
+Defined results: null and empty texts have no words and a null score. A null id
+stays null. Texts are cut into blocks of ``BLOCK`` bytes at white space while
+they are exploded, so very long ones need no more memory. Rows that repeat are
+each counted and each scored, and equal ids with other texts are told apart by a
+hash of the text. An empty table gives no rows. Other columns of the input are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Rolling, WordHashes, materialize
+from marlstone.llm.common import Rolling, Words, discard, materialize
 
-BATCH_BYTES = 24 << 20
-PART_BYTES = 4 << 20
-MOST_PARTS = 1 << 17
+BLOCK = 4 << 20
 BACKOFF = 0.4
-ENTRY = "batch long, kind int, part int, n long, data binary"
-RESULT = "doc_id long, n_words long, log10_score double, log10_per_word double"
+WHITE = re.compile(rb"[ \t-\r]")
 
 
-class Exploder:
-    """N-gram hashes of the documents of a batch, position by position."""
-
-    def __init__(self, order: int) -> None:
-        self.order, self.words = order, WordHashes()
-        self.rolling = [Rolling(0x9E3779B97F4A7C15 + 2 * k) for k in range(order + 1)]
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Words of each text; for each order the hashes of its n-grams, texts one after the other."""
-        lists = [self.words.of(t.split()) if t else np.empty(0, np.uint64) for t in texts]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        return sizes, [np.concatenate([self.rolling[k](x, k) for x in lists] or [np.empty(0, np.uint64)]) for k in range(1, self.order + 1)]
+def blocks(text: bytes, size: int = BLOCK) -> Iterator[bytes]:
+    """``text`` in stretches of about ``size`` bytes that end at white space."""
+    at = 0
+    while at < len(text):
+        cut = WHITE.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(name, ids, texts) of groups of rows with about ``BATCH_BYTES`` of text."""
+class Exploder:
+    """The n-grams of one order whose hashes are in one slice, for batches of documents."""
 
-    def named(ids: list, texts: list[bytes]) -> tuple[int, list, list[bytes]]:
-        h = xxhash.xxh64()
-        for i, t in zip(ids, texts, strict=True):
-            h.update(f"{i}:{len(t)};")
-            h.update(t)
-        return h.intdigest() >> 1, ids, texts
+    def __init__(self, order: int, part: int, slices: int, size: int = BLOCK) -> None:
+        self.order, self.part, self.slices, self.size = order, np.uint64(part), np.uint64(slices), size
+        self.words = Words()
+        self.rolling = [Rolling(0x9E3779B97F4A7C15 + 2 * k) for k in range(order + 1)]
 
-    ids, texts, size = [], [], 0
+    def _pieces(self, texts: list[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+        """Numbers of texts with their blocks, about ``size`` bytes at a time."""
+        numbers, held, n = [], [], 0
+        for i, text in enumerate(texts):
+            for block in blocks(text or b"", self.size):
+                numbers.append(i)
+                held.append(block)
+                n += len(block)
+                if n >= self.size:
+                    yield numbers, held
+                    numbers, held, n = [], [], 0
+        if held:
+            yield numbers, held
+
+    def __call__(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(number of the text, gram, prefix, suffix), about ``size`` bytes of text at a time."""
+        k, last, tail = self.order, -1, np.empty(0, np.uint64)
+        for numbers, held in self._pieces(texts):
+            words, sizes = self.words.of_texts(held)
+            owner = np.repeat(np.array(numbers, np.uint64), sizes)
+            if numbers[0] == last:  # the first block goes on with a text
+                words, owner = np.concatenate([tail, words]), np.concatenate([np.full(len(tail), last, np.uint64), owner])
+            last = numbers[-1]
+            mine = words[np.searchsorted(owner, last) :]
+            tail = mine[len(mine) - min(len(mine), k - 1) :]
+            if len(words) < k:
+                continue
+            grams = self.rolling[k](words, k)
+            keep = owner[: len(grams)] == owner[k - 1 :]  # within one text
+            if self.slices > 1:
+                keep &= (grams >> np.uint64(40)) % self.slices == self.part
+            at = np.flatnonzero(keep)
+            shorter = self.rolling[k - 1](words, k - 1) if k > 1 else grams
+            yield owner[at], grams[at], shorter[at], shorter[at + (k > 1)]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _counter(order: int, part: int, slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        explode = Exploder(order, part, slices)
+        for batch in batches:
+            for _, grams, prefix, suffix in explode(batch.column("text").cast(pa.binary()).to_pylist()):
+                found, at, n = np.unique(grams, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(found), _signed(prefix[at]), _signed(suffix[at]), pa.array(n)], ["gram", "prefix", "suffix", "n"])
+
+    return run
+
+
+def text_key(doc_id: int | None, text: bytes | None) -> int:
+    return xxhash.xxh64_intdigest(text or b"", seed=0 if doc_id is None else 1) - (1 << 63)
+
+
+def _by_document(order: int, part: int, slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        explode = Exploder(order, part, slices)
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+            keys = np.array([text_key(i, t) for i, t in zip(ids, texts, strict=True)], np.int64)
+            ids = np.array([i or 0 for i in ids], np.int64)
+            for doc, grams, _, _ in explode(texts):
+                if not len(doc):
+                    continue
+                near = np.argsort(doc << np.uint64(40) | grams >> np.uint64(24))  # texts stay together, and equal n-grams of one meet
+                doc, grams = doc[near].astype(np.int64), grams[near]
+                edges = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])]))
+                n = np.diff(np.append(edges, len(doc))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[edges]]), pa.array(keys[doc[edges]]), _signed(grams[edges]), pa.array(n)], ["id", "key", "gram", "n"])
+
+    return run
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words of each row, with its key."""
+    words = Words()
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or b"")
-            size += len(texts[-1])
-            if size >= BATCH_BYTES or len(ids) >= 100_000:
-                yield named(ids, texts)
-                ids, texts, size = [], [], 0
-    if ids:
-        yield named(ids, texts)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["batch", "kind", "part", "n", "data"])
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u8").tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u8")
-
-
-def _cuts(found: np.ndarray, parts: int) -> np.ndarray:
-    """Where each partition's stretch of sorted hashes ends: partitions are ranges of the hash."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
+        ids, texts = batch.column("doc_id"), batch.column("text").cast(pa.binary()).to_pylist()
+        key = [text_key(i, t) for i, t in zip(ids.to_pylist(), texts, strict=True)]
+        n = [sum(len(words.spans(b)[0]) for b in blocks(t or b"")) for t in texts]
+        yield pa.RecordBatch.from_arrays([ids, pa.array([i or 0 for i in ids.to_pylist()], pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "id", "key", "n_words"])
 
 
-def score_corpus(docs: DataFrame, order: int = 2, least_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 3, least_count: int = 2, slices: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log10_score, log10_per_word) of each row, from counts over all rows."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        rows = materialize(rows, "lm-input")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0].n or 0
-    parts = int(min(MOST_PARTS, max(1, -(-size // PART_BYTES))))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct n-gram of a batch to its partition, with its count in the batch."""
-        exploder = Exploder(order)
-        for name, _, texts in _batches(batches):
-            for kind, hashes in enumerate(exploder(texts)[1], 1):
-                found, count = np.unique(hashes, return_counts=True)
-                cuts = _cuts(found, parts)
-                out = []
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = int(cuts[p]), int(cuts[p + 1])
-                    out.append((name, kind, p, b - a, found[a:b].astype("<u8").tobytes() + _packed(count[a:b])))
-                if out:
-                    yield _rows(out)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Totals for each row of a partition, in the order of its hashes."""
-        every = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("kind", "part", "batch", "n", "data")), strict=True))
-        for (kind, part), group in groupby(every, key=lambda r: r[:2]):
-            hashes: dict[int, np.ndarray] = {}
-            counts: dict[int, np.ndarray] = {}
-            for _, _, name, n, data in group:
-                counts[name] = counts.get(name, 0) + _unpacked(data[8 * n :])  # equal batches count twice and are answered once
-                hashes[name] = np.frombuffer(data[: 8 * n], "<u8")
-            _, at = np.unique(np.concatenate(list(hashes.values())), return_inverse=True)
-            own = np.concatenate(list(counts.values()))
-            sums = np.bincount(at, weights=own.astype(np.float64))[at].astype(np.uint64)
-            ends = np.cumsum([len(h) for h in hashes.values()]).tolist()
-            out = [(name, kind, part, len(h), _packed(sums[e - len(h) : e])) for (name, h), e in zip(hashes.items(), ends, strict=True)]
-            if kind == 1:  # the partition's share of all words, for the last resort
-                out.append((-1, 0, part, int(own.sum()), b""))
-            yield _rows(out)
-
-    asked = rows.mapInArrow(explode, ENTRY).repartition("kind", "part").sortWithinPartitions("kind", "part")
-    answers = materialize(asked.mapInArrow(answer, ENTRY), "ngram-totals")
-    words = answers.where("kind = 0").agg(F.sum("n").alias("n")).collect()[0].n or 0
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for name, ids, texts in _batches(batches):
-            table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], ["id", "text"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as stream:
-                stream.write_batch(table)
-            yield _rows([(name, 0, 0, len(ids), packer.compress(sink.getvalue()))])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exploder, unpacker = Exploder(order), zstandard.ZstdDecompressor()
-        every = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("batch", "kind", "data")), strict=True))
-        for _, group in groupby(every, key=lambda r: r[0]):
-            packs, parted = [], {k: [] for k in range(1, order + 1)}
-            for _, kind, data in group:
-                if kind:
-                    parted[kind].append(_unpacked(data))
-                else:
-                    packs.append(data)
-            totals = {k: np.concatenate(v) if v else np.empty(0, np.uint64) for k, v in parted.items()}
-            for data in packs:
-                table = pa.ipc.open_stream(unpacker.decompress(data)).read_all()
-                sizes, grams = exploder(table["text"].to_pylist())
-                sums = np.zeros(len(sizes))
-                if len(grams[0]):
-                    within = np.arange(len(grams[0])) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    logs = np.zeros(len(within))
-                    before = None  # counts of the n-grams one shorter, by the word where they end
-                    for k in range(1, order + 1):
-                        found, at = np.unique(grams[k - 1], return_inverse=True)
-                        if len(found) != len(totals[k]):
-                            raise RuntimeError("a batch came back with other texts; write the input first")
-                        ends = np.flatnonzero(within >= k - 1)
-                        count = np.zeros(len(within))
-                        count[ends] = totals[k][at]
-                        if k == 1:
-                            logs = np.log10(count / words)
-                        else:
-                            known = count[ends] >= least_count
-                            logs[ends] = np.where(known, np.log10(np.maximum(count[ends], 1) / before[ends - 1]), np.log10(BACKOFF) + logs[ends])
-                        before = count
-                    full = np.flatnonzero(sizes)
-                    sums[full] = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[full])
-                none = sizes == 0
-                arrays = [table["id"].combine_chunks(), pa.array(sizes), pa.array(sums, mask=none), pa.array(sums / np.maximum(sizes, 1), mask=none)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "log10_score", "log10_per_word"])
-
-    both = rows.mapInArrow(pack, ENTRY).unionByName(answers.where("kind > 0"))
-    return both.repartition("batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(score, RESULT)
+    back = math.log10(BACKOFF)
+    sums: list[DataFrame] = []
+    below: DataFrame | None = None  # the count table of the order below: (gram, n, s), s = log10 of the score
+    for k in range(1, order + 1):
+        tables = []
+        for part in range(slices if k > 1 else 1):
+            counted = rows.mapInArrow(_counter(k, part, slices if k > 1 else 1), "gram long, prefix long, suffix long, n long")
+            counted = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
+            tables.append(materialize(counted if k == 1 else counted.where(F.col("n") >= least_count), f"counts-{k}"))
+        if k == 1:
+            total = sum(t.agg(F.sum("n")).first()[0] or 0 for t in tables)
+            gains = [t.select("gram", "n", (F.log10(F.col("n") / F.lit(float(max(total, 1))))).alias("s")) for t in tables]
+            gains = [t.withColumn("gain", F.col("s")) for t in gains]
+        else:
+            shorter = below.select(F.col("gram").alias("prefix"), F.col("n").alias("before"))
+            tail = below.select(F.col("gram").alias("suffix"), F.col("s").alias("tail"))
+            gains = []
+            for t in tables:
+                joined = t.join(shorter, "prefix").join(tail, "suffix").withColumn("s", F.log10(F.col("n") / F.col("before")))
+                gains.append(materialize(joined.select("gram", "n", "s", (F.col("s") - F.lit(back) - F.col("tail")).alias("gain")), f"gains-{k}"))
+                discard(t)
+        for part, gain in enumerate(gains):
+            mine = rows.mapInArrow(_by_document(k, part, slices if k > 1 else 1), "id long, key long, gram long, n int")
+            hits = mine.join(gain.select("gram", "gain").hint("shuffle_hash"), "gram")
+            words = F.sum("n") if k == 1 else F.lit(0)
+            sums.append(materialize(hits.groupBy("id", "key").agg(F.sum(F.col("n") * F.col("gain")).alias("total"), words.cast("long").alias("words")), "sums"))
+        below = gains[0]
+        for g in gains[1:]:
+            below = below.unionByName(g)
+    every = sums[0]
+    for s in sums[1:]:
+        every = every.unionByName(s)
+    every = every.groupBy("id", "key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
+    sized = rows.mapInArrow(_sizes, "doc_id long, id long, key long, n_words long")
+    tried = sum(F.greatest(F.col("n_words") - (k - 1), F.lit(0)) for k in range(2, order + 1)) if order > 1 else F.lit(0)
+    score = F.when(F.col("n_words") > 0, F.col("total") * F.col("n_words") / F.col("words") + tried * F.lit(back))  # rows that repeat share one sum
+    out = sized.join(every, ["id", "key"], "left").withColumn("log10_score", score)
+    return out.select("doc_id", "n_words", "log10_score", (F.col("log10_score") / F.col("n_words")).alias("log10_per_word"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,13 +202,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 t AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
-u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
 n AS (SELECT count(*) AS c FROM t),
-b AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
-bc AS (SELECT p, w, count(*) AS c FROM b WHERE p IS NOT NULL GROUP BY p, w),
+g AS (SELECT r, i, w, lag(w) OVER o AS p, lag(w, 2) OVER o AS q FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+u AS (SELECT w, count(*) AS c FROM g GROUP BY w),
+b AS (SELECT p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY p, w),
+e AS (SELECT q, p, w, count(*) AS c FROM g WHERE q IS NOT NULL GROUP BY q, p, w),
 s AS (
-  SELECT b.r, log10(CASE WHEN bc.c >= 2 THEN bc.c / up.c WHEN b.p IS NULL THEN u.c / n.c ELSE 0.4 * u.c / n.c END) AS x
-  FROM b JOIN u ON b.w = u.w CROSS JOIN n LEFT JOIN bc ON bc.p = b.p AND bc.w = b.w LEFT JOIN u AS up ON up.w = b.p)
+  SELECT g.r, log10(CASE WHEN e.c >= 2 THEN e.c / bp.c WHEN b.c >= 2 THEN CASE WHEN g.q IS NULL THEN 1 ELSE 0.4 END * b.c / up.c
+    ELSE CASE WHEN g.p IS NULL THEN 1 WHEN g.q IS NULL THEN 0.4 ELSE 0.4 * 0.4 END * u.c / n.c END) AS x
+  FROM g JOIN u ON g.w = u.w CROSS JOIN n LEFT JOIN b ON b.p = g.p AND b.w = g.w LEFT JOIN u AS up ON up.w = g.p
+    LEFT JOIN e ON e.q = g.q AND e.p = g.p AND e.w = g.w LEFT JOIN b AS bp ON bp.p = g.q AND bp.w = g.p)
 SELECT d.doc_id, count(s.x) AS n_words, round(sum(s.x), 4) AS log10_score, round(sum(s.x) / count(s.x), 6) AS log10_per_word
 FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r, d.doc_id
 """

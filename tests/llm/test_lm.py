@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from marlstone.llm import lm
+from marlstone.llm.common import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -24,7 +25,7 @@ def brute(rows, order, least):
             return counts[gram] / counts[context]
         return 0.4 * s(context[1:], word)
 
-    return sorted((d, len(w), sum(math.log10(s(tuple(w[max(0, i - order + 1) : i]), x)) for i, x in enumerate(w))) for d, w in docs)
+    return sorted(((d, len(w), sum(math.log10(s(tuple(w[max(0, i - order + 1) : i]), x)) for i, x in enumerate(w)) or 0.0) for d, w in docs), key=str)
 
 
 def made():
@@ -34,13 +35,12 @@ def made():
     return rows + [rows[10], rows[10], (99, rows[11][1])]
 
 
-@pytest.mark.parametrize(("order", "least", "size"), [(1, 2, 1 << 24), (2, 2, 300), (3, 2, 1000), (4, 1, 1 << 24)])
-def test_matches_brute_force(spark, monkeypatch, tmp_path, order, least, size):
-    monkeypatch.setattr(lm, "PART_BYTES", 500)
-    rows = made()
+@pytest.mark.parametrize(("order", "least", "slices"), [(1, 2, 1), (2, 2, 3), (3, 2, 2), (4, 1, 1)])
+def test_matches_brute_force(spark, tmp_path, order, least, slices):
+    rows = [*made(), (None, "a b c a b"), (12, "a b c d e"), (12, "a b")]
     path = str(tmp_path / "d")
     spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_words string").repartition(3).write.parquet(path)
-    got = sorted((r.doc_id, r.n_words, r.log10_score or 0.0) for r in lm.score_corpus(spark.read.parquet(path), order, least).collect())
+    got = sorted(((r.doc_id, r.n_words, r.log10_score or 0.0) for r in lm.score_corpus(spark.read.parquet(path), order, least, slices).collect()), key=str)
     want = brute(rows, order, least)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(math.isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want, strict=True))
@@ -60,8 +60,29 @@ def test_query_matches_sql(spark):
 def test_input_out_of_a_shuffle(spark):
     rows = [(i, f"a b c w{i % 3}") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert lm.score_corpus(df).where("n_words = 4 and log10_score < 0").count() == 50
+    assert lm.score_corpus(df, slices=1).where("n_words = 4 and log10_score < 0").count() == 50
+
+
+def test_long_texts_are_exploded_in_blocks(spark):
+    words = [f"w{i % 7}" for i in range(1000)]
+    whole, cut = lm.Exploder(3, 0, 1), lm.Exploder(3, 0, 1, size=50)
+    texts = [b"a b", " ".join(words).encode(), None, b"a b c"]
+    parts = [list(cut(texts)), list(whole(texts))]
+    assert len(parts[0]) > 20 and len(parts[1]) == 1
+    for cut_up, at_once in zip(zip(*parts[0], strict=True), parts[1][0], strict=True):
+        assert [x for part in cut_up for x in part.tolist()] == at_once.tolist()
+    assert max(map(len, lm.blocks(texts[1], 50))) < 60
+
+
+def test_word_hashes():
+    texts = [b" one two\tone ", None, b"", b"one " + b"x" * 5000 + b"\x0btwo"]
+    for block in (8, 1 << 18):
+        hashes, sizes = Words(block).of_texts(texts)
+        assert sizes.tolist() == [3, 0, 0, 3]
+        assert hashes[0] == hashes[2] == hashes[3] and hashes[1] == hashes[5] and len(set(hashes.tolist())) == 3
+    many = [f"w{i}".encode() for i in range(50_000)]
+    assert len(set(Words().of_texts([b" ".join(many)])[0].tolist())) == 50_000
 
 
 def test_empty_table(spark):
-    assert lm.score_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert lm.score_corpus(spark.createDataFrame([], "doc_id long, text string"), slices=1).count() == 0
