@@ -65,6 +65,14 @@ def discard(df: DataFrame) -> None:
     delete(df.sparkSession, df.written_to)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash; forgets all at ``limit`` words, so memory is bounded."""
 
