@@ -2,10 +2,11 @@
 
 Encoding. A text passes through in blocks. Blocks end where no special token,
 composition or piece of the pre-tokenizer can straddle the cut; a cut inside a
-long run of letters leaves its word open. Tokens of an open word are emitted
-once stable: ``lookahead`` computes from the merge list how far to the left an
-unknown continuation can reach, and what ends before that is final. So memory
-depends on the merge list and the block size, not on the text.
+long run of letters, or of punctuation and symbols, leaves its word open. Tokens of
+an open word are emitted once stable: ``lookahead`` computes from the merge list how
+far to the left an unknown continuation can reach, and what ends before that is
+final. So memory depends on the merge list and the block size, not on the text (but
+for a run of combining marks, which no cut may part).
 
 Why the bound holds: apply the merges in order to a known prefix with an
 unknown rest. What depends on the rest is a suffix of the prefix, at first
@@ -18,7 +19,9 @@ text, holding back unfinished characters. A tokenizer file without a decoder
 joins its tokens by spaces, as its library does; ``as_text`` gives plain text.
 
 Defined results: a null text counts as empty; an empty text has no ids and the
-empty digest. Ids and order of rows are as in the input, repeats included.
+empty digest. Ids (null ones too) and order of rows are as in the input, repeats
+included. An empty table gives no rows. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -200,8 +203,11 @@ class Tokenizer:
         for at in range(len(text) - self.longest_special, self.longest_special, -1):
             x, y = text[at - 1], text[at]
             around = text[at - self.longest_special : at + self.longest_special]
-            if x.isdigit() and y.isdigit() and x.isascii() and y.isascii() and "<|" not in around:
+            kinds = unicodedata.category(x), unicodedata.category(y)
+            if kinds[0][0] == kinds[1][0] == "N" and "<" not in around:
                 return at, False
+            if all(k[0] in "PS" or k in ("Cf", "Co", "Cn") for k in kinds) and "'" not in around and "<" not in around and ">" not in around:
+                return at, True
             if x.isalpha() and y.isalpha() and not "ᅠ" <= y <= "ᇿ" and "'" not in around and "<" not in around:
                 return at, True
         return 0, False

@@ -7,8 +7,8 @@ Layout of a file (integers are little endian):
 * block table: offset of each block, 64 bits each
 * document table: ids of documents, then the position of each document's first
   id in the file, 64 bits each
-* trailer: number of ids, of blocks and of documents, 64 bits each; width and
-  format number, 32 bits each; the magic bytes
+* trailer: number of ids, of blocks, of documents and of those without an id (the
+  first ones), 64 bits each; width and format number, 32 bits each; the magic bytes
 
 ``width`` is the least number of bits that holds every id of the vocabulary.
 Any run of ids is read from the blocks that hold it (``PackedFile.ids``).
@@ -17,12 +17,16 @@ Files are written in ascending order of document ids over ranges of them, one
 file a range. A task names its file anew in each attempt, and only files that
 the written manifest names count, so lost executors leave at worst unread files.
 
-Defined results: a null text counts as empty and has the end id only. Rows that
-repeat an id each have their own entry.
+Defined results: a null text counts as empty and has the end id only. Rows without
+an id come first. Rows that repeat an id each have their own entry, in the order of
+a hash of their texts, then of the texts. A very long text is encoded whole by one
+task. An empty table writes no file and gives no rows. Other columns are not read,
+whatever their names. A tokenizer that splits texts otherwise is refused.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -45,8 +49,8 @@ from marlstone.llm.bpe import WHITE
 from marlstone.llm.common import fresh_path, materialize
 
 BLOCK = 8192
-MAGIC, FORMAT = b"PKDIDS\r\n", 1
-TRAILER = struct.Struct("<QQQII8s")
+MAGIC, FORMAT = b"PKDIDS\r\n", 2
+TRAILER = struct.Struct("<QQQQII8s")
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -86,10 +90,14 @@ class PackedWriter:
         self.out, self.width, self.at, self.n = out, width, 0, 0
         self.held: list[np.ndarray] = []
         self.n_held = 0
-        self.blocks, self.docs, self.starts = [], [], []
-
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+        self.blocks, self.docs, self.starts, self.unnamed = [], [], [], 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """Documents without an id go before all others."""
+        if doc_id is None and self.unnamed < len(self.docs):
+            raise ValueError("a document without an id after one with an id")
+        self.unnamed += doc_id is None
+        self.docs.append(doc_id or 0)
         self.starts.append(self.n)
         self.n += len(ids)
         self.held.append(ids)
@@ -111,7 +119,7 @@ class PackedWriter:
         self._flush(True)
         for table in (self.blocks, self.docs, self.starts):
             self.out.write(np.array(table, "<i8").tobytes())
-        self.out.write(TRAILER.pack(self.n, len(self.blocks), len(self.docs), self.width, FORMAT, MAGIC))
+        self.out.write(TRAILER.pack(self.n, len(self.blocks), len(self.docs), self.unnamed, self.width, FORMAT, MAGIC))
 
 
 class PackedFile:
@@ -120,7 +128,7 @@ class PackedFile:
     def __init__(self, source, size: int) -> None:
         self.source = source
         source.seek(size - TRAILER.size)
-        self.n, blocks, docs, self.width, number, magic = TRAILER.unpack(source.read(TRAILER.size))
+        self.n, blocks, docs, self.unnamed, self.width, number, magic = TRAILER.unpack(source.read(TRAILER.size))
         if magic != MAGIC or number != FORMAT:
             raise ValueError("not a file of packed ids")
         tables = 8 * (blocks + 2 * docs)
@@ -148,7 +156,8 @@ class ByteBpe:
     merges each by itself, so the ids of a text are those of its pieces.
     """
 
-    # Fixed value: how the tokenizer splits texts, with White_Space spelled out.
+    # How the tokenizer's kind of splitting is named, and what it does, with White_Space spelled out.
+    SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^WHITE\p{L}\p{N}]+|[WHITE]+(?![^WHITE])|[WHITE]+""".replace("WHITE", WHITE))
     LIMIT = 800_000
 
@@ -157,6 +166,10 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        spec = json.loads(self.library.to_str())
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or any(split.get(k) != v for k, v in self.SPLITTER.items()):
+            raise ValueError(f"{path} does not split texts as byte-level BPE does")
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
@@ -229,7 +242,7 @@ def write_packed(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(writer.docs), "n_tokens": writer.n}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "packed-manifest")
+    return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(write, MANIFEST), "packed-manifest")
 
 
 def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
@@ -251,7 +264,7 @@ def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
                         for k in range(i, j):
                             crc[k] = zlib.crc32(data[4 * (int(f.starts[k]) - first) : 4 * (int(ends[k]) - first)])
                         i = j
-                    yield pa.RecordBatch.from_arrays([pa.array(f.docs), pa.array(f.starts + row["base"]), pa.array(ends - f.starts), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f.docs, mask=np.arange(len(f.docs)) < f.unnamed), pa.array(f.starts + row["base"]), pa.array(ends - f.starts), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
     files = max(1, manifest.count())  # a stated number of partitions: by default so small a table is put into one task, which would read all files

@@ -6,9 +6,12 @@ endpoints. An interval join within scopes of a document then links parts; a
 weak identifier or secret is reported only where a complementary part lies
 within ``reach`` code points of it.
 
-Defined results: null and empty texts have no spans. Rows that repeat an id are
-scanned each by itself, but share what linking finds for the id. Offsets are
-code points, ends exclusive.
+Defined results: null and empty texts have no spans. Rows that repeat an id, or have
+none, are scanned and linked each by itself. A very long text is scanned by one task,
+and its parts meet in bins of ``reach`` code points. Parts at equal places are listed
+by kind. Offsets are code points, ends exclusive. An empty table gives no rows. Other
+columns are not read, whatever their names (``redact_secrets`` returns them
+unchanged).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.llm.common import free_name, materialize
 
 # What the base rules match.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -35,7 +38,7 @@ WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b(?:[a-z0-9-]+\.)+(?:amazonaws\.com|internal|local)\b(?::\d+)?", re.ASCII)
 
 SPAN = "struct<start:int,rank:int,stop:int>"
-SCHEMA = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<{SPAN}>, parts array<{SPAN}>"
+SCHEMA = f"doc_id long, row long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<{SPAN}>, parts array<{SPAN}>"
 KIND_ARRAY = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
 
 
@@ -77,7 +80,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ("start", "rank", "stop")
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             base = base_spans(text) if text else []
             said = ",".join(f"{KINDS[r]}:{s}:{e}" for s, r, e in base)
             counts = [sum(r == k for _, r, _ in base) for k in range(3)]
@@ -85,11 +88,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((*counts, hashlib.sha256(said.encode()).hexdigest(), [dict(zip(keys, x, strict=True)) for x in base], [dict(zip(keys, x, strict=True)) for x in parts]))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int64()] * 3 + [pa.string(), span, span]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "parts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "row", "n_assign", "n_access", "n_hex", "base_sha256", "base", "parts"])
 
 
 def link_parts(scanned: DataFrame, reach: int = 256) -> DataFrame:
-    """Interval join of weak parts with complementary parts: (doc_id, linked).
+    """Interval join of weak parts with complementary parts of the same row: (doc_id, row, linked); ``scanned`` is written, so that rows keep their numbers.
 
     A weak identifier needs a secret (weak or strong), a weak secret needs an
     identifier or an endpoint, and an endpoint needs a secret, each within
@@ -97,27 +100,31 @@ def link_parts(scanned: DataFrame, reach: int = 256) -> DataFrame:
     one document, so a bin holds a bounded number of parts, however long the
     document is.
     """
-    all_parts = scanned.where(F.size("parts") > 0).select("doc_id", F.explode(F.concat("base", "parts")).alias("p")).select("doc_id", "p.*").distinct()
+    all_parts = scanned.where(F.size("parts") > 0).select("doc_id", "row", F.explode(F.concat("base", "parts")).alias("p")).select("doc_id", "row", "p.*")
     role = F.when(F.col("rank").isin(1, 3), "id").when(F.col("rank") == 5, "end").otherwise("secret")
     all_parts = all_parts.withColumn("role", role)
     span = lambda low, high: F.explode(F.sequence(F.floor(F.greatest(low, F.lit(0)) / reach), F.floor(high / reach)))
     weak = all_parts.where("rank >= 3").withColumn("bin", span(F.col("start") - reach, F.col("stop") + reach))
-    other = all_parts.select("doc_id", F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("role").alias("role2")).withColumn("bin", span(F.col("s2"), F.col("e2")))
+    other = all_parts.select("row", F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("role").alias("role2")).withColumn("bin", span(F.col("s2"), F.col("e2")))
     near = (F.col("s2") <= F.col("stop") + reach) & (F.col("e2") >= F.col("start") - reach)
     fits = ((F.col("role") == "id") & (F.col("role2") == "secret")) | ((F.col("role") == "secret") & F.col("role2").isin("id", "end")) | ((F.col("role") == "end") & (F.col("role2") == "secret"))
-    hits = weak.join(other, ["doc_id", "bin"]).where(near & fits).select("doc_id", "start", "rank", "stop").distinct()
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "rank", "stop")).alias("linked"))
+    hits = weak.join(other, ["row", "bin"]).where(near & fits).select("doc_id", "row", "start", "rank", "stop").distinct()
+    return hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "rank", "stop")).alias("linked"))
+
+
+def scan_rows(rows: DataFrame, reach: int) -> DataFrame:
+    """All spans of each row of ``rows`` (doc_id, row, text) as an array ``found``, with counts and digest of the base spans."""
+    scanned = materialize(rows.mapInArrow(_scan, SCHEMA), "secret-scan")
+    linked = link_parts(scanned, reach).drop("doc_id")
+    every = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(f"array<{SPAN}>"))))
+    return scanned.join(linked, "row", "left").withColumn("found", every)
 
 
 def secret_scan(docs: DataFrame, reach: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans as an array ``found`` and a string ``spans``."""
-    scanned = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
-    scanned = materialize(scanned, "secret-scan")
-    linked = link_parts(scanned, reach)
-    every = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(f"array<{SPAN}>"))))
-    out = scanned.join(linked, "doc_id", "left").withColumn("found", every)
+    out = scan_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text")), reach)
     said = F.transform("found", lambda x: F.concat_ws(":", F.element_at(F.expr(KIND_ARRAY), x["rank"] + 1), x["start"].cast("string"), x["stop"].cast("string")))
-    return out.withColumn("spans", F.array_join(said, ",")).withColumn("n_linked", F.coalesce(F.size("linked"), F.lit(0)).cast("long"))
+    return out.withColumn("spans", F.array_join(said, ",")).withColumn("n_linked", F.coalesce(F.size("linked"), F.lit(0)).cast("long")).drop("row")
 
 
 def redact(text: F.Column, found: F.Column, mark: str = "[SECRET]") -> F.Column:
@@ -129,11 +136,20 @@ def redact(text: F.Column, found: F.Column, mark: str = "[SECRET]") -> F.Column:
 
 
 def redact_secrets(docs: DataFrame, reach: int = 256, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with their secrets replaced; texts without any stay as they are."""
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    found = secret_scan(keyed, reach, "_key", text_col).where(F.size("found") > 0).select(F.col("doc_id").alias("_key"), "found").dropDuplicates(["_key"])
-    marked = keyed.join(found, "_key", "left")
-    clean = F.when(F.col("found").isNotNull(), redact(F.col(text_col), F.col("found"))).otherwise(F.col(text_col))
+    """All rows of ``docs``, in all their columns, with their secrets replaced; texts without any stay as they are.
+
+    Texts are told apart by two hashes of 64 bits; equal texts have equal spans.
+    """
+    one, two, spans = (free_name(docs.columns, c) for c in ("key_", "key2_", "spans_"))
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({one: F.xxhash64(text), two: F.xxhash64(F.lit(1), text)})
+    distinct = keyed.where(text.isNotNull()).select(F.col(one).alias("doc_id"), F.col(two).alias("row"), text.alias("text"))
+    scanned = materialize(distinct.mapInArrow(_scan, SCHEMA).where("size(base) > 0 or size(parts) > 0").dropDuplicates(["doc_id", "row"]), "secret-scan")
+    linked = link_parts(scanned, reach)
+    every = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(f"array<{SPAN}>"))))
+    found = scanned.join(linked, ["doc_id", "row"], "left").select(F.col("doc_id").alias(one), F.col("row").alias(two), every.alias(spans)).where(F.size(spans) > 0)
+    marked = keyed.join(found, [one, two], "left")
+    clean = F.when(F.col(spans).isNotNull(), redact(text, F.col(spans))).otherwise(F.col(text_col))
     return marked.withColumn(text_col, clean).select(*docs.columns)
 
 

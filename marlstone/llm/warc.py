@@ -5,15 +5,20 @@ tests record type and other header predicates on them, and decodes a payload
 only if the record is wanted and the option ``payload`` asks for it ("full",
 "digest" or "none"). Compressed files have one gzip member a record; the writer
 notes a member's size in the gzip extra field "SL", so that an unwanted member
-is skipped without inflating it. Members without that field are inflated.
+is skipped without inflating it. Members without that field are inflated, and may
+hold several records.
 
 The writer streams one file a task and commits by naming its files in
-``_manifest.json``; without one, all ``*.warc`` and ``*.warc.gz`` files count.
+``_manifest.json``, to which the mode "append" adds and which "overwrite" replaces;
+without one, all ``*.warc`` and ``*.warc.gz`` files count.
 
 Defined results: a null html counts as empty, a null url is left out of the
 record. Of pages with equal payloads of at least ``least_bytes`` bytes the one
 with the smallest id is the response (rows that repeat that id are responses
-too); a page with a null id is always a response, never a target.
+too); a page with a null id is always a response, never a target. A very long
+payload is held whole by the task that writes or reads it. An empty table writes no
+file and reads back empty. Other columns of the pages are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -78,6 +83,14 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+def manifest(fs: pafs.FileSystem, base: str) -> list[str] | None:
+    """Names of the committed files, if any commit was made."""
+    if fs.get_file_info(f"{base}/_manifest.json").type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(f"{base}/_manifest.json") as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Files(InputPartition):
     path: str
@@ -89,8 +102,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
-        self.folder, self.gz = options["path"], options.get("compression", "gzip") == "gzip"
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.folder, self.gz, self.overwrite = options["path"], options.get("compression", "gzip") == "gzip", overwrite
         self.date = options.get("date", "2024-01-01T00:00:00Z")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -111,8 +124,10 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, base = pafs.FileSystem.from_uri(self.folder)
         fs.create_dir(base, recursive=True)
+        new = {f for m in messages if m for f in m.files}
+        before = set() if self.overwrite else set(manifest(fs, base) or ())
         with fs.open_output_stream(f"{base}/_manifest.json") as out:
-            out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+            out.write(json.dumps(sorted(before | new)).encode())
 
 
 class _Inflated(io.RawIOBase):
@@ -136,16 +151,22 @@ class _Inflated(io.RawIOBase):
             self.data += self.machine.decompress(raw, max(4096, n - len(self.data)))
         return self.data
 
-    def skip(self) -> None:
+    def following(self) -> _Inflated | None:
+        """Skips the record; this member again if it holds another."""
         if self.size:
             self.source.seek(self.begin + self.size)
-            return
-        while not self.machine.eof:
-            raw = self.machine.unconsumed_tail or self.source.read(65536)
-            if not raw:
-                raise EOFError("a gzip member ends early")
-            self.machine.decompress(raw, 1 << 20)
+            return None
+        left = self.end
+        while left:
+            self.more(min(left, 1 << 20))
+            if not self.data:
+                raise EOFError("a record ends early")
+            gone = min(left, len(self.data))
+            self.data, left = self.data[gone:], left - gone
+        if self.more(1):
+            return self
         self.source.seek(self.source.tell() - len(self.machine.unused_data))
+        return None
 
 
 class _Plain:
@@ -159,7 +180,7 @@ class _Plain:
             self.data += self.source.read(n - len(self.data))
         return self.data
 
-    def skip(self) -> None:
+    def following(self) -> None:
         self.source.seek(self.begin + self.end)
 
 
@@ -209,11 +230,8 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, base = pafs.FileSystem.from_uri(self.folder)
-        if fs.get_file_info(f"{base}/_manifest.json").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{base}/_manifest.json") as f:
-                names = [f"{base}/{n}" for n in json.loads(f.read())]
-        else:
-            names = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(base)) if i.path.endswith((".warc", ".warc.gz")))
+        known = manifest(fs, base)
+        names = [f"{base}/{n}" for n in known] if known is not None else sorted(i.path for i in fs.get_file_info(pafs.FileSelector(base)) if i.path.endswith((".warc", ".warc.gz")))
         return [Files(n) for n in names] or [Files("")]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -231,9 +249,9 @@ class WarcReader(DataSourceReader):
         fs, _ = pafs.FileSystem.from_uri(self.folder)
         with fs.open_input_file(path) as f:
             size, source = f.size(), io.BufferedReader(f, 1 << 20)
-            kind = _Inflated if path.endswith(".gz") else _Plain
-            while source.tell() < size:
-                record = kind(source)
+            kind, record = _Inflated if path.endswith(".gz") else _Plain, None
+            while record or source.tell() < size:
+                record = record or kind(source)
                 body = _until(record, b"\r\n\r\n", 0)
                 h = _headers(record.more(body)[:body])
                 length = int(h["content-length"])
@@ -243,7 +261,7 @@ class WarcReader(DataSourceReader):
                 if self._fits(row):
                     self._block(record, row, body, length, h)
                     yield row
-                record.skip()
+                record = record.following()
 
     def _block(self, record, row: dict, body: int, length: int, h: dict) -> None:
         start = body
@@ -272,7 +290,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -280,7 +298,7 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, compression: str = "gzip") -> None:
+def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, compression: str = "gzip", mode: str = "append") -> None:
     """Write a record a row of ``pages`` (page_id, url, html) below ``folder``, repeats of a payload as revisits."""
     spark = pages.sparkSession
     register(spark)
@@ -297,7 +315,7 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, compression
         F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
         F.when(F.col("revisit"), F.col("first")).alias("refers_to"),
     )
-    out.write.format("warc").mode("append").option("compression", compression).save(folder)
+    out.write.format("warc").mode(mode).option("compression", compression).save(folder)
 
 
 def read_warc(spark: SparkSession, folder: str, payload: str = "full") -> DataFrame:

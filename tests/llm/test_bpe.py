@@ -59,12 +59,25 @@ def test_open_word_emits_early_and_holds_little(library):
     assert out + word.close() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_runs_of_marks_are_cut(library):
+    t = Tokenizer(PATH, 256)
+    rnd = random.Random(4)
+    for alphabet in ("!?.,;:-", "🎉😀=+", "½²³", "٣٤٥"):
+        text = "".join(rnd.choices(alphabet, k=20_000))
+        assert max(len(block) for block, *_ in t._spans(text)) <= 2 * 256
+        assert ids_of(t, text) == library.encode(text, add_special_tokens=False).ids
+    mixed = "".join(rnd.choices("!?'s<|>x ", k=4000))
+    assert ids_of(t, mixed) == library.encode(mixed, add_special_tokens=False).ids
+
+
 def test_operator(spark, library):
     texts = [None, *TEXTS]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(1, "", "x")], "doc_id long, text string, n_tokens string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(1, "", "x"), (None, "null id", "x")], "doc_id long, text string, n_tokens string")
     rows = bpe_round_trip(docs, PATH).collect()
-    assert len(rows) == len(texts) + 1
+    assert len(rows) == len(texts) + 2
     for r in rows:
+        if r.doc_id is None:
+            continue
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()

@@ -61,6 +61,34 @@ def test_foreign_members_without_sizes(spark, tmp_path):
     assert sorted(bytes(r.payload).decode() for r in back) == ["page 1" * 500, "page 3" * 500]
 
 
+def test_member_with_many_records(spark, tmp_path):
+    import gzip
+
+    records = [render(i, "http://a", f"page {i}" * 500, "cc", "response", None, "2024-01-01T00:00:00Z") for i in range(5)]
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(records[:3])) + gzip_member(records[3]) + gzip.compress(records[4]))
+    back = read_warc(spark, f"file://{tmp_path}")
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in back.collect()) == [(i, f"page {i}" * 500) for i in range(5)]
+    assert [r.page_id for r in back.where("page_id = 2").collect()] == [2]
+
+
+def test_append_adds_and_overwrite_replaces(spark):
+    folder = fresh_path(spark, "warc-test")
+    one = lambda i: spark.createDataFrame([(i, "http://a", f"page {i}")], "page_id long, url string, html string")
+    write_pages(one(1), folder)
+    write_pages(one(2), folder)
+    assert sorted(r.page_id for r in read_warc(spark, folder).collect()) == [1, 2]
+    write_pages(one(3), folder, mode="overwrite")
+    assert [r.page_id for r in read_warc(spark, folder).collect()] == [3]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    folder = fresh_path(spark, "warc-test")
+    rows = [(None, None, "same"), (None, None, "same"), (4, "u", "same"), (4, "u", "same"), (9, "u", "same"), (9, "u", "same")]
+    write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = [(r.page_id, r.record_type, r.refers_to) for r in read_warc(spark, folder, "digest").collect()]
+    assert sorted(got, key=str) == sorted([(None, "response", None)] * 2 + [(4, "response", None)] * 2 + [(9, "revisit", 4)] * 2, key=str)
+
+
 def test_empty_table(spark):
     folder = fresh_path(spark, "warc-test")
     write_pages(spark.createDataFrame([], "page_id long, url string, html string"), folder)
