@@ -1,6 +1,12 @@
 import html
+import random
+import time
+from collections import defaultdict
 
-from marlstone.llm.html_main import deduce_templates, extract_main, main_text, parse
+from pyspark.sql import functions as F
+
+from marlstone.llm import html_main
+from marlstone.llm.html_main import deduce_templates, extract_main, main_text, page_orders, page_tokens, parse
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/x">menu</a></li></ul></nav>
 <!-- ad <p>no</p> --><div class="ad">buy</div><div class="cookie-notice">ok?</div><article><h1>%s</h1><p><b>One &amp; &lt;two&gt;<br>three  four<p>Five
@@ -57,11 +63,102 @@ def test_gap_holds_blocks_with_a_role_of_their_own(spark):
 
 def test_occurrence_vectors_separate_classes(spark):
     rows = [(i, "http://h", "<body><main>" + "<p>x</p>" * (i + 1) + "</main></body>") for i in range(4)]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h"))
     (r,) = deduce_templates(df).collect()
-    assert len(r.mains) == 1
+    assert len(r.template.mains) == 1
+
+
+def brute_template(pages, support=0.6):
+    """Frame, main and dropped roles of one host from whole vectors."""
+    vectors, kinds, texts, sizes = defaultdict(lambda: [0] * len(pages)), {}, defaultdict(dict), defaultdict(lambda: [0, 0])
+    for i, page in enumerate(pages):
+        counts, said, size = page_tokens(page)
+        for (role, kind), n in counts.items():
+            vectors[role][i], kinds[role] = n, kind
+            texts[role][i] = said.get(role, -1)
+            for k, x in enumerate(size.get(role, ())):
+                sizes[role][k] += x
+    classes = defaultdict(list)
+    for role, v in vectors.items():
+        if sum(x > 0 for x in v) >= support * len(pages):
+            classes[tuple(v)].append(role)
+    frame, mains, dropped, tokens = set(), {"article": set(), "main": set(), "other": set()}, set(), set()
+    numbers = {r: c for c, roles in enumerate(classes.values()) for r in roles}
+    orders = [page_orders(p, {r: c for r, c in numbers.items() if len([x for x in numbers.values() if x == c]) >= 2 or max(vectors[r]) > 1 or set(vectors[r]) == {1}}) for p in pages]
+    for c, (v, roles) in enumerate(classes.items()):
+        seen = {o[c] for o in orders if c in o}
+        if len(seen) != 1 or next(iter(seen))[0] == -1:
+            continue
+        for r in roles:
+            tokens.add(r)
+            said = [t for t in texts[r].values()]
+            menu = kinds[r] == "other" and sizes[r][0] > 0 and 2 * sizes[r][1] > sizes[r][0]
+            if set(v) == {1}:
+                frame.add(r)
+            if kinds[r] == "aside" or menu:
+                dropped.add(r)
+            elif kinds[r] in mains and (kinds[r] != "other" or min(said) < max(said)):
+                mains[kinds[r]].add(r)
+    return frame, next((m for m in mains.values() if m), set()), dropped, tokens
+
+
+def test_templates_match_brute_force(spark):
+    rnd = random.Random(6)
+    for shape in range(4):
+        pages = []
+        for i in range(8):
+            items = "".join(f"<li><a href='/{k}'>item {k} {i}</a></li>" for k in range(rnd.randrange(1, 4)))
+            body = "".join(f"<p>text {i} {k}</p>" for k in range(rnd.randrange(1, 5)))
+            main = {0: f"<article><h1>t {i}</h1>{body}</article>", 1: f"<main>{body}</main>", 2: f"<div class='x'>{body}</div>", 3: f"<article id='p{i}'>{body}</article>"}[shape]
+            parts = [f"<ul class='m'>{items}</ul>", main] if i % 3 or shape != 2 else [main, f"<ul class='m'>{items}</ul>"]
+            pages.append(f"<html><body><div class='top'>site</div>{''.join(parts)}<footer>end {i}</footer></body></html>")
+        df = spark.createDataFrame([(i, "http://h", p, "h") for i, p in enumerate(pages)], "page_id long, url string, html string, host string").repartition(3)
+        (r,) = deduce_templates(df).collect()
+        got = tuple(set(x) for x in (r.template.frame, r.template.mains, r.template.dropped, r.template.tokens))
+        assert got == brute_template(pages), shape
+
+
+def test_links_make_a_menu_without_names(spark):
+    page = "<body><div class='k1'><a href='/a'>go {i}</a> <a href='/b'>there {i}</a></div><div class='k2'><p>Text {i} <a href='/c'>link</a></p><p>More {i}</p></div><div class='k3'>end</div></body>"
+    assert texts(spark, [page.format(i=i) for i in range(6)]) == [f"Text {i} link\n\nMore {i}" for i in range(6)]
+
+
+def test_classes_out_of_order_are_no_template():
+    classes = {}
+    one, two = "<body><div class='a'></div><div class='b'></div></body>", "<body><div class='b'></div><div class='a'></div></body>"
+    for what, e, _, _ in parse(one):
+        if what == "open" and e.tag == "div":
+            classes[e.role] = 1
+    assert page_orders(one, classes)[1] != page_orders(two, classes)[1]
+    assert page_orders(one.replace("</body>", "<div class='b'></div></body>"), classes)[1][0] == -1
+
+
+def test_page_without_the_frame_is_judged_alone(spark):
+    page = "<body><div class='top'>Site</div><article><p>Text {i}</p></article><div class='end'>e</div></body>"
+    pages = [page.format(i=i) for i in range(5)] + ["<body><main><p>Own</p></main><p>not</p></body>"]
+    assert texts(spark, pages)[-1] == "Own"
+
+
+def test_salted_templates_give_the_same(spark, monkeypatch):
+    page = "<body><p class='kicker'>kicker {i}</p><article><p>Text {i}</p></article></body>"
+    want = texts(spark, [page.format(i=i) for i in range(5)])
+    monkeypatch.setattr(html_main, "SENT_BYTES", 0)
+    assert texts(spark, [page.format(i=i) for i in range(5)]) == want == [f"Text {i}" for i in range(5)]
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        assert main_text("<div>" * n + "deep" + "</div>x" * n).startswith("deep")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "http://h/1", "<article>a</article>"), (None, "http://h/1", "<article>a</article>"), (1, None, None)]
+    got = extract_main(spark.createDataFrame([(*r, 0, "x") for r in rows], "page_id long, url string, html string, host int, template string")).collect()
+    assert sorted(((r.page_id, r.text) for r in got), key=str) == sorted([(None, "a"), (None, "a"), (1, "")], key=str)
 
 
 def test_broken_markup():
