@@ -73,23 +73,6 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; forgets all at ``limit`` words, so memory is bounded."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 class Words:
     """Hashes of the words of texts, without making a Python object a word.
 
@@ -99,9 +82,10 @@ class Words:
 
     SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __init__(self, block: int = 1 << 18) -> None:
-        self.block, self.base, self.inverse = block, 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-        self.values = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64)
+    def __init__(self, block: int = 1 << 18, seed: int = 5) -> None:
+        self.block, self.base = block, 0x9E3779B97F4A7C15 + 2 * seed
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.values = np.random.default_rng(seed).integers(1, 1 << 63, 256).astype(np.uint64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:

@@ -7,9 +7,11 @@ of its bytes in chunks outside it. What is left after the last whole chunk is
 judged by a chunk that ends with the text, and counts with the bytes no chunk
 before has. A text shorter than a chunk is judged by the band of its length.
 
-Defined results: a null text counts as having no words and fails the base rule;
-an empty text too. Repeated rows are judged each by itself. Other columns of
-the input are left alone, since only the id and the text are read.
+Defined results: a null text counts as having no words and fails the base rule; an
+empty text too. A null id stays null. Repeated rows are judged each by itself, and so
+are equal ids. A very long text is judged whole by one task. A ratio equal to a limit
+is inside its band. An empty table gives no rows. Other columns are not read, whatever
+their names (``keep_good`` returns them unchanged).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Rolling, WordHashes, covered
+from marlstone.llm.common import Rolling, Words, covered
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, zstd_ratio double, n_chunks long, n_bad_chunks long"
 
@@ -57,7 +59,7 @@ class Bands:
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
-def _judge(text: bytes, hashes: WordHashes, rolling: Rolling, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple:
+def _judge(text: bytes, hashes: Words, rolling: Rolling, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple:
     words = text.split()
     n = len(words)
     chars = len(text.decode("utf-8", "replace")) - sum(map(text.count, (WHITE[i : i + 1] for i in range(len(WHITE)))))
@@ -65,7 +67,7 @@ def _judge(text: bytes, hashes: WordHashes, rolling: Rolling, packer: zstandard.
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeats = 0
     if n > 8:
-        grams = rolling(hashes.of(words), 8)
+        grams = rolling(hashes.of_texts([text])[0], 8)
         order = np.argsort(grams, kind="stable")
         same = grams[order[1:]] == grams[order[:-1]]
         if same.any():
@@ -87,7 +89,7 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id
     """Counts, base verdict and compression verdict of each row of ``docs``; one pass, no shuffle."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = WordHashes(), Rolling(0x9E3779B97F4A7C15)
+        hashes, rolling = Words(), Rolling(0x9E3779B97F4A7C15)
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             rows = [_judge(t or b"", hashes, rolling, packer, bands) for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -104,7 +106,7 @@ def keep_good(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = WordHashes(), Rolling(0x9E3779B97F4A7C15)
+        hashes, rolling = Words(), Rolling(0x9E3779B97F4A7C15)
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             good = [_judge(t or b"", hashes, rolling, packer, bands)[6] for t in batch.column(at).cast(pa.binary()).to_pylist()]

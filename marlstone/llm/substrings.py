@@ -4,9 +4,11 @@ First pass. Each window of ``WINDOW`` words is counted under its anchor, the
 least hash among the ``GRAM``-word runs inside it: equal windows have equal
 anchors, so the count of an anchor is never below that of a window. Tasks
 count the anchors of their documents in sketches (four rows of cells, counts up
-to two), the sketches are merged cell by cell, and one bit a cell, "two or
-more", is sent to all tasks. Its size is fixed by ``cells`` (2**26: 32 MB), not by
-the data; a fuller sketch lets more windows through and never loses one.
+to two), the sketches are merged cell by cell, and one bit a cell, "two or more", is
+sent to all tasks. ``cells_for`` gives a row of the sketch two cells for each anchor
+that so much text is likely to have, between 2**20 and 2**27 cells; with 4 rows
+that is 64 MB at most. From about 5 GB of text on that bound holds: a fuller sketch
+lets more windows through to the second pass and never loses one.
 
 Second pass. Only windows whose anchor may be repeated go on. Documents with
 the same words are represented by the smallest of them, so groups of copies
@@ -31,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Rolling, WordHashes, covered, materialize
+from marlstone.llm.common import Rolling, Words, covered, materialize
 
 WINDOW, GRAM = 50, 25
-CELLS, ROWS = 1 << 26, 4
+FEWEST, MOST, ROWS = 1 << 20, 1 << 27, 4
 BLOCK = 1 << 16
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -44,7 +46,13 @@ class Windows:
     """Hashes of the windows of a text and their anchors."""
 
     def __init__(self) -> None:
-        self.words, self.first, self.second = WordHashes(), Rolling(FIRST), Rolling(SECOND)
+        self.words, self.others, self.first, self.second = Words(), Words(seed=6), Rolling(FIRST), Rolling(SECOND)
+
+    def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """Word hashes of each text."""
+        for i in range(0, len(texts), 500):
+            words, sizes = self.words.of_texts(texts[i : i + 500])
+            yield from np.split(words, np.cumsum(sizes)[:-1])
 
     def anchors(self, hashes: np.ndarray) -> np.ndarray:
         """The anchor of each window: a sliding minimum, by doubling widths."""
@@ -54,8 +62,13 @@ class Windows:
             width *= 2
         return np.minimum(low[: len(low) - (want - width)], low[want - width :]) if want > width else low
 
-    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.first(hashes, WINDOW).view(np.int64), self.second(hashes, WINDOW).view(np.int64)
+    def ids(self, text: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.first(hashes, WINDOW).view(np.int64), self.second(self.others.of_texts([text])[0], WINDOW).view(np.int64)
+
+
+def cells_for(text_bytes: int) -> int:
+    """Cells of a row of the sketch: a power of two from twice the anchors of so much text, one in about 80 bytes."""
+    return min(MOST, max(FEWEST, 1 << (text_bytes // 40).bit_length()))
 
 
 def cells_of(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -68,17 +81,16 @@ def cells_of(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
     return out
 
 
-def sketch(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
+def sketch(docs: DataFrame, cells: int) -> np.ndarray:
     """Bits, one a cell: whether two documents or more counted there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
         for batch in batches:
             found = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = text.split() if text else []
-                if len(words) >= WINDOW:
-                    found.append(np.unique(windows.anchors(windows.words.of(words))))
+            for hashes in windows.texts(batch.column(1).cast(pa.binary()).to_pylist()):
+                if len(hashes) >= WINDOW:
+                    found.append(np.unique(windows.anchors(hashes)))
             if not found:
                 continue
             anchors = np.concatenate(found)
@@ -127,24 +139,26 @@ def maybe_repeated(bits: np.ndarray, anchors: np.ndarray, cells: int) -> np.ndar
 PLAN = "doc_id long, n_words long, k1 long, k2 long, sha string, text string, anchors array<long>"
 
 
-def dedup_substrings(docs: DataFrame, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row; ``kept`` is the remaining text where words were removed, else null."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cells = cells or cells_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     bits = spark.sparkContext.broadcast(sketch(rows, cells))
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
         for batch in batches:
             out = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for text, hashes in zip(texts, windows.texts(texts), strict=True):
                 words = text.split() if text else []
                 joined = b" ".join(words)
                 digest = hashlib.sha256(joined)
                 k1, k2 = np.frombuffer(digest.digest()[:16], "<i8").tolist()
                 seen = None
                 if len(words) >= WINDOW:
-                    seen = np.unique(windows.anchors(windows.words.of(words)))
+                    seen = np.unique(windows.anchors(hashes))
                     seen = seen[maybe_repeated(bits.value, seen, cells)].view(np.int64)
                     seen = seen if len(seen) else None
                 out.append((len(words), k1, k2, digest.hexdigest(), joined if seen is not None else None, seen))
@@ -153,7 +167,7 @@ def dedup_substrings(docs: DataFrame, cells: int = CELLS, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PLAN.split(", ")])
 
     planned = materialize(rows.mapInArrow(plan, PLAN), "window-plan")
-    flagged = planned.where("anchors is not null")
+    flagged = planned.where("anchors is not null and doc_id is not null")
     least = flagged.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
     holders = flagged.select("doc_id", "k1", "k2", "anchors").join(least, ["k1", "k2"]).where(F.col("doc_id") == F.col("first"))
     anchored = holders.select("doc_id", "k1", "k2", F.explode("anchors").alias("anchor"))
@@ -172,9 +186,10 @@ def dedup_substrings(docs: DataFrame, cells: int = CELLS, id_col: str = "doc_id"
             parts: list[tuple] = []
             held = 0
             for doc, key, text, shared in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                hashes = windows.words.of(text.encode().split())
+                data = text.encode()
+                (hashes,) = windows.texts([data])
                 at = np.flatnonzero(np.isin(windows.anchors(hashes), np.array(shared, np.int64).view(np.uint64))).astype(np.int32)
-                h1, h2 = windows.ids(hashes)
+                h1, h2 = windows.ids(data, hashes)
                 parts.append((h1[at], h2[at], np.full(len(at), doc), np.full(len(at), key), at))
                 held += len(at)
                 if held > 200_000:

@@ -2,8 +2,9 @@ import random
 import re
 
 import pytest
+import zstandard
 
-from marlstone.llm.quality import quality_rules
+from marlstone.llm.quality import Bands, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,6 +37,33 @@ def test_counts_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def brute_verdict(text, bands):
+    """The method's verdict, chunk by chunk."""
+    data = (text or "").encode()
+    size = lambda x: len(zstandard.ZstdCompressor(level=bands.level).compress(x))
+    low, high = next((a, b) for below, a, b in bands.limits if len(data) < below)
+    if not data or not low <= size(data) / len(data) <= high:
+        return False
+    bad, at = 0, 0
+    while len(data) >= bands.chunk_bytes and at < len(data):
+        end = min(at + bands.chunk_bytes, len(data))
+        if not bands.chunk_low <= size(data[end - bands.chunk_bytes : end]) / bands.chunk_bytes <= bands.chunk_high:
+            bad += end - at
+        at = end
+    return bad <= bands.bad_chunk_share * len(data)
+
+
+def test_verdicts_match_brute_force(spark):
+    rnd = random.Random(12)
+    parts = [a + b for a in "bcdfghlmnprst" for b in ("a", "e", "on", "ing")]
+    prose = lambda n: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 5))) for _ in range(n))
+    noise = lambda n: "".join(chr(rnd.randrange(33, 0x2FF)) for _ in range(n))
+    texts = [None, "", prose(10)] + [prose(rnd.randrange(20, 3000)) + noise(rnd.choice([0, 0, 300, 4000])) + "ab " * rnd.choice([0, 0, 50, 3000]) for _ in range(60)]
+    got = quality_rules(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, prose(30))], "doc_id long, text string")).collect()
+    verdicts = [(r.kept, not r.base_failed and brute_verdict(texts[r.doc_id], Bands())) for r in got if r.doc_id is not None]
+    assert all(a == b for a, b in verdicts) and 10 < sum(a for a, _ in verdicts) < 55
+
+
 def test_bands(spark):
     rnd = random.Random(1)
     parts = [a + b for a in "bcdfghlmnprst" for b in ("a", "e", "on", "ing")]
@@ -65,7 +93,5 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("n", [0, 63, 64, 10**6])
 def test_every_length_has_a_band(n):
-    from marlstone.llm.quality import Bands
-
     low, high = Bands().band(n)
     assert low < high

@@ -57,5 +57,13 @@ def test_anchors_are_sliding_minima():
     assert len(w.anchors(h[:50])) == 1
 
 
+def test_null_ids_and_a_long_text(spark):
+    prose = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, prose), (None, prose), (1, prose), (2, "x " * 5 + prose), (3, " ".join(f"v{i}" for i in range(200_000)) + " " + prose)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, first int")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in dedup_substrings(df).collect()), key=str)
+    assert got == sorted([(None, 60, 0), (None, 60, 0), (1, 60, 0), (2, 65, 60), (3, 200_060, 60)], key=str)
+
+
 def test_empty_table(spark):
     assert dedup_substrings(spark.createDataFrame([], "doc_id long, text string"), 1 << 16).count() == 0
