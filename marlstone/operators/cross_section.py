@@ -1,7 +1,8 @@
 """Cross-sectional indicators over daily bars: one aggregation a series, windows partitioned by series.
 
 Bars have (code, trade_date, open, high, low, close, volume, amount, name,
-market) with decimal prices. ``as_of`` stands for the current day throughout.
+market) with decimal prices. The current day is the latest one in them; the scan
+that makes them takes the day and how far back to read.
 """
 
 from __future__ import annotations
@@ -113,38 +114,54 @@ def market_breadth(bars: DataFrame) -> DataFrame:
 
 
 def turnover_ratio(bars: DataFrame, days: int = 25) -> DataFrame:
-    """Amount of a market's latest day against the mean of its earlier days within ``days`` calendar days; null under five of them."""
-    daily = bars.where("close > 0 and volume > 0 and name not like '%ST%'").groupBy("market", "trade_date").agg(F.sum("amount").alias("amount"))
+    """Amount of a market's latest day against the mean of its earlier days at most ``days`` calendar days back, in percent; null under five of them."""
+    daily = bars.groupBy("market", "trade_date").agg(F.sum("amount").alias("amount"))
     latest = daily.groupBy("market").agg(F.max("trade_date").alias("last"))
-    near = daily.join(latest, "market").where(F.col("trade_date") > F.date_sub("last", days))
+    near = daily.join(latest, "market").where(F.col("trade_date") >= F.date_sub("last", days))
     before = F.when(F.col("trade_date") < F.col("last"), F.col("amount"))
     today = F.max(F.when(F.col("trade_date") == F.col("last"), F.col("amount"))).cast("double")
-    return near.groupBy("market").agg(F.count(before).alias("n_before"), F.when(F.count(before) >= 5, today / mean_of(before) * 100).alias("turnover_pct"))
+    return near.groupBy("market").agg(F.count(before).alias("n_before"), F.when(F.count(before) >= 5, F.round(today / mean_of(before) * 100, 2)).alias("turnover_pct"))
 
 
 def breakout_efficacy(bars: DataFrame) -> DataFrame:
-    """For each market: breakouts over the prior 60-bar high on 1.5 times the 20-bar volume, and how many gain in five bars. Full windows only."""
+    """For each market: breakouts over the prior 60-bar high of closes on 1.2 times the 20-bar volume or more, full windows only.
+
+    Counted are those 30 to 5 days before the market's latest day that have
+    five later bars, the share of them that gain by then, and those of that day.
+    """
     w = Window.partitionBy("code").orderBy("trade_date")
     prior, twenty = w.rowsBetween(-60, -1), w.rowsBetween(-19, 0)
-    marked = bars.where("close > 0").select(
-        "market", "code", "trade_date", "close", "volume",
+    pool = bars.where("close > 0 and volume > 0 and name not like '%ST%'")
+    marked = pool.select(
+        "market", "trade_date", "close", "volume",
         F.when(F.count("close").over(prior) == 60, F.max("close").over(prior)).alias("high60"),
         F.when(F.count("volume").over(twenty) == 20, F.sum("volume").over(twenty).cast("double") / 20).alias("vol20"),
         F.lead("close", 5).over(w).alias("later"),
     )
-    hit = marked.where((F.col("close") > F.col("high60")) & (F.col("volume") > 1.5 * F.col("vol20")))
-    up = F.sum((F.col("later") > F.col("close")).cast("int"))
-    return hit.groupBy("market").agg(F.count("*").alias("n_breakouts"), F.count("later").alias("n_followed"), F.coalesce(up, F.lit(0)).alias("n_gained"))
+    latest = pool.groupBy("market").agg(F.max("trade_date").alias("last"))
+    hit = marked.where((F.col("close") > F.col("high60")) & (F.col("volume") >= 1.2 * F.coalesce("vol20", F.lit(0.0))))
+    counted = F.col("trade_date").between(F.date_sub("last", 30), F.date_sub("last", 5)) & F.col("later").isNotNull()
+    joined = latest.join(hit, "market", "left")
+    sample = F.count_if(counted)
+    share = F.count_if(counted & (F.col("later") > F.col("close"))) * F.lit(100).cast("decimal(10,4)") / sample
+    return joined.groupBy("market", "last").agg(sample.alias("sample_count"), F.when(sample > 0, F.round(share, 2).cast("double")).alias("positive_ratio"), F.count_if(F.col("trade_date") == F.col("last")).alias("breakout_today"))
 
 
-def equal_weight_index(bars: DataFrame) -> DataFrame:
-    """Mean daily change of each market compounded from 1000."""
+def daily_changes(bars: DataFrame) -> DataFrame:
+    """Mean change of each market and day over its series, names with ST left out."""
     w = Window.partitionBy("code").orderBy("trade_date")
     change = F.col("close").cast("double") / F.lag("close").over(w).cast("double") - 1
-    daily = bars.withColumn("change", change).where("change is not null").groupBy("market", "trade_date").agg(F.avg("change").alias("change"), F.count("*").alias("n"))
+    return bars.where("name not like '%ST%'").withColumn("change", change).where("change is not null").groupBy("market", "trade_date").agg(F.avg("change").alias("change"), F.count("*").alias("n"))
+
+
+def equal_weight_index(bars: DataFrame, days: int = 420) -> DataFrame:
+    """Mean daily change of each market compounded from 1000, from ``days`` days before its latest; levels to seven digits."""
+    daily = daily_changes(bars)
+    latest = daily.groupBy("market").agg(F.max("trade_date").alias("last"))
+    near = daily.join(latest, "market").where(F.col("trade_date") >= F.date_sub("last", days))
     path = Window.partitionBy("market").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     level = F.exp(F.sum(F.log1p("change")).over(path)) * 1000
-    return daily.select("market", "trade_date", "n", F.round("change", 9).alias("mean_change"), F.round(F.log(level), 6).alias("log_level"))
+    return near.select("market", "trade_date", "n", F.round("change", 9).alias("mean_change"), F.format_string("%.6e", level).cast("double").alias("level"))
 
 
 def price_trend(bars: DataFrame) -> DataFrame:
@@ -164,10 +181,9 @@ def quantile_close(bars: DataFrame, q: float = 0.9, n: int = 60) -> DataFrame:
 
 
 def range_contraction(bars: DataFrame) -> DataFrame:
-    """Ranges of 40 and 10 bars against the latest close, mean volume of falling bars in the last five, mean volume of 50."""
+    """Ranges of 40 and 10 bars against the latest close, mean volume of bars that close below their open in the last five, mean volume of 50."""
     rn = F.col("rn")
-    w = Window.partitionBy("code").orderBy("trade_date")
-    down = bars.withColumn("down", F.col("close") < F.lag("close").over(w))
+    down = bars.withColumn("down", F.col("close") < F.col("open"))
     spread = lambda k: (F.max(F.when(rn <= k, F.col("high"))) - F.min(F.when(rn <= k, F.col("low")))).cast("double") / F.max(F.when(rn == 1, F.col("close"))).cast("double")
     falling = F.when((rn <= 5) & F.col("down"), F.col("volume"))
     return newest_first(down).groupBy("code").agg(
@@ -188,11 +204,36 @@ def point_of_control(bars: DataFrame, bins: int = 20, n: int = 120) -> DataFrame
 
 
 def benchmark_derived(index: DataFrame) -> DataFrame:
-    """For each market's index (market, trade_date, change): 20-day volatility a year, its shock over five bars, and latest rank of it in 250."""
+    """For each market's index (market, trade_date, change): latest level, means over 20 and 60 days and their direction over five, 20-day volatility a year, its shock over five, and its rank in 250."""
     w = Window.partitionBy("market").orderBy("trade_date")
+    full = lambda n, x: F.when(F.count(x).over(w.rowsBetween(1 - n, 0)) == n, F.avg(x).over(w.rowsBetween(1 - n, 0)))
     twenty = w.rowsBetween(-19, 0)
     vol = F.when(F.count("change").over(twenty) == 20, F.stddev_samp("change").over(twenty) * F.sqrt(F.lit(252.0)))
-    marked = index.withColumn("vol", vol).withColumn("vol_before", F.lag("vol", 5).over(w)).withColumn("rn", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("trade_date"))))
-    last = marked.where("rn = 1").select("market", "trade_date", F.col("vol").alias("now"), (F.col("vol") / F.col("vol_before") - 1).alias("shock"))
+    marked = index.withColumn("close", F.exp(F.sum(F.log1p("change")).over(w.rowsBetween(Window.unboundedPreceding, 0))) * 1000)
+    marked = marked.select("*", full(20, "close").alias("ma20"), full(60, "close").alias("ma60"), vol.alias("vol"))
+    before = {f"{c}_before": F.lag(c, 5).over(w) for c in ("ma20", "ma60", "vol")}
+    marked = marked.withColumns(before).withColumn("rn", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("trade_date"))))
+    last = marked.where("rn = 1").selectExpr("market", "trade_date", "close > ma20 AS above_ma20", "close > ma60 AS above_ma60", "ma20 > ma20_before AS ma20_up", "ma60 < ma60_before AS ma60_down", "vol AS now", "vol / vol_before - 1 AS shock")
     rank = marked.where("rn <= 250 and vol is not null").join(last.select("market", "now"), "market").groupBy("market").agg((F.sum((F.col("vol") <= F.col("now") + 1e-12).cast("int")) * 100.0 / F.count("*")).alias("vol_pct_250"))
-    return last.join(rank, "market", "left").select("market", "trade_date", F.round("now", 6).alias("vol20"), F.round("shock", 6).alias("vol_shock"), F.round("vol_pct_250", 4).alias("vol_pct_250"))
+    return last.join(rank, "market", "left").select("market", "trade_date", "above_ma20", "above_ma60", "ma20_up", "ma60_down", F.round("now", 6).alias("vol20"), F.round("shock", 6).alias("vol_shock"), F.round("vol_pct_250", 4).alias("vol_pct_250"))
+
+
+def adaptability(derived: DataFrame, breadth: DataFrame, breakout: DataFrame, turnover: DataFrame) -> DataFrame:
+    """Scores of five dimensions (25, 20, 20, 25 and 10 points), their level (70 and 45), and the level after demotions in order: broken trend, volatility shock, failing breakouts."""
+    j = derived.join(breadth.select("market", "breadth_pct"), "market", "left").join(breakout.drop("last"), "market", "left").join(turnover.select("market", "turnover_pct"), "market", "left")
+    met = "int(above_ma20) + int(above_ma60) + int(coalesce(ma20_up, false))"
+    scored = j.selectExpr(
+        "*",
+        f"CASE WHEN above_ma60 IS NULL THEN 0 ELSE element_at(array(0, 5, 15, 25), {met} + 1) END AS trend",
+        "CASE WHEN breadth_pct > 60 THEN 20 WHEN breadth_pct >= 45 THEN 14 WHEN breadth_pct >= 30 THEN 7 ELSE 0 END AS breadth",
+        "CASE WHEN vol_pct_250 IS NULL THEN 5 WHEN vol_shock >= 0.3 THEN 0 WHEN vol_pct_250 BETWEEN 30 AND 60 THEN 20 WHEN vol_pct_250 BETWEEN 20 AND 75 THEN 12 ELSE 5 END AS volatility",
+        "CASE WHEN coalesce(sample_count, 0) < 20 OR positive_ratio IS NULL THEN 12 WHEN positive_ratio > 65 THEN 25 WHEN positive_ratio >= 50 THEN 18 WHEN positive_ratio >= 35 THEN 8 ELSE 0 END AS breakout",
+        "CASE WHEN turnover_pct > 110 THEN 10 WHEN turnover_pct >= 90 THEN 7 WHEN turnover_pct >= 80 THEN 3 ELSE 0 END AS activity",
+    )
+    total = scored.selectExpr("*", "trend + breadth + volatility + breakout + activity AS total")
+    based = total.selectExpr("*", "CASE WHEN total >= 70 THEN 2 WHEN total >= 45 THEN 1 ELSE 0 END AS base")  # 2 favourable, 1 neutral, 0 cautious
+    one = based.selectExpr("*", "CASE WHEN NOT above_ma60 AND coalesce(ma60_down, false) THEN least(base, 1) ELSE base END AS l1")
+    two = one.selectExpr("*", "CASE WHEN coalesce(vol_shock, 0) >= 0.3 THEN greatest(l1 - 1, 0) ELSE l1 END AS l2")
+    final = "CASE WHEN sample_count >= 20 AND positive_ratio < 30 THEN 0 ELSE l2 END"
+    name = lambda x: f"element_at(array('cautious', 'neutral', 'favorable'), {x} + 1)"
+    return two.selectExpr("market", "trend", "breadth", "volatility", "breakout", "activity", "total", f"{name('base')} AS base_level", f"{name(final)} AS level")

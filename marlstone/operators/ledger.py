@@ -21,21 +21,27 @@ def with_close_as_of(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def nav(trades: DataFrame, bars: DataFrame, capital: float = 1e9) -> DataFrame:
-    """Cash, holdings at the latest close (else the latest trade) and the sum of both."""
+    """Cash, holdings at the latest close (else the latest trade) of codes with shares left, the sum of both, and its ratio to the start value."""
     last = bars.groupBy("code").agg(F.max_by("close", "trade_date").cast("double").alias("close"))
     own = trades.groupBy("code").agg(F.max_by("price", F.struct("trade_date", "trade_id")).cast("double").alias("paid"))
     held = net_shares(trades).join(own, "code").join(last, "code", "left")
-    worth = F.sum(F.col("shares") * F.coalesce("close", "paid"))
-    sums = held.agg(F.sum("spent").alias("spent"), worth.alias("worth"), F.count("*").alias("codes"))
-    return sums.select("codes", F.round(F.lit(capital) - F.col("spent"), 2).alias("cash"), F.round("worth", 2).alias("holdings"), F.round(F.lit(capital) - F.col("spent") + F.col("worth"), 2).alias("assets"))
-
-
-def trade_kpi(trades: DataFrame) -> DataFrame:
-    """Sales against the mean purchase price of their code: sample, win rate, mean gain and loss, their ratio (null without losses)."""
-    cost = trades.where("action = 'buy'").groupBy("code").agg((F.sum("price").cast("double") / F.count("*")).alias("cost"))
-    pnl = trades.where("action = 'sell'").join(cost, "code").select(((F.col("price").cast("double") / F.col("cost") - 1) * 100).alias("pnl"))
-    win, loss = F.avg(F.when(F.col("pnl") > 0, F.col("pnl"))), F.avg(F.when(F.col("pnl") < 0, -F.col("pnl")))
-    return pnl.agg(F.count("*").alias("samples"), F.round(F.count_if(F.col("pnl") > 0) * 100.0 / F.count("*"), 1).alias("win_rate"), F.round(F.coalesce(win, F.lit(0.0)), 2).alias("mean_gain"), F.round(F.coalesce(loss, F.lit(0.0)), 2).alias("mean_loss"), F.round(win / loss, 2).alias("ratio"))
+    mine = F.col("shares") > 0
+    worth = F.coalesce(F.sum(F.when(mine, F.col("shares") * F.coalesce("close", "paid"))), F.lit(0.0))
+    sums = held.agg(F.sum("spent").alias("spent"), worth.alias("worth"), F.count_if(mine).alias("codes"))
+    assets = F.lit(capital) - F.col("spent") + F.col("worth")
+    return sums.select("codes", F.round(F.lit(capital) - F.col("spent"), 2).alias("cash"), F.round("worth", 2).alias("holdings"), F.round(assets, 2).alias("assets"), F.round(assets / capital, 6).alias("nav"))
+
+
+def trade_kpi(trades: DataFrame, ratio_target: float = 2.0, sample_target: int = 15, discipline_target: float = 100.0) -> DataFrame:
+    """For each market's closed trades: share of marked ones that kept the rules, mean gain and loss in percent, their ratio (null without losses), win rate, and whether all targets are met."""
+    pnl = F.col("pnl_pct")
+    win, loss = F.avg(F.when(pnl > 0, pnl)), F.avg(F.when(pnl < 0, -pnl))
+    n, marked = F.count("*"), F.count("followed_rule")
+    kept = F.when(marked > 0, F.count_if("followed_rule") * 100.0 / marked)
+    sums = trades.where("status = 'closed'").groupBy("market").agg(n.alias("sample_size"), kept.alias("discipline"), win.alias("win"), loss.alias("loss"), (F.count_if(pnl > 0) * 100.0 / n).alias("won"))
+    ratio = F.col("win") / F.col("loss")
+    passed = (F.col("discipline") >= discipline_target) & (F.coalesce(F.col("win"), F.lit(0.0)) / F.col("loss") >= ratio_target) & (F.col("sample_size") >= sample_target)
+    return sums.select("market", "sample_size", F.round("discipline", 1).alias("discipline_rate"), F.round(F.coalesce("win", F.lit(0.0)), 2).alias("avg_win_pct"), F.round(F.coalesce("loss", F.lit(0.0)), 2).alias("avg_loss_pct"), F.round(ratio, 2).alias("profit_loss_ratio"), F.round("won", 1).alias("win_rate"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def click_rates(usage: DataFrame, top: int = 10) -> DataFrame:

@@ -32,9 +32,9 @@ def children_list(news: DataFrame, most: int = 12) -> DataFrame:
     return lists.select("id", F.array_join(F.transform("c", lambda x: x["child"].cast("string")), ",").alias("children"))
 
 
-def hot_tags(news: DataFrame, least_score: float = 7.0, top: int = 8) -> DataFrame:
-    """The most frequent tags of well-scored articles."""
-    tags = news.where(F.col("ai_score") >= least_score).select(F.explode("tags").alias("tag"))
+def hot_tags(news: DataFrame, now: int, least_score: float = 7.0, top: int = 8) -> DataFrame:
+    """The most frequent tags of well-scored articles of the last 24 hours before ``now`` (seconds)."""
+    tags = news.where(F.col("published").between(now - 86400, now) & (F.col("ai_score") >= least_score)).select(F.explode("tags").alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(top)
 
 
@@ -48,11 +48,13 @@ def source_quality(news: DataFrame, tier_d_rate: float = 0.03, tier_d_samples: i
 
 
 def normal_url(url: Column) -> Column:
-    """Without fragment, tracking parameters and trailing slashes."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^([^?]*)", 1), "/+$", "")
+    """Trimmed, without fragment, path parameters, tracking parameters and trailing slashes; a root path keeps its slash."""
+    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    site = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    path = F.regexp_replace(F.regexp_extract(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?]*)?([^?]*)", 1), ";[^/]*$", "")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
     kept = F.array_join(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: ~p.rlike("^(utm_|feed_item)")), "&")
-    return F.when(kept == "", path).otherwise(F.concat_ws("?", path, kept))
+    return F.concat(site, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
 
 
 def distinct_urls(news: DataFrame) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from marlstone.operators import cross_section as cs
-from marlstone.sources.adapters import QUOTES, quotes, with_views
+from marlstone.sources.adapters import AS_OF, QUOTES, quotes, with_views
 
 RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM quotes)"
 RS = RANKED + """,
@@ -30,7 +28,7 @@ rated AS (
     CAST(greatest(1, least(99, round_even(CAST((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) / count(*) OVER () * 98 + 1 AS DECIMAL(12,6)), 0))) AS INT) AS rs_rating
   FROM scored)"""
 CHANGE = """, moved AS (SELECT *, CAST(close AS DOUBLE) / lag(CAST(close AS DOUBLE)) OVER (PARTITION BY code ORDER BY trade_date) - 1 AS change FROM quotes),
-daily AS (SELECT market, trade_date, avg(change) AS change, count(*) AS n FROM moved WHERE change IS NOT NULL GROUP BY ALL)"""
+daily AS (SELECT market, trade_date, avg(change) AS change, count(*) AS n FROM moved WHERE change IS NOT NULL AND name NOT LIKE '%ST%' GROUP BY ALL)"""
 POOL = ", pool AS (SELECT * FROM quotes WHERE close > 0 AND volume > 0 AND name NOT LIKE '%ST%')"
 INPUTS = """, inputs AS (
   SELECT code, CAST(max(CASE WHEN rn = 1 THEN close END) AS DOUBLE) AS price,
@@ -42,28 +40,51 @@ INPUTS = """, inputs AS (
   FROM ranked GROUP BY code)"""
 
 
-def _changes(bars):
-    from pyspark.sql import Window
+BREADTH = """,
+bm AS (SELECT market, trade_date, CAST(close AS DOUBLE) AS close, CAST(sum(close) OVER w AS DOUBLE) / count(*) OVER w AS ma20, max(trade_date) OVER (PARTITION BY market) AS last
+  FROM pool WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+breadth AS (SELECT market, trade_date, count(*) AS pool, CAST(round(CAST(count(CASE WHEN close >= ma20 THEN 1 END) * 100.0 / count(*) AS DECIMAL(20,8)), 2) AS DOUBLE) AS breadth_pct FROM bm WHERE trade_date = last GROUP BY ALL)"""
+TURNOVER = """,
+td AS (SELECT market, trade_date, sum(amount) AS amount FROM quotes GROUP BY ALL), tl AS (SELECT *, max(trade_date) OVER (PARTITION BY market) AS last FROM td),
+turnover AS (SELECT market, count(CASE WHEN trade_date < last THEN 1 END) AS n_before,
+  CASE WHEN count(CASE WHEN trade_date < last THEN 1 END) >= 5 THEN round(CAST(max(CASE WHEN trade_date = last THEN amount END) AS DOUBLE) / (CAST(sum(CASE WHEN trade_date < last THEN amount END) AS DOUBLE) / count(CASE WHEN trade_date < last THEN 1 END)) * 100, 2) END AS turnover_pct
+FROM tl WHERE trade_date >= last - 25 GROUP BY market)"""
+BREAKOUT = """,
+om AS (SELECT market, trade_date, close, volume, CASE WHEN count(*) OVER p = 60 THEN max(close) OVER p END AS high60, CASE WHEN count(*) OVER t = 20 THEN CAST(sum(volume) OVER t AS DOUBLE) / 20 END AS vol20, lead(close, 5) OVER o AS later, max(trade_date) OVER (PARTITION BY market) AS last
+  FROM pool WINDOW o AS (PARTITION BY code ORDER BY trade_date), p AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), t AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+oh AS (SELECT *, coalesce(close > high60 AND volume >= 1.2 * coalesce(vol20, 0), false) AS hit, trade_date BETWEEN last - 30 AND last - 5 AND later IS NOT NULL AS counted FROM om),
+breakout AS (SELECT market, last, count(*) FILTER (WHERE hit AND counted) AS sample_count,
+  CASE WHEN count(*) FILTER (WHERE hit AND counted) > 0 THEN CAST(round(CAST(count(*) FILTER (WHERE hit AND counted AND later > close) * 100.0 / count(*) FILTER (WHERE hit AND counted) AS DECIMAL(20,8)), 2) AS DOUBLE) END AS positive_ratio,
+  count(*) FILTER (WHERE hit AND trade_date = last) AS breakout_today FROM oh GROUP BY ALL)"""
+DERIVED = CHANGE + """,
+lv AS (SELECT *, exp(sum(ln(1 + change)) OVER (PARTITION BY market ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) * 1000 AS close FROM daily),
+dv AS (SELECT *, CASE WHEN count(*) OVER t = 20 THEN stddev_samp(change) OVER t * sqrt(252.0) END AS vol, CASE WHEN count(*) OVER t = 20 THEN avg(close) OVER t END AS ma20, CASE WHEN count(*) OVER s = 60 THEN avg(close) OVER s END AS ma60
+  FROM lv WINDOW t AS (PARTITION BY market ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), s AS (PARTITION BY market ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+dr AS (SELECT *, lag(vol, 5) OVER w AS vb, lag(ma20, 5) OVER w AS b20, lag(ma60, 5) OVER w AS b60, row_number() OVER (PARTITION BY market ORDER BY trade_date DESC) AS rn FROM dv WINDOW w AS (PARTITION BY market ORDER BY trade_date)),
+dl AS (SELECT market, trade_date, close > ma20 AS above_ma20, close > ma60 AS above_ma60, ma20 > b20 AS ma20_up, ma60 < b60 AS ma60_down, vol AS now, vol / vb - 1 AS shock FROM dr WHERE rn = 1),
+derived AS (SELECT market, trade_date, above_ma20, above_ma60, ma20_up, ma60_down, round(now, 6) AS vol20, round(shock, 6) AS vol_shock, (SELECT round(count(CASE WHEN vol <= now + 1e-12 THEN 1 END) * 100.0 / count(*), 4) FROM dr WHERE dr.market = dl.market AND rn <= 250 AND vol IS NOT NULL) AS vol_pct_250 FROM dl)"""
+
 
-    w = Window.partitionBy("code").orderBy("trade_date")
-    change = F.col("close").cast("double") / F.lag("close").over(w).cast("double") - 1
-    return bars.withColumn("change", change).where("change is not null").groupBy("market", "trade_date").agg(F.avg("change").alias("change"))
+def _adaptability(s, d, as_of=AS_OF):
+    q = quotes(s, d, as_of)
+    return cs.adaptability(cs.benchmark_derived(cs.daily_changes(q)), cs.market_breadth(q), cs.breakout_efficacy(q), cs.turnover_ratio(q))
 
 
 QUERIES = {
-    "rs_rating": lambda s, d: cs.rs_rating(quotes(s, d)),
-    "price_extremes": lambda s, d: cs.price_extremes(quotes(s, d)),
-    "trend_inputs": lambda s, d: cs.trend_inputs(quotes(s, d)),
-    "trend_template": lambda s, d: cs.trend_template(cs.trend_inputs(q := quotes(s, d)), cs.rs_rating(q)),
-    "market_breadth": lambda s, d: cs.market_breadth(quotes(s, d)),
-    "turnover_ratio": lambda s, d: cs.turnover_ratio(quotes(s, d)),
-    "breakout_efficacy": lambda s, d: cs.breakout_efficacy(quotes(s, d)),
-    "equal_weight_index": lambda s, d: cs.equal_weight_index(quotes(s, d)),
-    "benchmark_derived": lambda s, d: cs.benchmark_derived(_changes(quotes(s, d))),
-    "price_trend": lambda s, d: cs.price_trend(quotes(s, d)),
-    "quantile_close": lambda s, d: cs.quantile_close(quotes(s, d)),
-    "range_contraction": lambda s, d: cs.range_contraction(quotes(s, d)),
-    "point_of_control": lambda s, d: cs.point_of_control(quotes(s, d)),
+    "rs_rating": lambda s, d, as_of=AS_OF: cs.rs_rating(quotes(s, d, as_of)),
+    "price_extremes": lambda s, d, as_of=AS_OF: cs.price_extremes(quotes(s, d, as_of)),
+    "trend_inputs": lambda s, d, as_of=AS_OF: cs.trend_inputs(quotes(s, d, as_of)),
+    "trend_template": lambda s, d, as_of=AS_OF: cs.trend_template(cs.trend_inputs(q := quotes(s, d, as_of)), cs.rs_rating(q)),
+    "market_breadth": lambda s, d, as_of=AS_OF: cs.market_breadth(quotes(s, d, as_of)),
+    "turnover_ratio": lambda s, d, as_of=AS_OF: cs.turnover_ratio(quotes(s, d, as_of)),
+    "breakout_efficacy": lambda s, d, as_of=AS_OF: cs.breakout_efficacy(quotes(s, d, as_of)),
+    "equal_weight_index": lambda s, d, as_of=AS_OF: cs.equal_weight_index(quotes(s, d, as_of)),
+    "benchmark_derived": lambda s, d, as_of=AS_OF: cs.benchmark_derived(cs.daily_changes(quotes(s, d, as_of))),
+    "adaptability": _adaptability,
+    "price_trend": lambda s, d, as_of=AS_OF: cs.price_trend(quotes(s, d, as_of)),
+    "quantile_close": lambda s, d, as_of=AS_OF: cs.quantile_close(quotes(s, d, as_of)),
+    "range_contraction": lambda s, d, as_of=AS_OF: cs.range_contraction(quotes(s, d, as_of)),
+    "point_of_control": lambda s, d, as_of=AS_OF: cs.point_of_control(quotes(s, d, as_of)),
 }
 
 ORACLES = {
@@ -80,26 +101,22 @@ SELECT code, CAST(min(CASE WHEN rn <= 120 THEN low END) AS DOUBLE) AS low_120, C
   FROM inputs LEFT JOIN rated ON rated.code = inputs.code)
 SELECT *, rule1::INT + rule2::INT + rule3::INT + rule4::INT + rule5::INT + rule6::INT + rule7::INT + rule8::INT AS n_passed,
   rule1 AND rule2 AND rule3 AND rule4 AND rule5 AND rule6 AND rule7 AND rule8 AS all_pass FROM rules"""),
-    "market_breadth": with_views(QUOTES, sql=POOL + """,
-m AS (SELECT market, trade_date, CAST(close AS DOUBLE) AS close, CAST(sum(close) OVER w AS DOUBLE) / count(*) OVER w AS ma20, max(trade_date) OVER (PARTITION BY market) AS last
-  FROM pool WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-SELECT market, trade_date, count(*) AS pool, CAST(round(CAST(count(CASE WHEN close >= ma20 THEN 1 END) * 100.0 / count(*) AS DECIMAL(20,8)), 2) AS DOUBLE) AS breadth_pct FROM m WHERE trade_date = last GROUP BY ALL"""),
-    "turnover_ratio": with_views(QUOTES, sql=POOL + """,
-d AS (SELECT market, trade_date, sum(amount) AS amount FROM pool GROUP BY ALL), l AS (SELECT *, max(trade_date) OVER (PARTITION BY market) AS last FROM d)
-SELECT market, count(CASE WHEN trade_date < last THEN 1 END) AS n_before,
-  CASE WHEN count(CASE WHEN trade_date < last THEN 1 END) >= 5 THEN CAST(max(CASE WHEN trade_date = last THEN amount END) AS DOUBLE) / (CAST(sum(CASE WHEN trade_date < last THEN amount END) AS DOUBLE) / count(CASE WHEN trade_date < last THEN 1 END)) * 100 END AS turnover_pct
-FROM l WHERE trade_date > last - 25 GROUP BY market"""),
-    "breakout_efficacy": with_views(QUOTES, sql=""",
-m AS (SELECT market, close, volume, CASE WHEN count(*) OVER p = 60 THEN max(close) OVER p END AS high60, CASE WHEN count(*) OVER t = 20 THEN CAST(sum(volume) OVER t AS DOUBLE) / 20 END AS vol20, lead(close, 5) OVER o AS later
-  FROM quotes WHERE close > 0 WINDOW o AS (PARTITION BY code ORDER BY trade_date), p AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), t AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-SELECT market, count(*) AS n_breakouts, count(later) AS n_followed, count(CASE WHEN later > close THEN 1 END) AS n_gained FROM m WHERE close > high60 AND volume > 1.5 * vol20 GROUP BY market"""),
-    "equal_weight_index": with_views(QUOTES, sql=CHANGE + """
-SELECT market, trade_date, n, round(change, 9) AS mean_change, round(ln(exp(sum(ln(1 + change)) OVER (PARTITION BY market ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) * 1000), 6) AS log_level FROM daily"""),
-    "benchmark_derived": with_views(QUOTES, sql=CHANGE + """,
-v AS (SELECT market, trade_date, CASE WHEN count(*) OVER t = 20 THEN stddev_samp(change) OVER t * sqrt(252.0) END AS vol FROM daily WINDOW t AS (PARTITION BY market ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-r AS (SELECT *, lag(vol, 5) OVER (PARTITION BY market ORDER BY trade_date) AS before, row_number() OVER (PARTITION BY market ORDER BY trade_date DESC) AS rn FROM v),
-l AS (SELECT market, trade_date, vol AS now, vol / before - 1 AS shock FROM r WHERE rn = 1)
-SELECT l.market, l.trade_date, round(now, 6) AS vol20, round(shock, 6) AS vol_shock, (SELECT round(count(CASE WHEN vol <= now + 1e-12 THEN 1 END) * 100.0 / count(*), 4) FROM r WHERE r.market = l.market AND rn <= 250 AND vol IS NOT NULL) AS vol_pct_250 FROM l"""),
+    "market_breadth": with_views(QUOTES, sql=POOL + BREADTH + " SELECT * FROM breadth"),
+    "turnover_ratio": with_views(QUOTES, sql=TURNOVER + " SELECT * FROM turnover"),
+    "breakout_efficacy": with_views(QUOTES, sql=POOL + BREAKOUT + " SELECT * FROM breakout"),
+    "equal_weight_index": with_views(QUOTES, sql=CHANGE + """, n AS (SELECT *, max(trade_date) OVER (PARTITION BY market) AS last FROM daily)
+SELECT market, trade_date, n, round(change, 9) AS mean_change, CAST(printf('%.6e', exp(sum(ln(1 + change)) OVER (PARTITION BY market ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) * 1000) AS DOUBLE) AS level FROM n WHERE trade_date >= last - 420"""),
+    "benchmark_derived": with_views(QUOTES, sql=DERIVED + " SELECT * FROM derived"),
+    "adaptability": with_views(QUOTES, sql=POOL + BREADTH + TURNOVER + BREAKOUT + DERIVED + """,
+c AS (SELECT derived.*, breadth_pct, sample_count, positive_ratio, turnover_pct FROM derived LEFT JOIN breadth USING (market) LEFT JOIN breakout USING (market) LEFT JOIN turnover USING (market)),
+p AS (SELECT *, CASE WHEN above_ma60 IS NULL THEN 0 ELSE [0, 5, 15, 25][above_ma20::INT + above_ma60::INT + coalesce(ma20_up, false)::INT + 1] END AS trend,
+  CASE WHEN breadth_pct > 60 THEN 20 WHEN breadth_pct >= 45 THEN 14 WHEN breadth_pct >= 30 THEN 7 ELSE 0 END AS breadth,
+  CASE WHEN vol_pct_250 IS NULL THEN 5 WHEN vol_shock >= 0.3 THEN 0 WHEN vol_pct_250 >= 30 AND vol_pct_250 <= 60 THEN 20 WHEN vol_pct_250 >= 20 AND vol_pct_250 <= 75 THEN 12 ELSE 5 END AS volatility,
+  CASE WHEN coalesce(sample_count, 0) < 20 OR positive_ratio IS NULL THEN 12 WHEN positive_ratio > 65 THEN 25 WHEN positive_ratio >= 50 THEN 18 WHEN positive_ratio >= 35 THEN 8 ELSE 0 END AS breakout,
+  CASE WHEN turnover_pct > 110 THEN 10 WHEN turnover_pct >= 90 THEN 7 WHEN turnover_pct >= 80 THEN 3 ELSE 0 END AS activity FROM c),
+t AS (SELECT *, trend + breadth + volatility + breakout + activity AS total FROM p), b AS (SELECT *, CASE WHEN total >= 70 THEN 2 WHEN total >= 45 THEN 1 ELSE 0 END AS base FROM t),
+d AS (SELECT *, CASE WHEN sample_count >= 20 AND positive_ratio < 30 THEN 0 ELSE greatest((CASE WHEN NOT above_ma60 AND ma60_down THEN least(base, 1) ELSE base END) - (coalesce(vol_shock, 0) >= 0.3)::INT, 0) END AS final FROM b)
+SELECT market, trend, breadth, volatility, breakout, activity, total, ['cautious', 'neutral', 'favorable'][base + 1] AS base_level, ['cautious', 'neutral', 'favorable'][final + 1] AS level FROM d"""),
     "price_trend": with_views(QUOTES, sql=""",
 m AS (SELECT code, round(CAST((CAST(close AS DOUBLE) / lag(CAST(close AS DOUBLE)) OVER (PARTITION BY code ORDER BY trade_date) - 1) * 100 AS DECIMAL(20,8)), 2) AS pct, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM quotes),
 s AS (SELECT code, CAST(sum(pct) AS DOUBLE) AS sum_pct FROM m WHERE rn <= 5 GROUP BY code)
@@ -107,7 +124,7 @@ SELECT *, CASE WHEN sum_pct <= -10 THEN 'strong_down' WHEN sum_pct <= -5 THEN 'd
     "quantile_close": with_views(QUOTES, sql=RANKED + """
 SELECT code, CASE WHEN count(*) >= 10 THEN CAST(round(CAST(quantile_cont(CAST(close AS DOUBLE), 0.9) AS DECIMAL(20,8)), 6) AS DOUBLE) END AS quantile_close FROM ranked WHERE rn <= 60 GROUP BY code"""),
     "range_contraction": with_views(QUOTES, sql=""",
-r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn, close < lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS down FROM quotes)
+r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn, close < open AS down FROM quotes)
 SELECT code, CAST(max(CASE WHEN rn <= 40 THEN high END) - min(CASE WHEN rn <= 40 THEN low END) AS DOUBLE) / CAST(max(CASE WHEN rn = 1 THEN close END) AS DOUBLE) AS range40,
   CAST(max(CASE WHEN rn <= 10 THEN high END) - min(CASE WHEN rn <= 10 THEN low END) AS DOUBLE) / CAST(max(CASE WHEN rn = 1 THEN close END) AS DOUBLE) AS range10,
   coalesce(CAST(sum(CASE WHEN rn <= 5 AND down THEN volume END) AS DOUBLE) / nullif(count(CASE WHEN rn <= 5 AND down THEN 1 END), 0), 0e0) AS down_volume,

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from marlstone.operators import folds
-from marlstone.sources.adapters import QUOTES, quotes, with_views
+from marlstone.sources.adapters import AS_OF, QUOTES, quotes, with_views
 
 QUERIES = {
-    "ema_history": lambda s, d: folds.ema(quotes(s, d)),
-    "rsi_wilder": lambda s, d: folds.rsi(quotes(s, d)),
-    "adx_wilder": lambda s, d: folds.adx(quotes(s, d)),
-    "trend_signals": lambda s, d: folds.trend_signals(quotes(s, d)),
-    "trend_screen": lambda s, d: folds.trend_screen(quotes(s, d)),
+    "ema_history": lambda s, d, as_of=AS_OF: folds.ema(quotes(s, d, as_of)),
+    "rsi_wilder": lambda s, d, as_of=AS_OF: folds.rsi(quotes(s, d, as_of)),
+    "adx_wilder": lambda s, d, as_of=AS_OF: folds.adx(quotes(s, d, as_of)),
+    "trend_signals": lambda s, d, as_of=AS_OF: folds.trend_signals(quotes(s, d, as_of)),
+    "trend_screen": lambda s, d, as_of=AS_OF: folds.trend_screen(quotes(s, d, as_of)),
 }
 
 CLOSES = ", l AS (SELECT code, list(CAST(close AS DOUBLE) ORDER BY trade_date) AS c FROM quotes GROUP BY code)"
@@ -30,19 +30,20 @@ f AS (SELECT code, list_reduce(s, lambda a, x: {{'i': a.i + 1, 'tr': {_SMOOTH["t
 adx AS (SELECT c.code, CASE WHEN f.i >= 28 THEN round(f.adx, 6) END AS adx FROM (SELECT DISTINCT code FROM quotes) AS c LEFT JOIN f ON c.code = f.code)"""
 SIGNALS = """,
 k AS (SELECT code, trade_date, CAST(close AS DOUBLE) AS close, CASE WHEN count(*) OVER a = 20 THEN CAST(sum(close) OVER a AS DOUBLE) / 20 END AS sma20, CASE WHEN count(*) OVER b = 50 THEN CAST(sum(close) OVER b AS DOUBLE) / 50 END AS sma50,
-  CASE WHEN count(*) OVER p = 20 THEN close > max(high) OVER p END AS new_high, CASE WHEN count(*) OVER p = 20 THEN volume / (CAST(sum(volume) OVER p AS DOUBLE) / 20) END AS ratio
+  CASE WHEN count(*) OVER p = 20 THEN close >= max(high) OVER p END AS new_high, CASE WHEN count(*) OVER p = 20 THEN volume / (CAST(sum(volume) OVER p AS DOUBLE) / 20) END AS ratio,
+  round(volume / (CAST(sum(volume) OVER a AS DOUBLE) / count(*) OVER a), 2) AS volume_ratio, CAST(sum(amount) OVER a AS DOUBLE) / count(*) OVER a AS amount20
   FROM quotes WINDOW a AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), p AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-z AS (SELECT *, lag(sma20, 5) OVER o AS b20, lag(sma50, 5) OVER o AS b50, max(ratio) OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS vr, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM k WINDOW o AS (PARTITION BY code ORDER BY trade_date)),
-signals AS (SELECT code, coalesce(close > sma20 AND sma20 > sma50 AND sma20 > b20 AND sma50 > b50, false) AS t1, coalesce(new_high, false) AS t3, coalesce(vr >= 1.5, false) AS t4, round(vr, 6) AS volume_ratio FROM z WHERE rn = 1)"""
-_PART = "greatest(0e0, least(1e0, coalesce({}, 0e0)))"
+z AS (SELECT *, lag(sma20, 5) OVER o AS b20, lag(sma50, 5) OVER o AS b50, max(ratio) OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS vr, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn, count(*) OVER (PARTITION BY code) AS n, max(trade_date) OVER () AS newest FROM k WINDOW o AS (PARTITION BY code ORDER BY trade_date)),
+signals AS (SELECT code, coalesce(close > sma20 AND sma20 > sma50 AND sma20 > b20 AND sma50 > b50, false) AS t1, coalesce(new_high, false) AS t3, coalesce(vr >= 1.5, false) AS t4, volume_ratio,
+  amount20 >= 2e7 AS liquid, trade_date >= newest - 3 AS fresh, n >= 55 AS long_enough FROM z WHERE rn = 1)"""
 
 ORACLES = {
     "ema_history": with_views(QUOTES, sql=CLOSES + " SELECT code, " + ", ".join(f"round(list_reduce(c, lambda a, x: a + (x - a) * (2e0 / {p + 1})), 6) AS ema{p}" for p in folds.EMA_PERIODS) + " FROM l WHERE len(c) >= 20"),
     "rsi_wilder": with_views(QUOTES, sql=RSI + " SELECT * FROM rsi"),
     "adx_wilder": with_views(QUOTES, sql=ADX + " SELECT * FROM adx"),
-    "trend_signals": with_views(QUOTES, sql=SIGNALS + " SELECT * FROM signals"),
-    "trend_screen": with_views(QUOTES, sql=RSI + ADX + SIGNALS + f"""
-SELECT signals.code, t1, coalesce(adx > 25, false) AS t2, t3, t4, coalesce(rsi > 50 AND rsi < 80, false) AS t5,
-  round(0.4e0 * {_PART.format("adx / 50")} + 0.3e0 * {_PART.format("(rsi - 50) / 30")} + 0.3e0 * {_PART.format("volume_ratio / 3")}, 3) AS score
+    "trend_signals": with_views(QUOTES, sql=SIGNALS + " SELECT code, t1, t3, t4, volume_ratio FROM signals"),
+    "trend_screen": with_views(QUOTES, sql=RSI + ADX + SIGNALS + """
+SELECT signals.code, liquid, fresh, long_enough, t1, coalesce(round(adx, 2) > 25, false) AS t2, t3, t4, coalesce(round(rsi, 2) > 50 AND round(rsi, 2) < 80, false) AS t5,
+  CASE WHEN rsi IS NOT NULL AND adx IS NOT NULL THEN round(0.4e0 * least(1e0, round(adx, 2) / 50) + 0.3e0 * greatest(0e0, least(1e0, (round(rsi, 2) - 50) / 30)) + 0.3e0 * least(1e0, volume_ratio / 3), 3) END AS score
 FROM signals LEFT JOIN rsi ON rsi.code = signals.code LEFT JOIN adx ON adx.code = signals.code"""),
 }

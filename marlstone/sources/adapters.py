@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from marlstone.session import table
 
 MONEY = "decimal(18,2)"
+#: The day that queries take for today unless told otherwise, and how many days before it they read.
+AS_OF, DAYS = "2001-08-01", 1600
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(code, trade_date, open, high, low, close, volume, amount, name, market), one row a series and day; prices decimal."""
-    line = table(spark, sf_dir, "lineitem")
+def quotes(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, days: int = DAYS) -> DataFrame:
+    """(code, trade_date, open, high, low, close, volume, amount, name, market), one row a series and day; prices decimal. Only days in [as_of - days, as_of] are read: the predicate reaches the scan."""
+    day = F.lit(as_of).cast("date")
+    line = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.date_sub(day, days)) & (F.col("l_shipdate") < F.date_add(day, 1)))
     price = F.col("l_extendedprice").cast(MONEY)
     order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
     bars = line.groupBy(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date")).agg(
@@ -34,14 +37,14 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.join(names.select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("r_name").alias("market")), "code")
 
 
-QUOTES = """
+QUOTES = f"""
 bars AS (
   SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS trade_date,
     arg_min(CAST(l_extendedprice AS DECIMAL(18,2)), (l_orderkey, l_linenumber, l_extendedprice)) AS open,
     max(CAST(l_extendedprice AS DECIMAL(18,2))) AS high, min(CAST(l_extendedprice AS DECIMAL(18,2))) AS low,
     arg_max(CAST(l_extendedprice AS DECIMAL(18,2)), (l_orderkey, l_linenumber, l_extendedprice)) AS close,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS amount
-  FROM lineitem GROUP BY ALL),
+  FROM lineitem WHERE l_shipdate >= DATE '{AS_OF}' - {DAYS} AND l_shipdate < DATE '{AS_OF}' + 1 GROUP BY ALL),
 quotes AS (
   SELECT bars.*, s_name AS name, r_name AS market FROM bars JOIN supplier ON s_suppkey = code
   JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
@@ -113,6 +116,30 @@ trades AS (
 """
 
 
+def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trade_id, market, status, amount, pnl_pct, followed_rule, exit_date): each trade with a result of its own."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    closed = F.col("o_orderstatus") == "F"
+    return o.select(
+        key.alias("trade_id"),
+        F.element_at(F.array(F.lit("CN"), F.lit("HK"), F.lit("US")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("market"),
+        F.when(closed, "closed").otherwise("open").alias("status"),
+        F.col("o_totalprice").cast(MONEY).alias("amount"),
+        F.when(closed & (key % 19 != 0), ((key % 41 - 18) / 2.0).cast("double")).alias("pnl_pct"),
+        F.when(key % 7 != 0, key % 5 != 0).alias("followed_rule"),
+        F.when(closed, F.to_date("o_orderdate")).alias("exit_date"),
+    )
+
+
+CLOSED_TRADES = """
+closed_trades AS (
+  SELECT o_orderkey AS trade_id, ['CN', 'HK', 'US'][CAST(o_custkey % 3 + 1 AS INT)] AS market, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 19 != 0 THEN CAST((o_orderkey % 41 - 18) / 2.0 AS DOUBLE) END AS pnl_pct, CASE WHEN o_orderkey % 7 != 0 THEN o_orderkey % 5 != 0 END AS followed_rule,
+    CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS exit_date FROM orders)
+"""
+
+
 def with_views(*views: str, sql: str) -> str:
     """A DuckDB query over some of the views above; ``sql`` may go on with further CTEs after a comma."""
     return "WITH " + ", ".join(v.strip() for v in views) + sql
