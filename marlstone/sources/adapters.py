@@ -140,6 +140,27 @@ closed_trades AS (
 """
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, started, user_id, kind, value, props): one row an event, ``props`` a JSON map of numbers."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("run_id"), F.to_date("ts").alias("started"), "user_id", F.col("event_type").alias("kind"), "value", "props")
+
+
+RUNS = """
+runs AS (SELECT event_id AS run_id, CAST(ts AS DATE) AS started, user_id, event_type AS kind, value, props FROM events)
+"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, embedding) of the given vectors."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+
+
+VECTORS = """
+vectors AS (SELECT vec_id AS id, label, embedding FROM embeddings)
+"""
+
+
 def with_views(*views: str, sql: str) -> str:
     """A DuckDB query over some of the views above; ``sql`` may go on with further CTEs after a comma."""
     return "WITH " + ", ".join(v.strip() for v in views) + sql
