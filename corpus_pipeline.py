@@ -1,4 +1,13 @@
-"""Corpus cleaning in five stages, each over all that the one before kept."""
+"""Corpus cleaning in five stages, each over all that the one before kept.
+
+Defined results: documents with a null or empty text fail the quality rules and go,
+whatever their id. Kept rows without an id stay through all stages. Rows that repeat
+an id and a text are near duplicates of each other and one stays; of two texts under
+one id each is judged by itself. A very long text passes each stage whole, in one
+task. Further columns, whatever their names, are carried through all stages but the
+last, which returns (doc_id, n_tokens, ids_sha256, decoded_sha256, ids). An empty
+table gives no rows.
+"""
 
 from __future__ import annotations
 
