@@ -50,6 +50,7 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for table in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, table, SF).columns == docs.columns
-            stage(spark, table, SF).count()
+            out = stage(spark, table, SF)
+            assert out.columns == docs.columns
+            out.count()
         corpus_pipeline.STAGES[-1][1](spark, table, SF).count()
