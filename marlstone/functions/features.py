@@ -17,23 +17,19 @@ ENTITY = r"[A-Za-z]{3,}|[\x{4e00}-\x{9fff}]{2,}(公司|集团|银行|央行|政
 DATES = r"今日|昨日|本周|本月|季度|Q[1-4]|20\d{2}年|\d{1,2}月\d{1,2}日|明年"
 
 
-def any_of(words: list[str]) -> str:
-    """A pattern for any of these words, letters in either case."""
-    return "(?i)" + "|".join(w.replace(".", r"\.") for w in words)
-
-
-def has(d, x: str, words: list[str]) -> str:
-    return d.rx(x, any_of(words))
+def has(d, low: str, words: list[str]) -> str:
+    """Whether ``low``, a text in lower case, holds any of these words. A search for each is much faster than one pattern of all."""
+    return d.any_in(low, [w.lower() for w in words])
 
 
 def official(d, source: str, url: str) -> str:
-    return f"({has(d, source, OFFICIAL_NAMES)} OR {has(d, url, OFFICIAL_DOMAINS)})"
+    return f"({has(d, f'lower({source})', OFFICIAL_NAMES)} OR {has(d, f'lower({url})', OFFICIAL_DOMAINS)})"
 
 
-def hard_signal(d, x: str) -> str:
-    """A number, an entity and an action count one each, a policy or filing two."""
+def hard_signal(d, x: str, low: str) -> str:
+    """A number, an entity and an action count one each, a policy or filing two; ``low`` is ``x`` in lower case."""
     point = lambda cond, n=1: f"CASE WHEN {cond} THEN {n} ELSE 0 END"
-    return f"({point(d.rx(x, NUMBER))} + {point(d.rx(x, ENTITY))} + {point(has(d, x, ACTIONS))} + {point(has(d, x, POLICIES), 2)})"
+    return f"({point(d.rx(x, NUMBER))} + {point(d.rx(x, ENTITY))} + {point(has(d, low, ACTIONS))} + {point(has(d, low, POLICIES), 2)})"
 
 
 def low_value(d, title: str, content: str, hard: str) -> str:
@@ -47,8 +43,8 @@ def low_value(d, title: str, content: str, hard: str) -> str:
     return "CASE " + " ".join(f"WHEN {cond} THEN '{name}'" for cond, name in rules) + " END"
 
 
-def prefilter_score(d, x: str, tier: str) -> str:
+def prefilter_score(d, x: str, low: str, tier: str) -> str:
     """Two for an entity, number and action each, the weight of the tier, one for a core topic, less three for an advert and two for an opinion without numbers; 0 at least."""
     point = lambda cond, n: f"CASE WHEN {cond} THEN {n} ELSE 0 END"
-    parts = [point(d.rx(x, ENTITY), 2), point(d.rx(x, NUMBER), 2), point(has(d, x, ACTIONS), 2), f"CASE {tier} WHEN 'A' THEN 2 WHEN 'B' THEN 1 WHEN 'C' THEN 0 WHEN 'D' THEN -1 ELSE 1 END", point(has(d, x, TOPICS), 1)]
-    return f"greatest(0, {' + '.join(parts)} - {point(has(d, x, ADVERTS), 3)} - {point(f'{has(d, x, VAGUE)} AND NOT {d.rx(x, NUMBER)}', 2)})"
+    parts = [point(d.rx(x, ENTITY), 2), point(d.rx(x, NUMBER), 2), point(has(d, low, ACTIONS), 2), f"CASE {tier} WHEN 'A' THEN 2 WHEN 'B' THEN 1 WHEN 'C' THEN 0 WHEN 'D' THEN -1 ELSE 1 END", point(has(d, low, TOPICS), 1)]
+    return f"greatest(0, {' + '.join(parts)} - {point(has(d, low, ADVERTS), 3)} - {point(f'{has(d, low, VAGUE)} AND NOT {d.rx(x, NUMBER)}', 2)})"

@@ -90,7 +90,23 @@ class SparkSql:
     def missing(self, a: str, b: str) -> str:
         return f"size(array_except({a}, {b}))"
 
-    real, string = "DOUBLE", "STRING"
+    def xor(self, a: str, b: str) -> str:
+        return f"({a} ^ {b})"
+
+    def vote(self, x: str, start: int) -> str:
+        """32 bits by the votes of the tokens ``x``, whose own bits are eight hexadecimal digits of their digests from ``start`` on."""
+        bits = f"transform({x}, t -> CAST(conv(substring(md5(t), {start}, 8), 16, 10) AS BIGINT))"
+        sums = f"aggregate({bits}, array_repeat(0, 32), (s, y) -> transform(s, (v, j) -> v + CASE WHEN y & shiftleft(1L, j) != 0 THEN 1 ELSE -1 END))"
+        return f"aggregate(transform({sums}, (v, j) -> CASE WHEN v > 0 THEN shiftleft(1L, j) ELSE 0L END), 0L, (s, y) -> s + y)"
+
+    def is_json(self, x: str) -> str:
+        return f"try_parse_json({x}) IS NOT NULL"
+
+    def any_in(self, x: str, words: list[str]) -> str:
+        """Whether one of ``words`` is in ``x``."""
+        return f"exists(array({', '.join(map(self.lit, words))}), w -> contains({x}, w))"
+
+    real, string, ref = "DOUBLE", "STRING", "$1"
 
 
 class DuckSql(SparkSql):
@@ -151,7 +167,21 @@ class DuckSql(SparkSql):
     def missing(self, a: str, b: str) -> str:
         return f"len(list_filter({a}, lambda z: NOT list_contains({b}, z)))"
 
-    string = "VARCHAR"
+    def xor(self, a: str, b: str) -> str:
+        return f"xor({a}, {b})"
+
+    def vote(self, x: str, start: int) -> str:
+        bits = f"list_transform({x}, lambda t: CAST('0x' || substr(md5(t), {start}, 8) AS BIGINT))"
+        return f"CAST(list_sum(list_transform(range(32), lambda j: CASE WHEN list_sum(list_transform({bits}, lambda y: CASE WHEN (y & (CAST(1 AS BIGINT) << CAST(j AS BIGINT))) != 0 THEN 1 ELSE -1 END)) > 0 THEN CAST(1 AS BIGINT) << CAST(j AS BIGINT) ELSE 0 END)) AS BIGINT)"
+
+    def is_json(self, x: str) -> str:
+        """It lets commas before a closing bracket pass, which are no JSON."""
+        return f"json_valid({x}) AND NOT regexp_matches({x}, ',\\s*[}}\\]]')"
+
+    def any_in(self, x: str, words: list[str]) -> str:
+        return f"(len(list_filter([{', '.join(map(self.lit, words))}], lambda w: contains({x}, w))) > 0)"
+
+    string, ref = "VARCHAR", "\\1"
 
 
 Text = Callable[[SparkSql], str]

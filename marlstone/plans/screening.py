@@ -115,16 +115,16 @@ def stage2_counts(d) -> str:
     return f"{head}\nSELECT {counts} FROM s"
 
 
-ARTICLE = "a AS (SELECT id, source, url, related_to_id, ai_score, is_highlight, status, published, tags, coalesce(title, '') AS title, substring(coalesce(content, ''), 1, 2000) AS content, coalesce(title, '') || ' ' || substring(coalesce(content, ''), 1, 2000) AS body FROM news)"
+ARTICLE = "a AS (SELECT id, source, url, related_to_id, ai_score, is_highlight, status, published, tags, coalesce(title, '') AS title, coalesce(content, '') AS content, coalesce(title, '') || ' ' || coalesce(content, '') AS body, lower(coalesce(title, '') || ' ' || coalesce(content, '')) AS low_body FROM news)"
 
 
 def prefilter(d) -> str:
     """Action for each article: official and major ones are scored, low-value ones dropped, copies of their root inherit, then the tier and the score decide; of those to drop, one in twenty by id is audited."""
     tier = "CASE WHEN official THEN 'A' WHEN rate < 0.03 AND samples >= 200 THEN 'D' WHEN rate < 0.1 THEN 'C' WHEN rate >= 0.3 THEN 'A' ELSE 'B' END"
     return f"""WITH {ARTICLE}, q AS (SELECT source, count(*) AS samples, count(CASE WHEN ai_score >= 6 THEN 1 END) * 1e0 / count(*) AS rate FROM news GROUP BY source),
-h AS (SELECT a.*, {fx.official(d, "a.source", "a.url")} AS official, {fx.hard_signal(d, "body")} AS hard, samples, rate FROM a JOIN q ON q.source = a.source),
-t AS (SELECT *, {tier} AS tier, {fx.low_value(d, "title", "content", "hard")} AS low, {fx.has(d, "body", fx.MAJOR)} AS major FROM h),
-p AS (SELECT t.*, {fx.prefilter_score(d, "t.body", "t.tier")} AS score, r.title AS root_title, r.body AS root_body FROM t LEFT JOIN a AS r ON r.id = t.related_to_id),
+h AS (SELECT a.*, {fx.official(d, "a.source", "a.url")} AS official, {fx.hard_signal(d, "body", "low_body")} AS hard, samples, rate FROM a JOIN q ON q.source = a.source),
+t AS (SELECT *, {tier} AS tier, {fx.low_value(d, "title", "content", "hard")} AS low, {fx.has(d, "low_body", fx.MAJOR)} AS major FROM h),
+p AS (SELECT t.*, {fx.prefilter_score(d, "t.body", "t.low_body", "t.tier")} AS score, r.title AS root_title, r.body AS root_body FROM t LEFT JOIN a AS r ON r.id = t.related_to_id),
 n AS (SELECT *, root_title IS NOT NULL AND root_title = title AND {d.missing(d.every("body", fx.DATES), d.every("coalesce(root_body, '')", fx.DATES))} = 0 AND {d.distinct(d.every("body", "[0-9]+"))} = {d.distinct(d.every("coalesce(root_body, '')", "[0-9]+"))} AS no_news FROM p),
 x AS (SELECT *, CASE WHEN official OR major THEN 'score' WHEN low IS NOT NULL THEN 'drop' WHEN no_news THEN 'inherit' WHEN tier = 'D' OR tier = 'C' AND hard < 2 OR score <= 1 THEN 'drop' ELSE 'score' END AS action FROM n)
 SELECT id, official, tier, hard, low, score, no_news, CASE WHEN action = 'drop' AND id % 20 = 0 THEN 'audit' ELSE action END AS action FROM x"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,16 @@ def local_session(name: str = "marlstone", cpus: str = "8", shuffle: int = 8) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of spark.checkpoint.dir, with its lineage cut. Where that is unset a temporary folder will do on one machine only."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="marlstone-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
