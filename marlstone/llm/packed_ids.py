@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.bpe import WHITE
+from marlstone.llm.bpe import WHITE, byte_alphabet
 from marlstone.llm.common import fresh_path, materialize
 
 BLOCK = 8192
@@ -150,15 +150,19 @@ class PackedFile:
 
 
 class ByteBpe:
-    """Ids of texts by the tokenizers library, which is asked once for each piece that this process has not seen lately.
+    """Ids of texts by the tokenizers library, whose model is asked once for each piece that this process has not seen lately.
 
-    The library splits a text at special tokens and then into pieces that it
-    merges each by itself, so the ids of a text are those of its pieces.
+    The library splits a text at special tokens and then into pieces that its
+    model merges each by itself, so the ids of a text are those of its pieces.
     """
 
     # How the tokenizer's kind of splitting is named, and what it does, with White_Space spelled out.
     SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^WHITE\p{L}\p{N}]+|[WHITE]+(?![^WHITE])|[WHITE]+""".replace("WHITE", WHITE))
+    # All letters, numbers and White_Space below U+0250; on texts of such characters NARROW is PIECES with plain ranges.
+    LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+    NARROW = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+    BEYOND = re.compile("[^\0-ɏ]")
     LIMIT = 800_000
 
     def __init__(self, path: str) -> None:
@@ -176,19 +180,25 @@ class ByteBpe:
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {k: np.array([i], "<u4").tobytes() for k, i in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.model, self.alphabet = self.library.model, byte_alphabet()
         self.known: dict[str, bytes] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.PIECES if self.BEYOND.search(text) else self.NARROW).findall(text)
+
     def _learn(self, lists: list[list[str]]) -> None:
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        new = list(set().union(*lists).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = array("I", e.ids).tobytes()
+        tokens = self.model.tokenize
+        for p in set().union(*lists).difference(self.known):
+            if len(p) < 1 << 12:
+                ids = [t.id for t in tokens(p.encode().decode("latin-1").translate(self.alphabet))]
+            else:  # without an object a token
+                ids = self.library.encode(p, add_special_tokens=False).ids
+            self.known[p] = array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, asking the library once for all new pieces of about a million characters."""
+        """Ids of each text, learning the new pieces of about a million characters at a time."""
         group, size = [], 0
         for t in texts:
             group.append(t)
@@ -199,7 +209,7 @@ class ByteBpe:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        find, every, parts = self.PIECES.findall, [], []
+        find, every, parts = self.pieces, [], []
         for t in texts:
             stretches = self.split.split(t) if self.split and "<|" in t else [t]
             pieces = [find(x) for x in stretches[::2]]

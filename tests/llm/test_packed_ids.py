@@ -50,6 +50,19 @@ def test_ids_match_the_library():
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_ranges_split_alike():
+    library, own = Library.from_file(PATH), ByteBpe(PATH)
+    rnd = random.Random(5)
+    for c in map(chr, range(0x260)):
+        t = f"a{c}b {c}{c} 1{c}2 '{c} .{c}, {c}"
+        assert own.pieces(t) == own.PIECES.findall(t) and "".join(own.pieces(t)) == t, repr(t)
+    texts = ["".join(chr(rnd.choice([rnd.randrange(0x80), rnd.randrange(0x250), 32, 39, 115])) for _ in range(rnd.randrange(200))) for _ in range(500)]
+    texts += ["é" * 5000 + " " + "ab" * 3000, "x" * 4095, "x" * 4096, " " * 9000]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert own.pieces(t) == own.PIECES.findall(t)
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_operator(spark):
     library = Library.from_file(PATH)
     rnd = random.Random(8)
