@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marlstone.plans import cross_section, folds, ledger, news, refinement, relational, screening, tables
+from marlstone.plans import cross_section, digests, folds, ledger, news, refinement, relational, screening, tables
 
-FAMILIES = [cross_section, folds, news, ledger, refinement, relational, screening, tables]
+FAMILIES = [cross_section, digests, folds, news, ledger, refinement, relational, screening, tables]
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

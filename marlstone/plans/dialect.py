@@ -102,6 +102,10 @@ class SparkSql:
     def is_json(self, x: str) -> str:
         return f"try_parse_json({x}) IS NOT NULL"
 
+    def field(self, x: str, name: str) -> str:
+        """Text of a field of a JSON object; null where it is missing or empty."""
+        return f"nullif(get_json_object({x}, '$.{name}'), '')"
+
     def any_in(self, x: str, words: list[str]) -> str:
         """Whether one of ``words`` is in ``x``."""
         return f"exists(array({', '.join(map(self.lit, words))}), w -> contains({x}, w))"
@@ -174,6 +178,9 @@ class DuckSql(SparkSql):
         bits = f"list_transform({x}, lambda t: CAST('0x' || substr(md5(t), {start}, 8) AS BIGINT))"
         return f"CAST(list_sum(list_transform(range(32), lambda j: CASE WHEN list_sum(list_transform({bits}, lambda y: CASE WHEN (y & (CAST(1 AS BIGINT) << CAST(j AS BIGINT))) != 0 THEN 1 ELSE -1 END)) > 0 THEN CAST(1 AS BIGINT) << CAST(j AS BIGINT) ELSE 0 END)) AS BIGINT)"
 
+    def field(self, x: str, name: str) -> str:
+        return f"nullif(json_extract_string({x}, '$.{name}'), '')"
+
     def is_json(self, x: str) -> str:
         """It lets commas before a closing bracket pass, which are no JSON."""
         return f"json_valid({x}) AND NOT regexp_matches({x}, ',\\s*[}}\\]]')"
