@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, decontaminate, html_main, jaccard, lm, packed_ids, quality, secrets, substrings, warc
+from marlstone.llm import bpe, decontaminate, html_main, jaccard, lines, lm, packed_ids, quality, secrets, substrings, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_secret_scans": secrets.query,
     "op10_html_main": html_main.query,
+    "op12_line_dedup": lines.query,
 }
 
 #: The others can't be said in SQL over whole tables in sensible time; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op4_lm_scores": lm.SQL}
+ORACLES: dict[str, str] = {"op4_lm_scores": lm.SQL, "op12_line_dedup": lines.SQL}
