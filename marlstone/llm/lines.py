@@ -77,12 +77,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH lines AS (
-    SELECT doc_id, at, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-    FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+    SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
 ),
 held AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
-marked AS (SELECT l.doc_id, l.at, l.line, coalesce(l.doc_id > h.first, false) AS gone FROM lines l LEFT JOIN held h USING (key))
+marked AS (SELECT l.doc_id, l.pos, l.line, coalesce(l.doc_id > h.first, false) AS gone FROM lines l LEFT JOIN held h USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, decontaminate, html_main, jaccard, lines, lm, packed_ids, quality, secrets, substrings, warc
+from marlstone.llm import bpe, decontaminate, html_main, jaccard, lines, lm, merkle, packed_ids, quality, secrets, substrings, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scans": secrets.query,
     "op10_html_main": html_main.query,
     "op12_line_dedup": lines.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 #: The others can't be said in SQL over whole tables in sensible time; tests/llm holds them against brute force.
