@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, decontaminate, html_main, jaccard, lines, lm, merkle, packed_ids, quality, secrets, substrings, warc
+from marlstone.llm import bpe, conversations, decontaminate, html_main, jaccard, lines, lm, merkle, packed_ids, quality, secrets, substrings, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_secret_scans": secrets.query,
     "op10_html_main": html_main.query,
+    "op11_conversation_repair": conversations.query,
     "op12_line_dedup": lines.query,
     "op13_merkle_manifest": merkle.query,
 }
