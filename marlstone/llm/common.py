@@ -73,69 +73,41 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-class Words:
-    """Hashes of the words of texts, without making a Python object a word.
+class _Known(dict):
+    """xxh3 of words, kept for the first ``most`` of them."""
 
-    Bytes become fixed random numbers; a word's hash is a polynomial in them,
-    taken from running sums over a stretch of text, then mixed.
-    """
+    def __init__(self, most: int) -> None:
+        self.most = most
 
-    SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.most:
+            self[word] = value
+        return value
 
-    def __init__(self, block: int = 1 << 18, seed: int = 5) -> None:
-        self.block, self.base = block, 0x9E3779B97F4A7C15 + 2 * seed
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.values = np.random.default_rng(seed).integers(1, 1 << 63, 256).astype(np.uint64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(n, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+class Words:
+    """64-bit xxh3 hashes of the words of texts; those met early are hashed once."""
 
-    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Where words start and end, in bytes."""
-        space = np.ones(len(data) + 2, np.bool_)
-        space[1:-1] = self.SPACES[np.frombuffer(data, np.uint8)]
-        edges = np.flatnonzero(space[1:] != space[:-1])
-        return edges[::2], edges[1::2]
-
-    def hashes(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the words at these spans, which are in order."""
-        out, i = np.empty(len(starts), np.uint64), 0
-        raw = np.frombuffer(data, np.uint8)
-        while i < len(starts):
-            low = int(starts[i])
-            j = max(i + 1, int(np.searchsorted(ends, low + self.block, "right")))
-            x = self.values[raw[low : int(ends[j - 1])]]
-            self._grow(len(x))
-            x *= self.up[: len(x)]
-            sums = np.zeros(len(x) + 1, np.uint64)
-            np.cumsum(x, out=sums[1:])
-            a = starts[i:j] - low
-            h = (sums[ends[i:j] - low] - sums[a]) * self.down[a]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD1342543DE82EF95)
-            h ^= h >> np.uint64(29)
-            out[i:j] = h
-            i = j
-        return out
+    def __init__(self, most: int = 1 << 17) -> None:
+        self.known = _Known(most)
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def of_texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of all texts, one text after the other, and the number of words of each."""
-        if not texts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        data = b"\n".join(t or b"" for t in texts)
-        starts, ends = self.spans(data)
-        bounds = np.cumsum([len(t or b"") + 1 for t in texts])
-        upto = np.searchsorted(starts, bounds)
-        return self.hashes(data, starts, ends), np.diff(upto, prepend=0)
+        found = [self.hashes(t.split() if t else []) for t in texts]
+        return np.concatenate(found) if found else np.empty(0, np.uint64), np.array([len(x) for x in found], np.int64)
 
 
 class Rolling:
-    """Hashes of all runs of n items: a polynomial modulo 2**64 with an odd base, from running sums and inverse powers."""
+    """Hashes of all runs of n items: a polynomial modulo 2**64 with an odd base, from running sums and inverse powers.
+
+    Equal runs have equal hashes. Runs of few hashed words (n-grams, shingles) keep nearly
+    all 64 bits; long runs in which two items alternate as in a Thue-Morse word lose many,
+    so what must be exact for those is told by the items or a digest of them.
+    """
 
     def __init__(self, base: int) -> None:
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Rolling, Words, covered
+from marlstone.llm.common import Rolling, covered
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, zstd_ratio double, n_chunks long, n_bad_chunks long"
 
@@ -59,7 +59,30 @@ class Bands:
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
-def _judge(text: bytes, hashes: Words, rolling: Rolling, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple:
+def twice(numbers: np.ndarray, rolling: Rolling, width: int = 8) -> np.ndarray:
+    """Which windows of so many words occur at least twice; ``numbers``: a number for each distinct word.
+
+    Windows with equal hashes are neighbours in the order of hashes, and compared word by
+    word there. Should one hash stand for different windows, all are compared as they are.
+    """
+    hashes = rolling(numbers, width)
+    order = np.argsort(hashes, kind="stable")
+    a, b = order[1:], order[:-1]
+    near = hashes[a] == hashes[b]
+    a, b = a[near], b[near]
+    out = np.zeros(len(hashes), bool)
+    if all((numbers[a + k] == numbers[b + k]).all() for k in range(width)):
+        out[a] = out[b] = True
+        return out
+    seen: dict[bytes, int] = {}
+    for i in range(len(hashes)):
+        first = seen.setdefault(numbers[i : i + width].tobytes(), i)
+        if first != i:
+            out[first] = out[i] = True
+    return out
+
+
+def _judge(text: bytes, rolling: Rolling, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple:
     words = text.split()
     n = len(words)
     chars = len(text.decode("utf-8", "replace")) - sum(map(text.count, (WHITE[i : i + 1] for i in range(len(WHITE)))))
@@ -67,13 +90,9 @@ def _judge(text: bytes, hashes: Words, rolling: Rolling, packer: zstandard.ZstdC
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeats = 0
     if n > 8:
-        grams = rolling(hashes.of_texts([text])[0], 8)
-        order = np.argsort(grams, kind="stable")
-        same = grams[order[1:]] == grams[order[:-1]]
-        if same.any():
-            twice = np.zeros(len(grams), bool)
-            twice[order[1:][same]] = twice[order[:-1][same]] = True
-            repeats = int(covered(np.flatnonzero(twice), 8, n).sum())
+        known: dict[bytes, int] = {}
+        numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, n)
+        repeats = int(covered(np.flatnonzero(twice(numbers, rolling)), 8, n).sum())
     failed = n < 20 or 100 * repeats > 30 * n
     ratio = len(packer.compress(text)) / len(text) if text else 0.0
     size = bands.chunk_bytes
@@ -89,10 +108,10 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id
     """Counts, base verdict and compression verdict of each row of ``docs``; one pass, no shuffle."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = Words(), Rolling(0x9E3779B97F4A7C15)
+        rolling = Rolling(0x9E3779B97F4A7C15)
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            rows = [_judge(t or b"", hashes, rolling, packer, bands) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = [_judge(t or b"", rolling, packer, bands) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
             names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -106,10 +125,10 @@ def keep_good(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = Words(), Rolling(0x9E3779B97F4A7C15)
+        rolling = Rolling(0x9E3779B97F4A7C15)
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            good = [_judge(t or b"", hashes, rolling, packer, bands)[6] for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            good = [_judge(t or b"", rolling, packer, bands)[6] for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -14,7 +14,7 @@ Second pass. Only windows whose anchor may be repeated go on. Documents with
 the same words are represented by the smallest of them, so groups of copies
 cost one member; a larger copy of 50 words or more loses all its words. Among
 the representatives anchors are counted exactly first, and windows of those
-that are in two of them are grouped, by 128 bits of their word sequence, to the
+that are in two of them are grouped, by 128 bits of BLAKE2 of their words, to the
 smallest document that has them, and joined back to find windows with a smaller
 holder.
 
@@ -46,7 +46,7 @@ class Windows:
     """Hashes of the windows of a text and their anchors."""
 
     def __init__(self) -> None:
-        self.words, self.others, self.first, self.second = Words(), Words(seed=6), Rolling(FIRST), Rolling(SECOND)
+        self.words, self.first = Words(), Rolling(FIRST)
 
     def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """Word hashes of each text."""
@@ -62,8 +62,14 @@ class Windows:
             width *= 2
         return np.minimum(low[: len(low) - (want - width)], low[want - width :]) if want > width else low
 
-    def ids(self, text: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.first(hashes, WINDOW).view(np.int64), self.second(self.others.of_texts([text])[0], WINDOW).view(np.int64)
+    @staticmethod
+    def ids(text: bytes, at: np.ndarray) -> np.ndarray:
+        """128 bits of the words of the windows that start at these words, as two numbers a row; words are joined by one space."""
+        ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text))
+        starts = np.insert(ends[:-1] + 1, 0, 0)
+        view = memoryview(text)
+        spans = zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans]), "<i8").reshape(-1, 2)
 
 
 def cells_for(text_bytes: int) -> int:
@@ -189,8 +195,8 @@ def dedup_substrings(docs: DataFrame, cells: int | None = None, id_col: str = "d
                 data = text.encode()
                 (hashes,) = windows.texts([data])
                 at = np.flatnonzero(np.isin(windows.anchors(hashes), np.array(shared, np.int64).view(np.uint64))).astype(np.int32)
-                h1, h2 = windows.ids(data, hashes)
-                parts.append((h1[at], h2[at], np.full(len(at), doc), np.full(len(at), key), at))
+                ids = windows.ids(data, at)
+                parts.append((ids[:, 0], ids[:, 1], np.full(len(at), doc), np.full(len(at), key), at))
                 held += len(at)
                 if held > 200_000:
                     yield batch_of(parts)

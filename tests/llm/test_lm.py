@@ -8,6 +8,7 @@ import pytest
 
 from marlstone.llm import lm
 from marlstone.llm.common import Words
+from tests.llm.words import thue_morse_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,13 +77,21 @@ def test_long_texts_are_exploded_in_blocks(spark):
 
 def test_word_hashes():
     texts = [b" one two\tone ", None, b"", b"one " + b"x" * 5000 + b"\x0btwo"]
-    for block in (8, 1 << 18):
-        hashes, sizes = Words(block).of_texts(texts)
+    for most in (0, 2, 1 << 17):
+        hashes, sizes = Words(most).of_texts(texts)
         assert sizes.tolist() == [3, 0, 0, 3]
         assert hashes[0] == hashes[2] == hashes[3] and hashes[1] == hashes[5] and len(set(hashes.tolist())) == 3
     many = [f"w{i}".encode() for i in range(50_000)]
     assert len(set(Words().of_texts([b" ".join(many)])[0].tolist())) == 50_000
 
 
+def test_words_that_a_polynomial_takes_for_one(spark):
+    a, b = thue_morse_words()
+    assert len(set(Words().of_texts([a.encode() + b" " + b.encode()])[0].tolist())) == 2
+    rows = [(1, f"{a} x {b}"), (2, f"{b} x {a}"), (3, f"{a} {a} {b}")]
+    got = sorted((r.doc_id, r.n_words, r.log10_score) for r in lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), slices=1).collect())
+    assert all(g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, brute(rows, 3, 2), strict=True))
+
+
 def test_empty_table(spark):
     assert lm.score_corpus(spark.createDataFrame([], "doc_id long, text string"), slices=1).count() == 0

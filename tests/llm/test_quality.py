@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import zstandard
 
-from marlstone.llm.quality import Bands, quality_rules
+from marlstone.llm.common import Rolling
+from marlstone.llm.quality import Bands, quality_rules, twice
+from tests.llm.words import thue_morse_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -95,3 +98,26 @@ def test_empty_table(spark):
 def test_every_length_has_a_band(n):
     low, high = Bands().band(n)
     assert low < high
+
+
+def test_windows_that_differ_in_a_word_a_polynomial_confuses(spark):
+    a, b = thue_morse_words()
+    texts = [" ".join([*"1234567", a, *(f"w{i}" for i in range(20)), *"1234567", x]) for x in (a, b)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_repeat_words for i in (0, 1)] == [16, 0] and not got[1].base_failed
+
+
+@pytest.mark.parametrize("base", [1, 0x9E3779B97F4A7C15])
+def test_repeats_are_told_whatever_the_hash(base):
+    rnd = random.Random(3)
+    numbers = np.array([rnd.randrange(3) for _ in range(4000)], np.uint64)
+    grams = [tuple(numbers[i : i + 8].tolist()) for i in range(len(numbers) - 7)]
+    times = {g: grams.count(g) for g in set(grams)}
+    assert twice(numbers, Rolling(base)).tolist() == [times[g] > 1 for g in grams]
+
+
+def test_a_very_long_text(spark):
+    words = [f"word{i}" for i in range(300_000)]
+    text = " ".join(words + words[:100])
+    (got,) = quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (got.n_words, got.n_repeat_words, got.n_chunks) == (300_100, 200, -(-len(text) // 4096))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from marlstone.llm.substrings import WINDOW, Windows, dedup_substrings
+from tests.llm.words import thue_morse_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,6 +50,14 @@ def test_matches_brute_force(spark, cells):
     assert sorted(tuple(r)[:4] for r in got.collect()) == brute(rows)
 
 
+def test_windows_that_differ_in_a_word_a_polynomial_confuses(spark):
+    a, b = thue_morse_words()
+    around = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*around[:30], x, *around[30:]])) for k, x in enumerate((a, b, a))] + [(9, " ".join(around[:25] + [b] + around[31:56]))]
+    rows += [(20, " ".join([a, b, b, a] * 13)), (21, " ".join([b, a, a, b] * 13)), (22, " ".join([a, b] * 26))]
+    assert sorted(tuple(r)[:4] for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 1 << 16).collect()) == brute(rows)
+
+
 def test_anchors_are_sliding_minima():
     w = Windows()
     h = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
