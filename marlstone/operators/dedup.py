@@ -26,25 +26,71 @@ def similar_titles(candidates: DataFrame) -> DataFrame:
     return candidates.mapInPandas(_alike, "older long, newer long")
 
 
-def dropped(links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of all that links (older, newer) join: the least id of each component. Labels spread along links and jump along labels, so rounds grow with the logarithm of a chain."""
+    both = settle(links.select(F.col("older").alias("id"), F.col("newer").alias("near")).unionByName(links.select(F.col("newer").alias("id"), F.col("older").alias("near"))).distinct())
+    labels = settle(both.groupBy("id").agg(F.least(F.min("near"), F.col("id")).alias("label")))
+    while True:
+        seen = both.join(labels.withColumnsRenamed({"id": "near"}), "near").groupBy("id").agg(F.min("label").alias("seen"))
+        spread = labels.join(seen, "id").select("id", "label", F.least("label", "seen").alias("next"))
+        jumped = spread.join(labels.select(F.col("id").alias("next"), F.col("label").alias("far")), "next").select("id", "label", F.least("next", "far").alias("next"))
+        jumped = settle(jumped)
+        labels = jumped.select("id", F.col("next").alias("label"))
+        if jumped.where("label != next").isEmpty():
+            return labels
+
+
+def _first_come(links: pd.DataFrame) -> pd.DataFrame:
+    older: dict[int, list[int]] = {}
+    for a, b in zip(links["older"].tolist(), links["newer"].tolist(), strict=True):
+        older.setdefault(b, []).append(a)
+    gone: set[int] = set()
+    for i in sorted(older):
+        if any(a not in gone for a in older[i]):
+            gone.add(i)
+    return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+
+
+def dropped(links: DataFrame, rounds: int = 3, most: int = 100_000) -> DataFrame:
     """(id) of all that go: an article stays unless an older one that stays has a link (older, newer) to it.
 
     Each round settles the articles that no undecided older one has a link to, and
-    drops those they link to; links of dropped ones then count no more. Rounds end
-    with the last link, after at most half as many as the longest chain has articles.
+    drops those they link to; links of dropped ones then count no more. A few rounds
+    leave the long chains: components of at most ``most`` links are then settled each
+    by one task, in order. A larger one goes on by rounds.
     """
     links = settle(links.distinct())
-    gone = links.select(F.col("newer").alias("id")).limit(0)
-    while not links.isEmpty():
+    gone: list[DataFrame] = []
+
+    def step(links: DataFrame) -> DataFrame:
         first = links.select("older").distinct().join(links.select(F.col("newer").alias("older")).distinct(), "older", "left_anti")
         now = settle(links.join(first, "older", "left_semi").select(F.col("newer").alias("id")).distinct())
-        gone = gone.unionByName(now)
-        links = settle(links.join(now, F.col("newer") == F.col("id"), "left_anti").join(now, F.col("older") == F.col("id"), "left_anti"))
-    return gone
-
-
-def long_lane(classes: DataFrame, links: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, class_id, kept) of ``classes`` (id, class_id): ``links`` decide first, then ``terms`` among those left; of a class its first article may stay.
+        gone.append(now)
+        if len(gone) > 8:
+            whole = gone[0]
+            for g in gone[1:]:
+                whole = whole.unionByName(g)
+            gone[:] = [settle(whole.coalesce(8))]
+        return settle(links.join(now, F.col("newer") == F.col("id"), "left_anti").join(now, F.col("older") == F.col("id"), "left_anti"))
+
+    done = 0
+    while not links.isEmpty():
+        links = step(links)
+        done += 1
+        if done == rounds and not links.isEmpty():
+            named = links.join(components(links), F.col("older") == F.col("id")).select("older", "newer", "label")
+            small = named.groupBy("label").count().where(F.col("count") <= most).select("label")
+            named = settle(named)
+            gone.append(settle(named.join(small, "label", "left_semi").groupBy("label").applyInPandas(lambda g: _first_come(g), "id long")))
+            links = settle(named.join(small, "label", "left_anti").select("older", "newer"))
+    whole = links.select(F.col("newer").alias("id")).limit(0)
+    for g in gone:
+        whole = whole.unionByName(g)
+    return whole
+
+
+def long_lane(classes: DataFrame, links: DataFrame, terms: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(id, class_id, kept) of ``classes`` (id, class_id): ``links`` decide first, then ``terms`` among those left, then ``vectors`` (pairs of copies) among the rest; of a class its first article may stay.
 
     Links name classes by their first articles; articles that are in no class have no row.
     """
@@ -55,7 +101,12 @@ def long_lane(classes: DataFrame, links: DataFrame, terms: DataFrame) -> DataFra
     kept = settle(member.where("id = class_id").join(gone, "id", "left_anti").select("id"))
     left = lambda side: kept.select(F.col("id").alias(side))
     late = dropped(terms.join(left("older"), "older").join(left("newer"), "newer"))
-    stays = kept.join(late, "id", "left_anti").select("id", F.lit(True).alias("stays"))
+    stay = kept.join(late, "id", "left_anti").select("id")
+    if vectors is not None:
+        stay = settle(stay)
+        side = lambda name: stay.select(F.col("id").alias(name))
+        stay = stay.join(dropped(vectors.join(side("older"), "older").join(side("newer"), "newer").select("older", "newer")), "id", "left_anti")
+    stays = stay.select("id", F.lit(True).alias("stays"))
     return member.join(stays, "id", "left").select("id", "class_id", F.coalesce("stays", F.lit(False)).alias("kept"))
 
 

@@ -16,6 +16,7 @@ from marlstone.sources import adapters
 
 VIEWS = {
     "quotes": (adapters.quotes, adapters.QUOTES),
+    "every_quote": (adapters.every_quote, adapters.EVERY_QUOTE),
     "news": (adapters.news, adapters.NEWS),
     "usage": (adapters.usage, adapters.USAGE),
     "trades": (adapters.trades, adapters.TRADES),
@@ -75,6 +76,14 @@ class SparkSql:
     def day(self, seconds: str) -> str:
         return f"CAST(timestamp_seconds({seconds}) AS DATE)"
 
+    def days(self, first: str, last: str) -> str:
+        """A row for each day from ``first`` to ``last``."""
+        return f"explode(sequence({first}, {last}, INTERVAL 1 DAY))"
+
+    def even(self, x: str) -> str:
+        """Rounded to a whole number, halves to the even one."""
+        return f"bround({x}, 0)"
+
     def bits(self, x: str) -> str:
         return f"bit_count({x})"
 
@@ -159,6 +168,12 @@ class DuckSql(SparkSql):
     def day(self, seconds: str) -> str:
         return f"CAST(make_timestamp(({seconds}) * 1000000) AS DATE)"
 
+    def days(self, first: str, last: str) -> str:
+        return f"CAST(unnest(generate_series({first}, {last}, INTERVAL 1 DAY)) AS DATE)"
+
+    def even(self, x: str) -> str:
+        return f"round_even({x}, 0)"
+
     def dot(self, a: str, b: str) -> str:
         return f"list_reduce(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)), lambda s, x: s + x, 0e0)"
 

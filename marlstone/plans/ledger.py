@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from marlstone.operators import ledger
-from marlstone.sources.adapters import AS_OF, CLOSED_TRADES, QUOTES, TRADES, USAGE, closed_trades, quotes, trades, usage, with_views
+from marlstone.sources.adapters import CLOSED_TRADES, EVERY_QUOTE, TRADES, USAGE, closed_trades, every_quote, trades, usage, with_views
 
 QUERIES = {
     "net_shares": lambda s, d: ledger.net_shares(trades(s, d)),
-    "close_as_of": lambda s, d, as_of=AS_OF: ledger.with_close_as_of(trades(s, d), quotes(s, d, as_of)),
-    "nav": lambda s, d, as_of=AS_OF: ledger.nav(trades(s, d), quotes(s, d, as_of)),
+    "close_as_of": lambda s, d: ledger.with_close_as_of(trades(s, d), every_quote(s, d)),
+    "nav": lambda s, d: ledger.nav(trades(s, d), every_quote(s, d)),
     "trade_kpi": lambda s, d: ledger.trade_kpi(closed_trades(s, d)),
     "click_rates": lambda s, d: ledger.click_rates(usage(s, d)),
     "usage_trend": lambda s, d: ledger.usage_trend(usage(s, d)),
@@ -18,9 +18,9 @@ NET = ", net AS (SELECT code, sum(CASE action WHEN 'buy' THEN shares ELSE -share
 
 ORACLES = {
     "net_shares": with_views(TRADES, sql=NET + " SELECT * FROM net"),
-    "close_as_of": with_views(QUOTES, TRADES, sql=" SELECT trade_id, t.code, t.trade_date, CAST(q.close AS DOUBLE) AS close FROM trades t ASOF LEFT JOIN quotes q ON t.code = q.code AND t.trade_date >= q.trade_date"),
-    "nav": with_views(QUOTES, TRADES, sql=NET + """,
-l AS (SELECT code, CAST(arg_max(close, trade_date) AS DOUBLE) AS close FROM quotes GROUP BY code), o AS (SELECT code, CAST(arg_max(price, (trade_date, trade_id)) AS DOUBLE) AS paid FROM trades GROUP BY code),
+    "close_as_of": with_views(EVERY_QUOTE, TRADES, sql=" SELECT trade_id, t.code, t.trade_date, CAST(q.close AS DOUBLE) AS close FROM trades t ASOF LEFT JOIN every_quote q ON t.code = q.code AND t.trade_date >= q.trade_date"),
+    "nav": with_views(EVERY_QUOTE, TRADES, sql=NET + """,
+l AS (SELECT code, CAST(arg_max(close, trade_date) AS DOUBLE) AS close FROM every_quote GROUP BY code), o AS (SELECT code, CAST(arg_max(price, (trade_date, trade_id)) AS DOUBLE) AS paid FROM trades GROUP BY code),
 s AS (SELECT count(*) FILTER (WHERE shares > 0) AS codes, sum(spent) AS spent, coalesce(sum(shares * coalesce(close, paid)) FILTER (WHERE shares > 0), 0e0) AS worth FROM net JOIN o ON o.code = net.code LEFT JOIN l ON l.code = net.code)
 SELECT codes, round(1e9 - spent, 2) AS cash, round(worth, 2) AS holdings, round(1e9 - spent + worth, 2) AS assets, round((1e9 - spent + worth) / 1e9, 6) AS nav FROM s"""),
     "trade_kpi": with_views(CLOSED_TRADES, sql="""

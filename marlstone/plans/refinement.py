@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from marlstone.operators import dedup
+from pyspark.sql import functions as F
+
+from marlstone.operators import dedup, pairs
 from marlstone.plans.dialect import both, spark_query
 
 #: Bits that near fingerprints may differ in, days of history; least cosine of term weights, terms a batch, seconds a batch.
 FAR, HISTORY, TERM_COSINE, MOST_TERMS, BATCH = 5, 8, 0.65, 5000, 14400
 #: Fixed values of the short lane: cosines of a copy, of the grey zone and of one event; minutes of history.
 COPY, GREY, EVENT, MINUTES = 0.80, 0.73, 0.67, 90
+#: Fixed value: titles of short articles without vectors are alike from this ratio on.
+FALLBACK = 0.6
 # A number with its unit, and dates, whose numbers do not count.
 NUMBERS = r"[0-9]+(?:\.[0-9]+)?(?:%|万户|亿[美元人民币欧元日元英镑]*|万亿|万|个基点|bps|bp)?"
 DATES = r"[0-9]{4}年|[0-9]{1,2}月[0-9]{1,2}日|[0-9]{1,2}月|[0-9]{1,2}日"
@@ -55,11 +59,16 @@ o AS (SELECT *, {d.unnest(d.array("slot", "slot + 1"))} AS near FROM k),
 p AS (SELECT DISTINCT a.id AS older, b.id AS newer, CAST({far} AS INT) AS distance FROM o a JOIN k b ON a.near = b.slot AND a.m = b.m AND a.kh = b.kh AND a.kl = b.kl AND b.day - a.day <= {HISTORY} AND a.id < b.id AND a.day <= b.day WHERE {far} <= {FAR})"""
 
 
-def title_candidates(d) -> str:
-    """Classes of equal cleaned titles of a two-hour slot, and pairs of them within two hours that may be alike by length: u(older, newer, a, b, within)."""
+def title_classes(d) -> str:
+    """CTEs up to c(t, slot, id, first): classes of equal cleaned titles of a two-hour slot."""
     clean = d.sub(d.sub("title", r"[【\[][^\]】]*[】\]]", ""), r"[，。！？、；：“”‘’（）\s.,!?;:\"'()\-　]", "")
-    return f"""WITH {TEXTS}, n AS (SELECT id, published, lower({clean}) AS t FROM x),
-c AS (SELECT t, CAST(floor(published / 7200) AS BIGINT) AS slot, min(id) AS id, min(published) AS first FROM n WHERE length(t) > 0 GROUP BY t, CAST(floor(published / 7200) AS BIGINT)),
+    return f"""{TEXTS}, n AS (SELECT id, published, lower({clean}) AS t FROM x),
+c AS (SELECT t, CAST(floor(published / 7200) AS BIGINT) AS slot, min(id) AS id, min(published) AS first FROM n WHERE length(t) > 0 GROUP BY t, CAST(floor(published / 7200) AS BIGINT))"""
+
+
+def title_candidates(d) -> str:
+    """Pairs of classes of equal titles within two hours that may be alike by length: (older, newer, a, b, within)."""
+    return f"""WITH {title_classes(d)},
 o AS (SELECT *, {d.unnest(d.array("slot", "slot + 1"))} AS near FROM c),
 u AS (SELECT a.id AS older, b.id AS newer, a.t AS a, b.t AS b, contains(a.t, b.t) OR contains(b.t, a.t) AS within FROM o a JOIN c b ON a.near = b.slot AND a.first <= b.first AND b.first - a.first <= 7200 AND a.id < b.id)
 SELECT older, newer, a, b, within FROM u WHERE within OR 4 * least(length(a), length(b)) > length(a) + length(b)"""
@@ -84,14 +93,52 @@ g AS (SELECT older, newer, sum(a.w * b.w) AS cosine FROM c JOIN u a ON a.id = c.
 SELECT older, newer, round(cosine, 6) AS cosine FROM g WHERE cosine > {TERM_COSINE}"""
 
 
-def short_pairs(d) -> str:
-    """What a newer article does about an older one by the cosine of their vectors: dropped as a copy of its source, or linked; numbers that differ keep it. Vectors come one a minute."""
+def numbered(d) -> str:
+    """CTEs up to v(id, source, nums): numbers with a unit, or above 100, of the articles that have a vector; dates do not count."""
     numbers = d.filter(d.every(d.sub("title || ' ' || substring(content, 1, 200)", DATES, ""), NUMBERS), "y", f"CASE WHEN {d.rx('y', '[0-9]$')} THEN CAST(y AS DOUBLE) > 100 ELSE TRUE END")
-    return f"""WITH {TEXTS}, v AS (SELECT y.id, source, CAST(floor(y.id / {MINUTES}) AS BIGINT) AS slot, embedding AS e, sqrt({d.dot("embedding", "embedding")}) AS size, {d.distinct(numbers)} AS nums FROM vectors y JOIN x ON x.id = y.id),
-o AS (SELECT *, {d.unnest(d.array("slot", "slot + 1"))} AS near FROM v),
+    return f"{TEXTS}, v AS (SELECT y.id, source, CAST(floor(y.id / {MINUTES}) AS BIGINT) AS slot, embedding AS e, {d.distinct(numbers)} AS nums FROM vectors y JOIN x ON x.id = y.id)"
+
+
+ACTION = f"CASE WHEN same AND (cosine > {COPY} OR cosine > {GREY} AND alike) THEN 'drop' ELSE 'link' END AS action"
+
+
+def short_pairs(d) -> str:
+    """What a newer article does about an older one by the cosine of their vectors: dropped as a copy of its source, or linked; numbers that differ keep it. Vectors come one a minute. Every pair of 90 minutes is compared here; ``short_lane_pairs`` finds the same by signatures."""
+    size = lambda x: f"sqrt({d.dot(x, x)})"
+    return f"""WITH {numbered(d)}, w AS (SELECT *, {size("e")} AS size FROM v),
+o AS (SELECT *, {d.unnest(d.array("slot", "slot + 1"))} AS near FROM w),
 c AS (SELECT a.id AS older, b.id AS newer, a.source = b.source AS same, CASE WHEN a.size * b.size = 0 THEN 0e0 ELSE {d.dot("a.e", "b.e")} / (a.size * b.size) END AS cosine,
-  {d.size("a.nums")} = 0 OR {d.size("b.nums")} = 0 OR a.nums = b.nums AS alike FROM o a JOIN v b ON a.near = b.slot AND a.id < b.id AND b.id - a.id <= {MINUTES})
-SELECT older, newer, round(cosine, 6) AS cosine, CASE WHEN same AND (cosine > {COPY} OR cosine > {GREY} AND alike) THEN 'drop' ELSE 'link' END AS action FROM c WHERE cosine > {EVENT}"""
+  {d.size("a.nums")} = 0 OR {d.size("b.nums")} = 0 OR a.nums = b.nums AS alike FROM o a JOIN w b ON a.near = b.slot AND a.id < b.id AND b.id - a.id <= {MINUTES})
+SELECT older, newer, round(cosine, 6) AS cosine, {ACTION} FROM c WHERE cosine > {EVENT}"""
+
+
+def short_lane_pairs(spark, sf_dir):
+    """The pairs of ``short_pairs``, found by tables of signatures."""
+    found = spark_query(lambda d: f"WITH {numbered(d)} SELECT id, source, e AS embedding, nums FROM v", "vectors", "news")(spark, sf_dir)
+    return act_on_vectors(pairs.near_vectors(found.select("id", F.col("id").alias("at"), "embedding"), EVENT, MINUTES), found)
+
+
+def act_on_vectors(near, articles):
+    """(older, newer, cosine, action) of ``near`` (older, newer, cosine) by ``articles`` (id, source, nums)."""
+    side = lambda name: articles.select(F.col("id").alias(name), F.col("source").alias(f"{name}_source"), F.col("nums").alias(f"{name}_nums"))
+    told = near.join(side("older"), "older").join(side("newer"), "newer").withColumns({"same": F.expr("older_source = newer_source"), "alike": F.expr("size(older_nums) = 0 OR size(newer_nums) = 0 OR older_nums = newer_nums")})
+    return told.select("older", "newer", F.round("cosine", 6).alias("cosine"), F.expr(ACTION.removesuffix(" AS action")).alias("action"))
+
+
+def title_links(spark, sf_dir, ratio: float = dedup.RATIO):
+    """(older, newer) of classes of titles within two hours that are alike."""
+    classes = spark_query(lambda d: f"WITH {title_classes(d)} SELECT id, t, first FROM c", "news")(spark, sf_dir)
+    return pairs.title_links(classes, ratio).select("older", "newer")
+
+
+def short_fallback(spark, sf_dir):
+    """(older, newer) of short articles that fall together without vectors: a title holds the other, or is like it beyond 0.6 while their numbers do not differ."""
+    short = "length(t) > 0 AND length(title) + length(substring(content, 1, 200)) <= 150"
+    titles = spark_query(lambda d: f"WITH {title_classes(d)}, a AS (SELECT n.id, n.t, n.published AS first, {d.distinct(d.filter(d.every(d.sub('title || chr(32) || substring(content, 1, 200)', DATES, ''), NUMBERS), 'y', 'CASE WHEN ' + d.rx('y', '[0-9]$') + ' THEN CAST(y AS DOUBLE) > 100 ELSE TRUE END'))} AS nums FROM n JOIN x ON x.id = n.id WHERE {short}) SELECT * FROM a", "news")(spark, sf_dir)
+    links = pairs.title_links(titles.select("id", "t", "first"), FALLBACK, MINUTES * 60)
+    side = lambda name: titles.select(F.col("id").alias(name), F.col("nums").alias(f"{name}_nums"))
+    told = links.join(side("older"), "older").join(side("newer"), "newer")
+    return told.where("held OR size(older_nums) = 0 OR size(newer_nums) = 0 OR older_nums = newer_nums").select("older", "newer")
 
 
 def fundamentals(d) -> str:
@@ -142,17 +189,18 @@ QUERIES, ORACLES = both(FOUND)
 
 
 def long_lane(spark, sf_dir):
-    """(id, class_id, kept): an article goes if it is near an earlier one that stays, by fingerprint, title or terms."""
-    links = QUERIES["simhash_pairs"](spark, sf_dir).select("older", "newer")
-    links = links.unionByName(dedup.similar_titles(QUERIES["title_candidates"](spark, sf_dir)))
+    """(id, class_id, kept): an article goes if it is near an earlier one that stays, by fingerprint, title, terms or, from its own source, by vector."""
+    links = QUERIES["simhash_pairs"](spark, sf_dir).select("older", "newer").unionByName(title_links(spark, sf_dir))
     classes = QUERIES["simhash_classes"](spark, sf_dir)
-    return dedup.long_lane(classes, links, QUERIES["term_pairs"](spark, sf_dir).select("older", "newer"))
+    copies = short_lane_pairs(spark, sf_dir).where("action = 'drop'")
+    return dedup.long_lane(classes, links, QUERIES["term_pairs"](spark, sf_dir).select("older", "newer"), copies)
 
 
 def short_lane(spark, sf_dir):
     """(id, kept, related_to): copies of a kept article of their source go, others name the first kept article of their event."""
-    vectors = spark_query(lambda d: "SELECT y.id FROM vectors y JOIN news n ON n.id = y.id", "vectors", "news")
-    return dedup.short_lane(vectors(spark, sf_dir), QUERIES["short_pairs"](spark, sf_dir))
+    known = spark_query(lambda d: "SELECT y.id FROM vectors y JOIN news n ON n.id = y.id", "vectors", "news")
+    return dedup.short_lane(known(spark, sf_dir), short_lane_pairs(spark, sf_dir))
 
 
-QUERIES |= {"long_lane": long_lane, "short_lane": short_lane}
+QUERIES |= {"title_links": title_links, "short_lane_pairs": short_lane_pairs, "short_fallback": short_fallback, "long_lane": long_lane, "short_lane": short_lane}
+ORACLES["short_lane_pairs"] = ORACLES["short_pairs"]

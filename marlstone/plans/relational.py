@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from marlstone.plans.dialect import both
+from pyspark.sql import functions as F
+
+from marlstone.operators.pairs import prefix_candidates, similar_vectors
+from marlstone.plans.dialect import both, spark_query
 from marlstone.plans.news import HOT_NOW
+from marlstone.session import settle
+from marlstone.sources.adapters import vectors
 
 NOW = HOT_NOW
+#: Cosines from which on an event is like another, and from which on it is the same.
+LOW, HIGH = 0.50, 0.67
 RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM quotes)"
 ROOTS = "roots AS (SELECT *, coalesce(related_to_id, id) AS root FROM news)"
 
@@ -84,7 +91,7 @@ SELECT market, count(*) AS n_all, count(CASE WHEN status = 'open' THEN 1 END) AS
     ),
     "page_with_total": (lambda d: "SELECT id, ai_score, (SELECT count(*) FROM news WHERE ai_score >= 3) AS total FROM news WHERE ai_score >= 3 ORDER BY ai_score DESC, id DESC LIMIT 20 OFFSET 40", "news"),
     # joins
-    "trades_with_quotes": (lambda d: "SELECT t.trade_id, CAST(q.close AS DOUBLE) AS close, CAST(t.price AS DOUBLE) AS price FROM trades t LEFT JOIN quotes q ON q.code = t.code AND q.trade_date = t.trade_date", "trades", "quotes"),
+    "trades_with_quotes": (lambda d: "SELECT t.trade_id, CAST(q.close AS DOUBLE) AS close, CAST(t.price AS DOUBLE) AS price FROM trades t LEFT JOIN every_quote q ON q.code = t.code AND q.trade_date = t.trade_date", "trades", "every_quote"),
     "roots_with_events": (lambda d: "SELECT n.id, e.id AS event_id, e.status FROM news n LEFT JOIN (SELECT id, status FROM news WHERE is_highlight) AS e ON e.id = n.id WHERE n.related_to_id IS NULL", "news"),
     "roots_with_children": (lambda d: "SELECT id FROM news n LEFT SEMI JOIN (SELECT DISTINCT related_to_id FROM news WHERE related_to_id IS NOT NULL) AS c ON c.related_to_id = n.id" if type(d).__name__ == "SparkSql" else "SELECT id FROM news n SEMI JOIN (SELECT DISTINCT related_to_id FROM news WHERE related_to_id IS NOT NULL) AS c ON c.related_to_id = n.id", "news"),
     "without_bad_names": (lambda d: f"SELECT code, count(*) AS n FROM quotes q {'LEFT ANTI' if type(d).__name__ == 'SparkSql' else 'ANTI'} JOIN (SELECT DISTINCT code FROM quotes WHERE name LIKE '%9') AS b USING (code) GROUP BY code", "quotes"),
@@ -101,19 +108,20 @@ SELECT max(trade_date) AS day, CAST(sum(moved) AS BIGINT) AS shares FROM t WHERE
         "trades",
     ),
     "bounded_as_of": (
-        lambda d: """
-WITH near AS (SELECT t.trade_id, q.trade_date, CAST(q.close AS DOUBLE) AS close, row_number() OVER (PARTITION BY t.trade_id ORDER BY q.trade_date DESC) AS rn FROM trades t JOIN quotes q ON q.code = t.code AND q.trade_date <= t.trade_date AND q.trade_date >= t.trade_date - 5)
-SELECT trade_id, trade_date, close FROM near WHERE rn = 1""",
+        lambda d: f"""
+WITH t AS (SELECT trade_id, code, trade_date, {d.unnest(d.array(*map(str, range(6))))} AS back FROM trades), n AS (SELECT trade_id, code, back, trade_date - back AS day FROM t),
+m AS (SELECT n.trade_id, min(n.back) AS back FROM n JOIN every_quote q ON q.code = n.code AND q.trade_date = n.day GROUP BY n.trade_id)
+SELECT m.trade_id, q.trade_date, CAST(q.close AS DOUBLE) AS close FROM m JOIN n ON n.trade_id = m.trade_id AND n.back = m.back JOIN every_quote q ON q.code = n.code AND q.trade_date = n.day""",
         "trades",
-        "quotes",
+        "every_quote",
     ),
     "latest_trade_by_date": (lambda d: "SELECT t.code, max(t.trade_id) AS trade_id, t.trade_date FROM trades t JOIN (SELECT code, max(trade_date) AS last FROM trades GROUP BY code) AS l ON l.code = t.code AND l.last = t.trade_date GROUP BY t.code, t.trade_date", "trades"),
     "latest_trade_by_id": (lambda d: "SELECT t.code, t.trade_id, CAST(t.price AS DOUBLE) AS price FROM trades t JOIN (SELECT code, max(trade_id) AS last FROM trades GROUP BY code) AS l ON l.last = t.trade_id AND l.code = t.code", "trades"),
     "calendar_fill": (
         lambda d: f"""
-WITH days AS (SELECT {"explode(sequence(DATE '2001-07-01', DATE '2001-07-31', INTERVAL 1 DAY))" if type(d).__name__ == "SparkSql" else "unnest(generate_series(DATE '2001-07-01', DATE '2001-07-31', INTERVAL 1 DAY))"} AS x), cal AS (SELECT CAST(x AS DATE) AS day FROM days),
-b AS (SELECT market, trade_date, count(*) AS n FROM quotes WHERE trade_date >= DATE '2001-06-01' GROUP BY market, trade_date),
-m AS (SELECT day, market, max(trade_date) AS source_day FROM cal JOIN b ON trade_date <= day GROUP BY day, market)
+WITH b AS (SELECT market, trade_date, count(*) AS n FROM quotes GROUP BY market, trade_date), s AS (SELECT market, min(trade_date) AS first, max(trade_date) AS last FROM b GROUP BY market),
+cal AS (SELECT market, {d.days("first", "last")} AS day FROM s),
+m AS (SELECT cal.market, cal.day, max(b.trade_date) OVER (PARTITION BY cal.market ORDER BY cal.day ROWS UNBOUNDED PRECEDING) AS source_day FROM cal LEFT JOIN b ON b.market = cal.market AND b.trade_date = cal.day)
 SELECT m.day, m.market, m.source_day, b.n, m.day != m.source_day AS copied FROM m JOIN b ON b.market = m.market AND b.trade_date = m.source_day""",
         "quotes",
     ),
@@ -179,11 +187,11 @@ SELECT p.id, p.title, c.n AS children, s.sources, c.last FROM news p JOIN c ON c
     "stock_rollup": (
         lambda d: """
 WITH t AS (SELECT code, CAST(sum(CASE WHEN action = 'buy' THEN shares ELSE -shares END) AS BIGINT) AS net, count(*) AS n, max(trade_date) AS last FROM trades GROUP BY code),
-c AS (SELECT code, CAST(close AS DOUBLE) AS close, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM quotes), v AS (SELECT t.*, CASE WHEN net > 0 THEN net * close ELSE 0e0 END AS worth FROM t LEFT JOIN c ON c.code = t.code AND rn = 1),
+c AS (SELECT code, CAST(close AS DOUBLE) AS close, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM every_quote), v AS (SELECT t.*, CASE WHEN net > 0 THEN net * close ELSE 0e0 END AS worth FROM t LEFT JOIN c ON c.code = t.code AND rn = 1),
 s AS (SELECT sum(worth) AS total FROM v)
 SELECT code, net, n, last, round(coalesce(worth, 0) * 100 / s.total, 4) AS position_pct, CASE WHEN net > 0 THEN 'holding' ELSE 'watching' END AS status FROM v CROSS JOIN s""",
         "trades",
-        "quotes",
+        "every_quote",
     ),
     "account_state": (
         lambda d: """
@@ -255,10 +263,32 @@ SELECT code, round(s1, 4) AS sd1, round(s2, 4) AS sd2, round(s3, 4) AS sd3, s1 <
         lambda d: f"""
 WITH q AS (SELECT id, embedding AS e, sqrt({d.dot("embedding", "embedding")}) AS n FROM vectors WHERE id % 50 = 0), x AS (SELECT id, embedding AS e, sqrt({d.dot("embedding", "embedding")}) AS n FROM vectors),
 s AS (SELECT q.id AS query_id, x.id, CASE WHEN q.n = 0 OR x.n = 0 THEN 0e0 ELSE round({d.dot("q.e", "x.e")} / (q.n * x.n), 8) END AS sim FROM q JOIN x ON q.id != x.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn FROM s WHERE sim >= 0.1 AND sim < 0.9)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn FROM s WHERE sim >= {LOW} AND sim < {HIGH})
 SELECT query_id, id, sim FROM r WHERE rn <= 3""",
         "vectors",
     ),
 }
 
 QUERIES, ORACLES = both(FOUND)
+
+
+def band_join(spark, sf_dir, least: float = 0.5, band: int = 21600):
+    """(newer, older, sim): for each root its most similar title of another source in the six hours before it, by trigrams; only titles that share a rare one are compared."""
+    text = lambda d: f"SELECT id, source, published, related_to_id, {d.shingles('lower(title)', 3)} AS grams, CAST(floor(published / {band}) AS BIGINT) AS slot FROM news WHERE length(title) > 0 AND published > {NOW} - 72 * 3600"
+    titles = settle(spark_query(text, "news")(spark, sf_dir))
+    side = lambda name: titles.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("source", "published", "related_to_id", "grams")))
+    met = prefix_candidates(titles, least).join(side("newer"), "newer").where("newer_related_to_id IS NULL").join(side("older"), "older")
+    met = met.where(f"older_source != newer_source AND older_published < newer_published AND newer_published - older_published < {band}")
+    sized = met.select("newer", "older", F.size(F.array_intersect("older_grams", "newer_grams")).alias("common"), (F.size("older_grams") + F.size("newer_grams")).alias("sizes"))
+    sim = sized.withColumn("sim", F.col("common").cast("double") / (F.col("sizes") - F.col("common"))).where(F.col("sim") > least)
+    best = sim.groupBy("newer").agg(F.max_by(F.struct("older", "sim"), F.struct("sim", -F.col("older"))).alias("best"))
+    return best.select("newer", "best.older", F.round("best.sim", 6).alias("sim"))
+
+
+def vector_recall(spark, sf_dir, low: float = LOW, high: float = HIGH, top: int = 3):
+    """(query_id, id, sim): the best ``top`` vectors in the band for each whose id is divisible by 50."""
+    found = vectors(spark, sf_dir)
+    return similar_vectors(found.where("id % 50 = 0"), found, low, high, top=top)
+
+
+QUERIES |= {"band_join": band_join, "vector_recall": vector_recall}

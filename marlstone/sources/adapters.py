@@ -18,10 +18,13 @@ MONEY = "decimal(18,2)"
 AS_OF, DAYS = "2001-08-01", 1600
 
 
-def quotes(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, days: int = DAYS) -> DataFrame:
-    """(code, trade_date, open, high, low, close, volume, amount, name, market), one row a series and day; prices decimal. Only days in [as_of - days, as_of] are read: the predicate reaches the scan."""
-    day = F.lit(as_of).cast("date")
-    line = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.date_sub(day, days)) & (F.col("l_shipdate") < F.date_add(day, 1)))
+def quotes(spark: SparkSession, sf_dir: str, as_of: str | None = AS_OF, days: int | None = DAYS) -> DataFrame:
+    """(code, trade_date, open, high, low, close, volume, amount, name, market), one row a series and day; prices decimal. Only days in [as_of - days, as_of] are read, where these are given: the predicate reaches the scan."""
+    line = table(spark, sf_dir, "lineitem")
+    if as_of:
+        day = F.lit(as_of).cast("date")
+        line = line.where(F.col("l_shipdate") < F.date_add(day, 1))
+        line = line.where(F.col("l_shipdate") >= F.date_sub(day, days)) if days else line
     price = F.col("l_extendedprice").cast(MONEY)
     order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
     bars = line.groupBy(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date")).agg(
@@ -37,23 +40,33 @@ def quotes(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, days: int = DAY
     return bars.join(names.select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("r_name").alias("market")), "code")
 
 
-QUOTES = f"""
-bars AS (
+def every_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars of all days, for what has no lower bound of days: valuations of trades, ratings of past days."""
+    return quotes(spark, sf_dir, None)
+
+
+def _quotes_sql(name: str, where: str = "") -> str:
+    return f"""
+{name}_bars AS (
   SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS trade_date,
     arg_min(CAST(l_extendedprice AS DECIMAL(18,2)), (l_orderkey, l_linenumber, l_extendedprice)) AS open,
     max(CAST(l_extendedprice AS DECIMAL(18,2))) AS high, min(CAST(l_extendedprice AS DECIMAL(18,2))) AS low,
     arg_max(CAST(l_extendedprice AS DECIMAL(18,2)), (l_orderkey, l_linenumber, l_extendedprice)) AS close,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS amount
-  FROM lineitem WHERE l_shipdate >= DATE '{AS_OF}' - {DAYS} AND l_shipdate < DATE '{AS_OF}' + 1 GROUP BY ALL),
-quotes AS (
-  SELECT bars.*, s_name AS name, r_name AS market FROM bars JOIN supplier ON s_suppkey = code
+  FROM lineitem {where} GROUP BY ALL),
+{name} AS (
+  SELECT {name}_bars.*, s_name AS name, r_name AS market FROM {name}_bars JOIN supplier ON s_suppkey = code
   JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
 """
 
 
-def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, title, content, source, url, tags, published_at, ai_score, related_to_id, is_highlight, status)."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+QUOTES = _quotes_sql("quotes", f"WHERE l_shipdate >= DATE '{AS_OF}' - {DAYS} AND l_shipdate < DATE '{AS_OF}' + 1")
+EVERY_QUOTE = _quotes_sql("every_quote")
+
+
+def news(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """(id, title, content, source, url, tags, published, ai_score, related_to_id, is_highlight, status); of ``docs``, which may be a stream, where given."""
+    docs, labels = table(spark, sf_dir, "documents") if docs is None else docs, table(spark, sf_dir, "labels")
     id_ = F.col("doc_id")
     tenths = F.coalesce("quality", F.lit(0)) * 40 + (id_ % 11) * 6 - F.coalesce("toxic", F.lit(0)) * 20
     score = F.greatest(F.lit(0), F.least(F.lit(100), tenths)) / F.lit(10.0)
