@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marlstone.plans import cross_section, digests, folds, ledger, news, ratings, refinement, relational, screening, search, streams, tables
+from marlstone.plans import catalyst, cross_section, digests, folds, ledger, news, ratings, refinement, relational, screening, search, streams, tables
 
-FAMILIES = [cross_section, digests, folds, news, ledger, ratings, refinement, relational, screening, search, streams, tables]
+FAMILIES = [catalyst, cross_section, digests, folds, news, ledger, ratings, refinement, relational, screening, search, streams, tables]
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import features as fx
 from marlstone.operators.pairs import prefix_candidates, similar_vectors
 from marlstone.plans.dialect import both, spark_query
 from marlstone.plans.news import HOT_NOW
@@ -13,6 +14,14 @@ from marlstone.sources.adapters import vectors
 NOW = HOT_NOW
 #: Cosines from which on an event is like another, and from which on it is the same.
 LOW, HIGH = 0.50, 0.67
+#: Articles told of an event, newest ones always among them.
+ARTICLES, RECENT = 8, 2
+#: Fixed value: seconds after which the age of an article counts. Sources of quick news, whose old articles are not scored.
+OLD, QUICK = 86400, ("src2", "src12")
+#: Fixed values of the hot topics: seconds, least score, events, titles of articles under one.
+HOT_SECONDS, HOT_LEAST, HOT_MOST, HOT_TITLES = 86400, 5, 10, 6
+#: Money at the start, loss in per cent that stops trading.
+CAPITAL, BREAK = "1e10", -15
 RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM quotes)"
 ROOTS = "roots AS (SELECT *, coalesce(related_to_id, id) AS root FROM news)"
 
@@ -77,7 +86,9 @@ SELECT l.market, l.last, count(DISTINCT q.code) AS n_codes, l.last = DATE '2001-
     "staleness_filter": (lambda d: f"SELECT id FROM news WHERE published IS NULL OR published >= {NOW} - 7 * 86400", "news"),
     "age_gate": (
         lambda d: f"""
-SELECT id, CASE WHEN published IS NULL OR {NOW} - published <= 43200 THEN 'young' WHEN source LIKE '%1%' THEN 'official' WHEN related_to_id IS NOT NULL AND {d.rx("title", "[0-9]")} THEN 'new_fact' WHEN source LIKE '%2%' THEN 'drop' ELSE 'keep' END AS gate FROM news""",
+WITH r AS (SELECT n.*, coalesce(n.title, '') || ' ' || coalesce(n.content, '') AS body, coalesce(p.title, '') || ' ' || coalesce(p.content, '') AS root_body FROM news n LEFT JOIN news p ON p.id = n.related_to_id)
+SELECT id, CASE WHEN published IS NULL OR {NOW} - published <= {OLD} THEN 'young' WHEN {fx.official(d, "source", "url")} THEN 'official' WHEN related_to_id IS NOT NULL AND {fx.news_beside(d, "body", "root_body")} THEN 'new_fact'
+  WHEN lower(source) IN ({", ".join(map(d.lit, QUICK))}) THEN 'drop' ELSE 'keep' END AS gate FROM r""",
         "news",
     ),
     "noise_tags": (lambda d: f"SELECT id FROM news WHERE NOT ({d.has('tags', chr(39) + 'topic0' + chr(39))} AND ai_score <= 4)", "news"),
@@ -173,9 +184,11 @@ SELECT newer, older, round(sim, 6) AS sim FROM r WHERE rn = 1""",
     # roll-ups
     "hot_topics": (
         lambda d: f"""
-WITH c AS (SELECT related_to_id AS id, count(*) AS n, max(published) AS last FROM news WHERE related_to_id IS NOT NULL AND related_to_id != id GROUP BY related_to_id),
-s AS (SELECT coalesce(related_to_id, id) AS id, count(DISTINCT source) AS sources FROM news GROUP BY coalesce(related_to_id, id))
-SELECT p.id, p.title, c.n AS children, s.sources, c.last FROM news p JOIN c ON c.id = p.id JOIN s ON s.id = p.id WHERE p.related_to_id IS NULL AND c.n >= 1 ORDER BY s.sources DESC, p.ai_score DESC, c.last DESC, p.id LIMIT 50""",
+WITH {ROOTS}, c AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY published, id) AS rn FROM roots WHERE related_to_id IS NOT NULL AND related_to_id != id),
+t AS (SELECT root, {d.gather("title", "rn")} AS child_titles FROM c WHERE rn <= {HOT_TITLES} GROUP BY root), u AS (SELECT root, {d.gather("source", "source")} AS child_sources FROM (SELECT DISTINCT root, source FROM c) AS x GROUP BY root),
+k AS (SELECT root, count(*) AS children FROM c GROUP BY root), s AS (SELECT root, count(DISTINCT source) AS source_count FROM roots GROUP BY root)
+SELECT p.id, p.title, p.ai_score, s.source_count, k.children, u.child_sources, t.child_titles FROM news p JOIN k ON k.root = p.id JOIN s ON s.root = p.id JOIN t ON t.root = p.id JOIN u ON u.root = p.id
+WHERE p.related_to_id IS NULL AND p.ai_score >= {HOT_LEAST} AND p.published >= {NOW} - {HOT_SECONDS} ORDER BY s.source_count DESC, p.ai_score DESC, p.published DESC, p.id LIMIT {HOT_MOST}""",
         "news",
     ),
     "event_sources": (lambda d: f"WITH {ROOTS}, u AS (SELECT DISTINCT root, source FROM roots), k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY source) AS rn FROM u) SELECT root AS id, {d.gather('source', 'source')} AS sources FROM k WHERE rn <= 5 GROUP BY root", "news"),
@@ -194,10 +207,16 @@ SELECT code, net, n, last, round(coalesce(worth, 0) * 100 / s.total, 4) AS posit
         "every_quote",
     ),
     "account_state": (
-        lambda d: """
-WITH s AS (SELECT market, CAST(sum(CASE WHEN status = 'open' THEN amount ELSE 0 END) AS DOUBLE) AS held, sum(CASE WHEN status = 'closed' THEN CAST(amount AS DOUBLE) * coalesce(pnl_pct, 0) / 100 ELSE 0e0 END) AS pnl FROM closed_trades GROUP BY market)
-SELECT market, round(1e10 - held + pnl, 2) AS cash, round(1e10 + pnl, 2) AS total, round(pnl / 1e10 * 100, 4) AS total_pnl_pct, pnl / 1e10 * 100 <= -15 AS breaker FROM s""",
+        lambda d: f"""
+WITH l AS (SELECT code, trade_date, CAST(close AS DECIMAL(18,2)) AS close, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM every_quote),
+t AS (SELECT c.market, c.status, t.shares * t.price AS amount, CASE WHEN c.status = 'closed' THEN t.shares * t.price * CAST(coalesce(c.pnl_pct, 0e0) AS DECIMAL(6,1)) / 100 END AS pnl, t.shares * coalesce(l.close, t.price) AS worth
+  FROM closed_trades c JOIN trades t ON t.trade_id = c.trade_id LEFT JOIN l ON l.code = t.code AND l.rn = 1),
+s AS (SELECT market, CAST(coalesce(sum(CASE WHEN status = 'open' THEN amount END), 0) AS DOUBLE) AS held, CAST(coalesce(sum(pnl), 0) AS DOUBLE) AS pnl, CAST(coalesce(sum(CASE WHEN status = 'open' THEN worth END), 0) AS DOUBLE) AS worth FROM t GROUP BY market),
+v AS (SELECT market, {CAPITAL} - held + pnl AS cash, worth AS holdings, pnl AS realized, {CAPITAL} - held + pnl + worth AS total FROM s)
+SELECT market, round(cash, 2) AS cash, round(holdings, 2) AS holdings, round(realized, 2) AS realized_pnl, round(total, 2) AS total, round((total - {CAPITAL}) / {CAPITAL} * 100, 4) AS total_pnl_pct, (total - {CAPITAL}) / {CAPITAL} * 100 <= {BREAK} AS breaker FROM v""",
         "closed_trades",
+        "trades",
+        "every_quote",
     ),
     "account_defaults": (lambda d: f"WITH m AS (SELECT {d.unnest(d.array(*(chr(39) + x + chr(39) for x in ('CN', 'HK', 'US', 'JP'))))} AS market), a AS (SELECT market, count(*) AS n FROM closed_trades GROUP BY market) SELECT m.market, coalesce(a.n, 0) AS n_trades, CASE WHEN a.market IS NULL THEN 100000e0 ELSE 10000e0 END AS capital FROM m LEFT JOIN a ON a.market = m.market", "closed_trades"),
     "mean_session": (lambda d: "SELECT started, round(sum(CASE WHEN kind = 'click' THEN value END) / count(CASE WHEN kind = 'view' THEN 1 END), 4) AS mean_value FROM runs GROUP BY started", "runs"),
@@ -226,8 +245,8 @@ SELECT source, CASE WHEN n >= 2 THEN status END AS pattern FROM r WHERE rn = 1""
     "article_selection": (
         lambda d: f"""
 WITH {ROOTS}, r AS (SELECT root, id, published, row_number() OVER (PARTITION BY root ORDER BY published DESC, id DESC) AS newest, row_number() OVER (PARTITION BY root ORDER BY ai_score DESC, published DESC, id DESC) AS best FROM roots),
-k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY CASE WHEN newest <= 2 THEN 0 ELSE 1 END, best) AS pick FROM r)
-SELECT root AS id, {d.gather("id", "id")} AS articles FROM k WHERE pick <= 3 GROUP BY root""",
+k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY CASE WHEN newest <= {RECENT} THEN 0 ELSE 1 END, best) AS pick FROM r)
+SELECT root AS id, {d.gather("id", "published")} AS articles FROM k WHERE pick <= {ARTICLES} GROUP BY root""",
         "news",
     ),
     # windows

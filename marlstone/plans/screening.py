@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+
 from marlstone.functions import features as fx
-from marlstone.plans.dialect import both
+from marlstone.operators import cross_section as cs
+from marlstone.plans.cross_section import ORACLES as CROSS
+from marlstone.plans.dialect import both, run_text
 from marlstone.plans.news import HOT_NOW
 from marlstone.plans.relational import ROOTS
+from marlstone.session import settle
+from marlstone.sources.adapters import AS_OF, QUOTES, quotes
 
 #: Fixed values of the contraction pattern: reversal, contractions, decay of amplitude and volume, last amplitude, exceptions, bars.
 REVERSAL, FEWEST, MOST, AMP_DECAY, VOLUME_DECAY, LAST_AMP, ALLOWED, LEAST_BARS, WINDOW = 0.02, 2, 5, 0.90, 0.95, 0.08, 1, 40, 120
@@ -125,7 +133,7 @@ def prefilter(d) -> str:
 h AS (SELECT a.*, {fx.official(d, "a.source", "a.url")} AS official, {fx.hard_signal(d, "body", "low_body")} AS hard, samples, rate FROM a JOIN q ON q.source = a.source),
 t AS (SELECT *, {tier} AS tier, {fx.low_value(d, "title", "content", "hard")} AS low, {fx.has(d, "low_body", fx.MAJOR)} AS major FROM h),
 p AS (SELECT t.*, {fx.prefilter_score(d, "t.body", "t.low_body", "t.tier")} AS score, r.title AS root_title, r.body AS root_body FROM t LEFT JOIN a AS r ON r.id = t.related_to_id),
-n AS (SELECT *, root_title IS NOT NULL AND root_title = title AND {d.missing(d.every("body", fx.DATES), d.every("coalesce(root_body, '')", fx.DATES))} = 0 AND {d.distinct(d.every("body", "[0-9]+"))} = {d.distinct(d.every("coalesce(root_body, '')", "[0-9]+"))} AS no_news FROM p),
+n AS (SELECT *, root_title IS NOT NULL AND root_title = title AND NOT {fx.news_beside(d, "body", "coalesce(root_body, '')")} AS no_news FROM p),
 x AS (SELECT *, CASE WHEN official OR major THEN 'score' WHEN low IS NOT NULL THEN 'drop' WHEN no_news THEN 'inherit' WHEN tier = 'D' OR tier = 'C' AND hard < 2 OR score <= 1 THEN 'drop' ELSE 'score' END AS action FROM n)
 SELECT id, official, tier, hard, low, score, no_news, CASE WHEN action = 'drop' AND id % 20 = 0 THEN 'audit' ELSE action END AS action FROM x"""
 
@@ -194,7 +202,15 @@ SELECT tag, n, top, round(n * top + 2 * greatest(adjusted, 0e0), 2) AS heat, CAS
     "trade_close": (lambda d: "SELECT trade_id, CAST(round(amount * CAST(pnl_pct AS DECIMAL(8,2)) * 0.01, 4) AS DOUBLE) AS pnl_amount, round(pnl_pct, 2) AS pnl_pct FROM closed_trades WHERE status = 'closed' AND pnl_pct IS NOT NULL", "closed_trades"),
     "entry_gates": (lambda d: "SELECT trade_id, CASE WHEN shares <= 0 THEN 'size' WHEN price <= 1000 THEN 'price' WHEN action != 'buy' THEN 'side' WHEN shares * price > 1500000 THEN 'position' WHEN trade_id % 10 = 0 THEN 'rules' ELSE 'open' END AS gate FROM trades", "trades"),
     "auto_stabilise": (lambda d: f"SELECT id, CASE WHEN status = 'developing' AND {HOT_NOW} - published > 48 * 3600 THEN 'stable' ELSE status END AS status FROM news WHERE related_to_id IS NULL", "news"),
-    "alert_selection": (lambda d: f"WITH {ROOTS}, g AS (SELECT root, count(DISTINCT source) AS sources FROM roots GROUP BY root), c AS (SELECT n.id, n.ai_score, row_number() OVER (PARTITION BY n.status ORDER BY n.ai_score DESC, n.id) AS rn FROM news n JOIN g ON g.root = n.id WHERE n.ai_score >= 8 AND (sources >= 2 OR n.source LIKE '%1%') AND n.related_to_id IS NULL) SELECT id, ai_score FROM c WHERE rn <= 2", "news"),
+    "alert_selection": (
+        lambda d: f"""
+WITH {ROOTS}, o AS (SELECT *, CASE WHEN {fx.official(d, "source", "url")} THEN 1 ELSE 0 END AS official FROM roots),
+g AS (SELECT root, count(DISTINCT source) AS sources, max(official) AS official, count(*) AS version, count(CASE WHEN published < {HOT_NOW} - 86400 THEN 1 END) AS alerted FROM o WHERE published <= {HOT_NOW} GROUP BY root),
+l AS (SELECT root, title AS latest_change, row_number() OVER (PARTITION BY root ORDER BY published DESC, id DESC) AS rn FROM roots WHERE published <= {HOT_NOW} AND id != root)
+SELECT n.id, g.version, n.title, l.latest_change, n.ai_score, g.sources AS source_count, g.official = 1 AS official FROM news n JOIN g ON g.root = n.id JOIN l ON l.root = n.id AND l.rn = 1
+WHERE n.related_to_id IS NULL AND n.ai_score >= 8 AND (g.official = 1 OR g.sources >= 2) AND length(trim(coalesce(l.latest_change, ''))) > 0 AND g.version > g.alerted""",
+        "news",
+    ),
     "version_step": (lambda d: f"WITH {ROOTS}, g AS (SELECT root, count(*) - 1 AS children, min(published) AS first, max(published) AS last FROM roots GROUP BY root) SELECT n.id, CASE WHEN children = 0 THEN 1 ELSE 1 + children END AS version, CASE WHEN status IN ('resolved', 'stable') THEN round((last - first) / 3600e0, 2) END AS hours FROM news n JOIN g ON g.root = n.id WHERE n.related_to_id IS NULL", "news"),
     "inherited_scores": (lambda d: "SELECT n.id, r.ai_score AS score FROM news n JOIN news r ON r.id = n.related_to_id WHERE n.title = r.title OR n.id % 2 = 0", "news"),
     "tier_validation": (lambda d: f"WITH k AS (SELECT DISTINCT code FROM quotes), s AS (SELECT DISTINCT code, CASE WHEN code % 3 = 0 THEN 'S' ELSE 'X' END AS tier FROM trades) SELECT k.code, coalesce(s.tier, 'A') AS tier FROM k LEFT JOIN s ON s.code = k.code", "quotes", "trades"),
@@ -203,7 +219,6 @@ SELECT tag, n, top, round(n * top + 2 * greatest(adjusted, 0e0), 2) AS heat, CAS
     "hamming_pairs": (lambda d: f"SELECT a.id AS a, b.id AS b, CAST({d.bits('xor(a.id * 7919, b.id * 7919)' if not spark(d) else '(a.id * 7919) ^ (b.id * 7919)')} AS INT) AS distance FROM news a JOIN news b ON b.id = a.id + 1", "news"),
     "previous_digest": (lambda d: "WITH g AS (SELECT CAST(floor((published - 1704067200) / 14400) AS BIGINT) AS slot, min(published) AS start, max(published) AS stop, count(*) AS n FROM news GROUP BY CAST(floor((published - 1704067200) / 14400) AS BIGINT)) SELECT slot, coalesce(lag(stop) OVER (ORDER BY slot), start) AS start, stop, n FROM g", "news"),
     "batch_symbols": (lambda d: f"WITH s AS (SELECT DISTINCT upper(trim(' x' || CAST(code AS {d.string}) || ' ')) AS symbol FROM trades), k AS (SELECT DISTINCT 'X' || CAST(code AS {d.string}) AS symbol FROM quotes WHERE code % 2 = 0) SELECT s.symbol, CASE WHEN length(s.symbol) > 16 THEN 'failed' WHEN k.symbol IS NOT NULL THEN 'skipped' ELSE 'added' END AS result FROM s LEFT JOIN k ON k.symbol = s.symbol", "trades", "quotes"),
-    "filter_summary": (lambda d: "WITH l AS (SELECT code, close, lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS before, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS rn FROM quotes) SELECT count(*) AS n, count(CASE WHEN close > before THEN 1 END) AS up, count(CASE WHEN close >= before * 1.5 THEN 1 END) AS breakouts FROM l WHERE rn = 1", "quotes"),
 }
 
 FOUND = {
@@ -217,3 +232,23 @@ FOUND = {
 }
 
 QUERIES, ORACLES = both(FOUND)
+
+#: Fixed value: a contraction score from which on a series is watched closely.
+WATCHED = 0.8
+SUMMARY = """t AS (SELECT m.market, x.code, x.vcp_score, w.code IS NULL AS fresh FROM today x JOIN m AS m ON m.code = x.code LEFT JOIN (SELECT code FROM before AS v WHERE passed) AS w ON w.code = x.code WHERE x.passed),
+y AS (SELECT m.market, count(*) AS n FROM before x JOIN m AS m ON m.code = x.code WHERE x.passed GROUP BY m.market), g AS (SELECT market, count(*) AS base, count(CASE WHEN vcp_score >= {watched} THEN 1 END) AS watched, count(CASE WHEN fresh THEN 1 END) AS fresh FROM t GROUP BY market), k AS (SELECT DISTINCT market FROM m AS q)
+SELECT k.market, coalesce(g.base, 0) AS base_count, coalesce(g.watched, 0) AS observe_count, coalesce(b.breakout_today, 0) AS breakout_confirm, CASE WHEN y.n > 0 THEN coalesce(g.fresh, 0) ELSE 0 END AS new_count, coalesce(y.n > 0, false) AS has_yesterday
+FROM k LEFT JOIN g ON g.market = k.market LEFT JOIN y ON y.market = k.market LEFT JOIN breakout b ON b.market = k.market""".format(watched=WATCHED)
+
+
+def filter_summary(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+    """Each market's list on a day: its length, those watched closely, breakouts of the day, and those that the list of the day before lacks."""
+    bars = settle(quotes(spark, sf_dir, as_of))
+    on = lambda day: run_text(spark, stage2, quotes=quotes(spark, sf_dir, day)).select("code", "passed", "vcp_score")
+    frames = {"today": run_text(spark, stage2, quotes=bars).select("code", "passed", "vcp_score"), "before": on(str(date.fromisoformat(as_of) - timedelta(days=1))), "m": bars.select("code", "market").distinct(), "breakout": cs.breakout_efficacy(bars).select("market", "breakout_today")}
+    return run_text(spark, lambda d: "WITH " + SUMMARY, **frames)
+
+
+QUERIES["filter_summary"] = filter_summary
+ORACLES["filter_summary"] = f"""WITH today AS ({ORACLES["stage2_funnel"]}), before AS ({ORACLES["stage2_funnel"].replace(AS_OF, str(date.fromisoformat(AS_OF) - timedelta(days=1)))}), {QUOTES.strip()}, m AS (SELECT DISTINCT code, market FROM quotes),
+breakout AS ({CROSS["breakout_efficacy"]}), {SUMMARY}"""

@@ -29,9 +29,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"file://{folder}/{name}"
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], keep_old: tuple[str, ...] = ()) -> DataFrame:
-    """Stored rows with the incoming ones put over them by key; columns in ``keep_old`` keep the stored value where the new one is null or empty."""
-    both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], keep_old: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """Stored rows with the incoming ones put over them by key; columns in ``keep_old`` keep the stored value where the new one is null or empty.
+
+    Of incoming rows with one key the last by ``order``, a column of ``incoming``, counts; without it, or where it ties, the one with the greatest hash.
+    """
+    columns = [F.col(c) for c in stored.columns]
+    rank = lambda new, last: F.struct(F.lit(new).alias("new"), last.alias("order"), F.xxhash64(*columns).alias("hash"))
+    last = F.col(order) if order else F.lit(0)
+    none = F.lit(None).cast(incoming.schema[order].dataType) if order else F.lit(0)
+    both = stored.select(*columns, rank(0, none).alias("_new")).unionByName(incoming.select(*columns, rank(1, last).alias("_new")))
 
     def latest(c: str) -> Column:
         if c not in keep_old:
@@ -77,6 +84,19 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def replace_partition(df: DataFrame, path: str, run_log: str, run_id: str, **partition: str) -> None:
+    """Put ``df`` in place of one partition, whose values it has, and record the run. Without rows the partition is cleared: what an earlier run left there goes."""
+    spark = df.sparkSession
+    n = df.count()
+    if n:
+        replace_partitions(df, path, *partition)
+    else:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "".join(f"/{k}={v}" for k, v in partition.items()))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    record = [(run_id, "&".join(f"{k}={v}" for k, v in partition.items()), n)]
+    spark.createDataFrame(record, "run_id string, partition string, n_rows long").write.mode("append").parquet(run_log)
+
+
 def export_csv(df: DataFrame, path: str, *order: str) -> None:
     """Rows in order, with a header."""
     df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
