@@ -51,15 +51,21 @@ from marlstone.llm.common import materialize
 
 # Element names by what they do to a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select button xmp noframes annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
+#: Elements within a line of text that are left out without ending it.
+BETWEEN = frozenset("script style noscript textarea iframe svg object select button annotation annotation-xml".split())
 ASIDE = frozenset("nav aside form footer dialog menu head".split())
 CLOSES_ITSELF = frozenset("li dt dd tr td th option".split())
-NOT_MAIN = re.compile(r"(nav|navbar|navigation|menu|sidebar|side-?bar|aside|ads?|adverts?|advertisements?|adsense|banner|sponsor(ed)?|promo|cookies?|consent|gdpr|notices?|alert|comments?|commentlist|disqus|respond|reactions|share|sharing|social|related|recommended|breadcrumbs?|footer|header|masthead|newsletter|subscribe|signup|popup|modal|overlay|pagination|pager|widget)([-_].*)?", re.IGNORECASE)
+_NAMES = r"nav|navbar|navigation|menu|sidebar|side-?bar|aside|ads?|adverts?|advertisements?|adsense|banner|sponsor(ed)?|promo|cookies?|consent|gdpr|notices?|alert|comments?|commentlist|disqus|respond|reactions|share|sharing|social|related|recommended|breadcrumbs?|footer|header|masthead|newsletter|subscribe|signup|popup|modal|overlay|pagination|pager|widget"
+NOT_MAIN = re.compile(rf"({_NAMES})([-_].*)?", re.IGNORECASE)
+#: Within an article or main, where a name may also tell what a part of it is about, only parts of a page's frame may follow.
+NOT_MAIN_INSIDE = re.compile(rf"({_NAMES})([-_]({_NAMES}|top|bottom|left|right|inner|outer|main|wrap|wrapper|container|box|bar|block|area|section|region|unit|slot|list|links?|items?|icons?|buttons?|btn|form|title|label|body|content|text|message|nav|menu|widget|toggle|posts?|articles?|stories|news|media|thread|count|card|cta|tools|author|heading|headline|grid|row|column|inline|sticky|mobile|desktop|[0-9]+))*", re.IGNORECASE)
+COMMENTS = re.compile(r"(comments?|commentlist|disqus|respond|reactions)([-_].*)?", re.IGNORECASE)
 ROLES_NOT_MAIN = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 STATS = "host string, role long, kind string, pages long, total long, high long, low long, texts_min long, texts_max long, chars long, linked long"
@@ -85,7 +91,7 @@ class Element:
     __slots__ = ("article", "aside", "inline", "kind", "linked", "parent", "role", "slot", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None, template: Template) -> None:
-        said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
+        said = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))} if attributes else {}  # the first of a name counts
         names = [*said.get("class", "").split(), *said.get("id", "").split()]
         inside = parent is not None and parent.kind == "article"
         self.tag, self.parent, self.inline = tag, parent, tag in INLINE
@@ -94,7 +100,8 @@ class Element:
             own = self.role in template.dropped
         else:
             own = tag in ASIDE or tag == "header" and not inside or said.get("role", "").lower() in ROLES_NOT_MAIN
-            own = own or tag not in ("html", "body", "article", "main") and any(NOT_MAIN.fullmatch(n) for n in names)
+            pattern = COMMENTS if tag == "article" else NOT_MAIN_INSIDE if parent is not None and parent.kind else NOT_MAIN
+            own = own or tag not in ("html", "body", "main") and any(pattern.fullmatch(n) for n in names)
         self.aside = own or parent is not None and parent.aside
         self.kind = "article" if tag == "article" else "main" if tag == "main" or said.get("role", "").lower() == "main" else parent.kind if parent else ""
         framed = template.fixed is None and self.role in template.mains
@@ -154,7 +161,7 @@ def parse(page: str, template: Template = NO_TEMPLATE) -> Iterator[tuple[str, El
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4]), (m[3] or m[6] or "")
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in BETWEEN:
             yield from block()
         elif tag == "br" and held:
             held.append(" ")

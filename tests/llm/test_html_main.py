@@ -3,6 +3,7 @@ import random
 import time
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import html_main
@@ -171,3 +172,16 @@ def test_broken_markup():
 
 def test_empty_table(spark):
     assert extract_main(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p data-id="alert">one</p><div data-class="share" data-role="banner">two</div><p title="x id=alert class=share">three</p></article>', "one\n\ntwo\n\nthree"),
+        ('<main><p>text</p><article class="comment">said</article><article id="comment-7">more</article></main>', "text"),
+        ('<article><p>a</p><table class="share-price-table"><tr><td>b</td></tr></table><div class="related-work">c</div><figure class="header-image"><figcaption>d</figcaption></figure><div class="share-buttons">no</div><div class="related">no</div></article>', "a\n\nb\n\nc\n\nd"),
+        ("<article><p>take <button>Copy</button>this <select><option>x</option></select>and <math><mi>a</mi><mo>+</mo><mi>b</mi></math> so<script>1</script>.</p></article>", "take this and a+b so."),
+    ],
+)
+def test_names_and_controls_within_an_article(html, text):
+    assert "\n\n".join(t for what, e, t, _ in parse(html) if what == "text" and not (e and e.aside)) == text
