@@ -19,11 +19,11 @@ def series(bars: DataFrame, *columns: str) -> DataFrame:
     return bars.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("trade_date", *(F.col(c).cast("double").alias(c) for c in columns)))).alias("s"))
 
 
-def ema(bars: DataFrame, least_rows: int = 20) -> DataFrame:
-    """Exponential means of the closes, seeded by the first close; series under ``least_rows`` rows are left out."""
+def ema(bars: DataFrame, least_rows: int = 20, digits: int | None = 6) -> DataFrame:
+    """Exponential means of the closes, seeded by the first close and rounded to ``digits`` where given; series under ``least_rows`` rows are left out."""
     closes = series(bars, "close").where(F.size("s") >= least_rows).select("code", F.col("s.close").alias("c"))
     fold = lambda p: F.aggregate("c", F.element_at("c", 1), lambda a, x: a + (x - a) * F.lit(2 / (p + 1)))
-    return closes.select("code", *(F.round(fold(p), 6).alias(f"ema{p}") for p in EMA_PERIODS))
+    return closes.select("code", *((fold(p) if digits is None else F.round(fold(p), digits)).alias(f"ema{p}") for p in EMA_PERIODS))
 
 
 def wilder_mean(side: Column, period: int) -> Column:
