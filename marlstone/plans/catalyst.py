@@ -56,11 +56,12 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalyst_board(spark: SparkSession, sf_dir: str, day: int = DAY) -> DataFrame:
     bars = settle(quotes(spark, sf_dir))  # read once for all that follows
     told = news(spark, sf_dir).withColumns({"entity": F.lit(""), "kind": F.element_at("tags", 3), "sentiment": F.col("ai_score") - 5})
-    funnel = run_text(spark, screening.stage2, quotes=bars).select("code", "vcp_score")
-    vcp = run_text(spark, screening.vcp, quotes=bars).where("detected").select("code").join(funnel, "code", "left")
-    trend = fold_ops.trend_screen(bars).where("liquid AND fresh AND long_enough AND t1 AND t2 AND t3 AND t4 AND t5").select("code", F.col("score").alias("trend_score"))
+    # A row a series each; settled before they are filtered, as a filter would be pushed into their folds and run them again.
+    funnel = settle(run_text(spark, screening.stage2, quotes=bars).select("code", "vcp_score"))
+    vcp = settle(run_text(spark, screening.vcp, quotes=bars).select("code", "detected")).where("detected").select("code").join(funnel, "code", "left")
+    trend = settle(fold_ops.trend_screen(bars)).where("liquid AND fresh AND long_enough AND t1 AND t2 AND t3 AND t4 AND t5").select("code", F.col("score").alias("trend_score"))
     frames = {"news": told, "entities": entities(spark, sf_dir), "vcp": vcp, "trend": trend, "rating": cs.rs_rating(bars).select("code", "name", "rs_rating"), "move": cs.price_trend(bars).select("code", "sum_pct")}
-    frames |= {n: settle(frames[n]) for n in ("vcp", "trend", "rating", "move")}  # a row a series
+    frames |= {n: settle(frames[n]) for n in ("rating", "move")}
     return run_text(spark, lambda d: board(d, day), **frames)
 
 

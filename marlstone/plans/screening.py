@@ -244,8 +244,8 @@ FROM k LEFT JOIN g ON g.market = k.market LEFT JOIN y ON y.market = k.market LEF
 def filter_summary(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     """Each market's list on a day: its length, those watched closely, breakouts of the day, and those that the list of the day before lacks."""
     bars = settle(quotes(spark, sf_dir, as_of))
-    on = lambda day: run_text(spark, stage2, quotes=quotes(spark, sf_dir, day)).select("code", "passed", "vcp_score")
-    frames = {"today": run_text(spark, stage2, quotes=bars).select("code", "passed", "vcp_score"), "before": on(str(date.fromisoformat(as_of) - timedelta(days=1))), "m": bars.select("code", "market").distinct(), "breakout": cs.breakout_efficacy(bars).select("market", "breakout_today")}
+    on = lambda day: settle(run_text(spark, stage2, quotes=quotes(spark, sf_dir, day)).select("code", "passed", "vcp_score"))
+    frames = {"today": settle(run_text(spark, stage2, quotes=bars).select("code", "passed", "vcp_score")), "before": on(str(date.fromisoformat(as_of) - timedelta(days=1))), "m": bars.select("code", "market").distinct(), "breakout": cs.breakout_efficacy(bars).select("market", "breakout_today")}
     return run_text(spark, lambda d: "WITH " + SUMMARY, **frames)
 
 

@@ -48,7 +48,7 @@ QUERIES = {
 
 ORACLES = {
     "stream_first_visits": "SELECT DISTINCT user_id FROM events",
-    "stream_daily_counters": "SELECT CAST(ts AS DATE) AS date, event_type AS metric, count(*) AS value FROM events GROUP BY ALL HAVING CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)",
+    "stream_daily_counters": "SELECT date, metric, count(*) AS value FROM (SELECT CAST(ts AS DATE) AS date, event_type AS metric FROM events) AS e GROUP BY date, metric HAVING date + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)",
     "stream_near_articles": duck_query(
         lambda d: f"""WITH RECURSIVE {fingerprints(d)},
 c AS (SELECT hi, lo, min(published) AS since FROM f GROUP BY hi, lo UNION ALL SELECT hi, lo, since FROM (SELECT c.hi, c.lo, min(f.published) OVER (PARTITION BY c.hi, c.lo) AS since, row_number() OVER (PARTITION BY c.hi, c.lo) AS rn FROM c JOIN f ON f.hi = c.hi AND f.lo = c.lo AND f.published > c.since + {similarity.DAY}) WHERE rn = 1),

@@ -61,6 +61,7 @@ def test_near_texts_have_near_fingerprints(spark, tmp_path):
     texts = {0: " ".join(words) + ".", 1: " ".join(words) + ".", 2: " ".join(words[:-1] + ["other"]) + ".", 3: " ".join(f"else{i}" for i in range(40)) + "."}
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))  # the lane's last step finds no copies by vector
     found = {r.id: (r.hi, r.lo) for r in refinement.QUERIES["simhash"](spark, str(tmp_path)).collect()}
     far = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(found[a], found[b], strict=True))
     assert far(0, 1) == 0 and far(0, 2) < 16 < far(0, 3)
