@@ -20,7 +20,9 @@ holder.
 
 Defined results: null and empty texts have no words; texts under ``WINDOW`` words
 lose none. Rows that repeat an id and text are equal to each other and remove
-nothing from one another.
+nothing from one another. A row without an id neither removes words nor loses any. A
+very long text is cut by one task at a time, whole. Other columns are not read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
