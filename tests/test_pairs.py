@@ -103,7 +103,8 @@ def test_near_vectors_within_a_time(spark):
 
 
 def test_tables_follow_the_recall():
-    assert pairs.tables_for(0.5, 0.99, 12, 2) == 24 and pairs.tables_for(0.9, 0.99, 12, 2) == 2
+    # At 0.9 a bit differs in 0.1436 of all cases, so one table finds a pair with 0.1557 + 0.3132 + 0.2889; 0.2422 to the fourth is under 0.01.
+    assert pairs.tables_for(0.5, 0.99, 12, 2) == 24 and pairs.tables_for(0.9, 0.99, 12, 2) == 4
     assert pairs.tables_for(0.5, 0.999, 12, 2) > pairs.tables_for(0.67, 0.999, 12, 2)
 
 
