@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.plans.dialect import both, duck_query, run_text
-from marlstone.plans.screening import vcp
+from marlstone.plans.portfolio import rounded
+from marlstone.plans.screening import ALLOWED, FEWEST, LEAST_BARS, MOST, VOLUME_DECAY, contractions, vcp, violations
 from marlstone.session import settle
 from marlstone.sources import adapters
 
@@ -55,6 +56,40 @@ def vcp_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_text(spark, hits, quotes=quotes, found=found)
 
 
+#: Sets of limits (reversal, decay of amplitude) that the backtest compares, and its horizons in bars.
+VARIANTS = {"relaxed": (0.02, 0.90), "mid": (0.03, 0.85), "strict": (0.03, 0.80)}
+HORIZONS = (5, 10, 20, 60)
+
+
+def detected_variants(d) -> str:
+    """Patterns of each window under each set of limits. A window is gathered once and folded once for each distinct reversal; the sets then share its legs."""
+    names = d.array(*(f"'{name}'" for name in VARIANTS))
+    pick = lambda i: "CASE variant " + " ".join(f"WHEN '{name}' THEN {limits[i]!r}e0" for name, limits in VARIANTS.items()) + " END"
+    return f"""WITH {contractions(d, tuple(sorted({r for r, _ in VARIANTS.values()})))},
+k AS (SELECT *, {d.unnest(names)} AS variant FROM v), i AS (SELECT *, {pick(1)} AS decay FROM k WHERE reversal = {pick(0)})
+SELECT code, variant, abs((last - peak) / peak) <= 0.05 AS near_pivot, n >= {LEAST_BARS} AND legs BETWEEN {FEWEST} AND {MOST} AND {violations(d, "amps", "decay")} <= {ALLOWED} AND {violations(d, "vols", VOLUME_DECAY)} <= {ALLOWED} AS detected FROM i"""
+
+
+def variant_summary(d) -> str:
+    """Numbers of hits of each market and set of limits, with the median, the mean and the share of gains after each horizon."""
+    after = ", ".join(f"CAST(round(CAST({f'coalesce(r{k}, 0e0)' if k in (10, 20) else f'r{k}'} * 100 AS DECIMAL(20,8)), 2) AS DOUBLE) AS f{k}" for k in HORIZONS)
+    stats = ", ".join(f"{rounded(f'median(f{k})', 2)} AS fwd{k}_median, {rounded(f'avg(f{k})', 2)} AS fwd{k}_mean, {rounded(f'count(CASE WHEN f{k} > 0 THEN 1 END) * 100e0 / nullif(count(f{k}), 0)', 1)} AS fwd{k}_win" for k in HORIZONS)
+    return f"""WITH {DAYS}, {RETURNS}, m AS (SELECT DISTINCT code, market FROM quotes),
+h AS (SELECT m.market, f.variant, f.near_pivot, {after} FROM found f JOIN returns r ON CAST(r.code AS BIGINT) * {KEY} + r.pos = f.code JOIN m ON m.code = r.code WHERE f.detected AND r5 IS NOT NULL)
+SELECT market, variant, count(*) AS hits, {stats}, count(CASE WHEN near_pivot THEN 1 END) AS near_pivot_hits FROM h GROUP BY market, variant"""
+
+
+def variants_sql(d) -> str:
+    return variant_summary(d).replace("WITH ", f"WITH framed AS ({frames(d)}), found AS ({detected_variants(d).replace('FROM quotes', 'FROM framed')}), ", 1)
+
+
+def vcp_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest under every set of limits in one pass over the windows."""
+    quotes = adapters.quotes(spark, sf_dir)
+    found = settle(run_text(spark, detected_variants, quotes=run_text(spark, frames, quotes=quotes)))
+    return run_text(spark, variant_summary, quotes=quotes, found=found)
+
+
 def vcp_baseline(d) -> str:
     """Returns of a series 20 bars after any evaluated day, detected or not."""
     return f"""WITH {DAYS}, {RETURNS}
@@ -150,5 +185,5 @@ FOUND = {
     "tier_codes": (tier_codes, "quotes"),
 }
 QUERIES, ORACLES = both(FOUND)
-QUERIES |= {"vcp_backtest": vcp_backtest}
-ORACLES |= {"vcp_backtest": duck_query(backtest_sql, "quotes")}
+QUERIES |= {"vcp_backtest": vcp_backtest, "vcp_variants": vcp_variants}
+ORACLES |= {"vcp_backtest": duck_query(backtest_sql, "quotes"), "vcp_variants": duck_query(variants_sql, "quotes")}

@@ -27,17 +27,20 @@ def state(d, t: str, i: str, v: str, p: str) -> str:
     return f"named_struct('t', {t}, 'i', {i}, 'v', {v}, 'p', {p})" if spark(d) else f"{{'t': {t}, 'i': {i}, 'v': {v}, 'p': {p}}}"
 
 
-def pivots(d) -> str:
+def pivots(d, reversals: tuple[float, ...] = ()) -> str:
     """CTEs up to z(code, n, h, l, w, p): highs, lows and volumes of the last bars of a series and its turning points, each as its bar, positive for a high.
 
     One fold over the closes holds the direction, the extreme and its bar, and
-    the turning points confirmed by a reversal; the last extreme is added.
+    the turning points confirmed by a reversal; the last extreme is added. With
+    ``reversals`` a series gathered once is folded for each of them, in a column ``reversal``.
     """
+    limit, also = ("reversal", "reversal, ") if reversals else (REVERSAL, "")
+    listed_g, spread = ("g0", f"\ng AS (SELECT *, {d.unnest(d.array(*(f'{r!r}e0' for r in reversals)))} AS reversal FROM g0),") if reversals else ("g", "")
     same = state(d, "a.t", "a.i", "a.v", "a.p")
     move = lambda t: state(d, t, "x.i", "x.v", "a.p")
     add = "concat(a.p, array({}))" if spark(d) else "list_concat(a.p, [{}])"
     turn = lambda t, sign: state(d, t, "x.i", "x.v", add.format(f"{sign}a.i"))
-    fall, rise = f"(a.v - x.v) / a.v >= {REVERSAL}", f"(x.v - a.v) / a.v >= {REVERSAL}"
+    fall, rise = f"(a.v - x.v) / a.v >= {limit}", f"(x.v - a.v) / a.v >= {limit}"
     step = f"""CASE WHEN a.t = 0 THEN CASE WHEN x.v > a.v THEN {move("0")} WHEN {fall} THEN {turn("-1", "")} WHEN x.v < a.v THEN {move("0")} ELSE {same} END
   WHEN a.t = 1 THEN CASE WHEN x.v > a.v THEN {move("1")} WHEN {fall} THEN {turn("-1", "")} ELSE {same} END
   ELSE CASE WHEN x.v < a.v THEN {move("-1")} WHEN {rise} THEN {turn("1", "-")} ELSE {same} END END"""
@@ -53,22 +56,22 @@ def pivots(d) -> str:
         grown = "CASE WHEN len(f.p) = 0 THEN [CASE WHEN s[len(s)].v >= s[1].v THEN 1 ELSE -1 END] WHEN abs(f.p[len(f.p)]) != f.i THEN list_concat(f.p, [CASE WHEN f.t < 0 THEN -f.i ELSE f.i END]) ELSE f.p END"
     return f"""b AS (SELECT code, high, low, close, volume, count(*) OVER (PARTITION BY code) - row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) + 1 AS k, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS back FROM quotes),
 c AS (SELECT code, high, low, close, volume, CAST(row_number() OVER (PARTITION BY code ORDER BY k) AS BIGINT) AS k FROM b WHERE back <= {WINDOW}),
-g AS (SELECT code, count(*) AS n, {listed("CAST(high AS DOUBLE)")} AS h, {listed("CAST(low AS DOUBLE)")} AS l, {listed("volume")} AS w, {listed("CAST(close AS DOUBLE)")} AS c, {listed(item)} AS s FROM c GROUP BY code),
-f AS (SELECT code, n, h, l, w, c, s, {folded} AS f FROM g),
-z AS (SELECT code, n, h, l, w, c, {grown} AS p FROM f)"""
+{listed_g} AS (SELECT code, count(*) AS n, {listed("CAST(high AS DOUBLE)")} AS h, {listed("CAST(low AS DOUBLE)")} AS l, {listed("volume")} AS w, {listed("CAST(close AS DOUBLE)")} AS c, {listed(item)} AS s FROM c GROUP BY code),{spread}
+f AS (SELECT code, {also}n, h, l, w, c, s, {folded} AS f FROM g),
+z AS (SELECT code, {also}n, h, l, w, c, {grown} AS p FROM f)"""
 
 
-def contractions(d) -> str:
+def contractions(d, reversals: tuple[float, ...] = ()) -> str:
     """From z: the stretch of turning points from the highest high on, and its high-low-high legs as amplitude and mean volume."""
     if spark(d):
-        return pivots(d) + """,
+        return pivots(d, reversals) + """,
 q AS (SELECT *, array_max(transform(filter(p, y -> y > 0), y -> h[int(y) - 1])) AS peak FROM z),
 m AS (SELECT *, slice(p, greatest(array_position(transform(p, y -> CASE WHEN y > 0 THEN h[int(y) - 1] ELSE 0D END), peak), 1), 1000) AS base FROM q),
 e AS (SELECT *, int(greatest(floor((size(base) - 1) / 2), 0)) AS legs FROM m),
 o AS (SELECT *, CASE WHEN legs > 0 THEN transform(sequence(1, legs), j -> round((h[int(base[2 * j - 2]) - 1] - l[int(-base[2 * j - 1]) - 1]) / h[int(base[2 * j - 2]) - 1], 4)) ELSE CAST(array() AS ARRAY<DOUBLE>) END AS amps,
   CASE WHEN legs > 0 THEN transform(sequence(1, legs), j -> filter(slice(w, int(base[2 * j - 2]), int(-base[2 * j - 1] - base[2 * j - 2] + 1)), y -> y > 0)) ELSE CAST(array() AS ARRAY<ARRAY<BIGINT>>) END AS parts FROM e),
 v AS (SELECT *, transform(parts, y -> CASE WHEN size(y) > 0 THEN round(aggregate(y, 0L, (a, x) -> a + x) / size(y), 2) ELSE 0D END) AS vols, element_at(c, -1) AS last FROM o)"""
-    return pivots(d) + """,
+    return pivots(d, reversals) + """,
 q AS (SELECT *, list_max(list_transform(list_filter(p, lambda y: y > 0), lambda y: h[y])) AS peak FROM z),
 m AS (SELECT *, p[greatest(coalesce(list_position(list_transform(p, lambda y: CASE WHEN y > 0 THEN h[y] ELSE 0e0 END), peak), 0), 1):] AS base FROM q),
 e AS (SELECT *, CAST(greatest((len(base) - 1) // 2, 0) AS INT) AS legs FROM m),
@@ -77,7 +80,7 @@ o AS (SELECT *, list_transform(range(1, legs + 1), lambda j: round((h[base[2 * j
 v AS (SELECT *, list_transform(parts, lambda y: CASE WHEN len(y) > 0 THEN round(CAST(list_sum(y) AS DOUBLE) / len(y), 2) ELSE 0e0 END) AS vols, c[len(c)] AS last FROM o)"""
 
 
-def violations(d, x: str, ratio: float) -> str:
+def violations(d, x: str, ratio: float | str) -> str:
     """How many items exceed ``ratio`` times the one before."""
     if spark(d):
         return f"size(filter(sequence(1, greatest(size({x}) - 1, 1)), j -> j < size({x}) AND {x}[j] > {x}[j - 1] * {ratio}))"
