@@ -5,27 +5,22 @@ S(w | context) is count(context w) / count(context) where the n-gram occurs
 by one word; the last resort is count(w) / number of words. A document's score
 is the sum of log10 S over its words; at its start contexts are shorter.
 
-The work is relational. For each order the n-grams of all documents are exploded
-and counted by ``groupBy`` (a count table), kept from ``least_count`` on, and
-joined to the count table of the order below for what they add to a score:
+The work is relational, with arrays of n-grams as rows. Documents are dealt to
+batches by a hash. Each batch is exploded into its n-grams of all orders, and its
+distinct ones go, with their numbers, to partitions of the n-gram hash. There the
+count table of the partition is made, and joined back to what each batch asked for.
+The counts return to the batches, where they are joined to the n-grams by position
+and scored; scores are summed by document. Contexts need no join of their own: the
+context of an n-gram is one itself, a word before, in the same batch.
 
-    gain(g) = log10 S(g) - log10(0.4) - log10 S(g without its first word)
-
-The n-grams of each document, each with its number there, are joined to the
-gains and summed by document. A part of a known n-gram is known too, so a
-document's score is the sum of the gains of its known n-grams and log10(0.4) for
-each place where a longer context was tried; nothing has to be looked up by
-position. Each order above the first goes through ``slices`` ranges of the n-gram hash,
-one after the other, so that only that share of the exploded rows is on disk at a time.
-
-A frequent n-gram is counted within tasks first and comes once a document to the
-join, where AQE splits partitions that are too large.
+A frequent n-gram comes once a batch to its partition, however often it occurs, so
+no key is hot. Batches and partitions are as many as the input asks for.
 
 Defined results: null and empty texts have no words and a null score. A null id
-stays null. Texts are cut into blocks of ``BLOCK`` bytes at white space while
-they are exploded, so very long ones need no more memory. Rows that repeat are
-each counted and each scored, and equal ids with other texts are told apart by a
-hash of the text. An empty table gives no rows. Other columns of the input are
+stays null. Texts are cut into pieces of about ``BLOCK`` bytes at white space, each
+with the words before it as context, so very long ones need no more memory. Rows that
+repeat are each counted and each scored, and equal ids with other texts are told apart
+by a hash of the text. An empty table gives no rows. Other columns of the input are
 not read, whatever their names.
 """
 
@@ -41,156 +36,184 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Rolling, Words, discard, materialize
+from marlstone.llm.common import Rolling, Words, materialize
 
 BLOCK = 4 << 20
+#: Bytes of text of a batch, and of n-grams of a partition of a count table, at about which further ones are made.
+BATCH_BYTES, TABLE_BYTES = 8 << 20, 32 << 20
 BACKOFF = 0.4
 WHITE = re.compile(rb"[ \t-\r]")
 
 
 def blocks(text: bytes, size: int = BLOCK) -> Iterator[bytes]:
-    """``text`` in stretches of about ``size`` bytes that end at white space."""
+    """``text`` in stretches of about ``size`` bytes that end at white space; an empty one for no text."""
     at = 0
-    while at < len(text):
+    while at < len(text) or at == 0:
         cut = WHITE.search(text, at + size) if at + size < len(text) else None
         end = cut.start() if cut else len(text)
         yield text[at:end]
-        at = end
-
-
-class Exploder:
-    """The n-grams of one order whose hashes are in one slice, for batches of documents."""
-
-    def __init__(self, order: int, part: int, slices: int, size: int = BLOCK) -> None:
-        self.order, self.part, self.slices, self.size = order, np.uint64(part), np.uint64(slices), size
-        self.words = Words()
-        self.rolling = [Rolling(0x9E3779B97F4A7C15 + 2 * k) for k in range(order + 1)]
-
-    def _pieces(self, texts: list[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-        """Numbers of texts with their blocks, about ``size`` bytes at a time."""
-        numbers, held, n = [], [], 0
-        for i, text in enumerate(texts):
-            for block in blocks(text or b"", self.size):
-                numbers.append(i)
-                held.append(block)
-                n += len(block)
-                if n >= self.size:
-                    yield numbers, held
-                    numbers, held, n = [], [], 0
-        if held:
-            yield numbers, held
-
-    def __call__(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, ...]]:
-        """(number of the text, gram, prefix, suffix), about ``size`` bytes of text at a time."""
-        k, last, tail = self.order, -1, np.empty(0, np.uint64)
-        for numbers, held in self._pieces(texts):
-            words, sizes = self.words.of_texts(held)
-            owner = np.repeat(np.array(numbers, np.uint64), sizes)
-            if numbers[0] == last:  # the first block goes on with a text
-                words, owner = np.concatenate([tail, words]), np.concatenate([np.full(len(tail), last, np.uint64), owner])
-            last = numbers[-1]
-            mine = words[np.searchsorted(owner, last) :]
-            tail = mine[len(mine) - min(len(mine), k - 1) :]
-            if len(words) < k:
-                continue
-            grams = self.rolling[k](words, k)
-            keep = owner[: len(grams)] == owner[k - 1 :]  # within one text
-            if self.slices > 1:
-                keep &= (grams >> np.uint64(40)) % self.slices == self.part
-            at = np.flatnonzero(keep)
-            shorter = self.rolling[k - 1](words, k - 1) if k > 1 else grams
-            yield owner[at], grams[at], shorter[at], shorter[at + (k > 1)]
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _counter(order: int, part: int, slices: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        explode = Exploder(order, part, slices)
-        for batch in batches:
-            for _, grams, prefix, suffix in explode(batch.column("text").cast(pa.binary()).to_pylist()):
-                found, at, n = np.unique(grams, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(found), _signed(prefix[at]), _signed(suffix[at]), pa.array(n)], ["gram", "prefix", "suffix", "n"])
+        at = max(end, 1)
 
-    return run
+
+def pieces(text: bytes, order: int, size: int = BLOCK) -> Iterator[tuple[int, bytes]]:
+    """Blocks of ``text`` with up to ``order`` - 1 words before each of them put in front, and the number of these."""
+    head: list[bytes] = []
+    for block in blocks(text, size):
+        yield len(head), b" ".join([*head, block])
+        head = (head + block.rsplit(None, order - 1)[1 - order :])[1 - order :] if order > 1 else []
 
 
 def text_key(doc_id: int | None, text: bytes | None) -> int:
     return xxhash.xxh64_intdigest(text or b"", seed=0 if doc_id is None else 1) - (1 << 63)
 
 
-def _by_document(order: int, part: int, slices: int):
+def _cutter(order: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        explode = Exploder(order, part, slices)
+        names = ["doc_id", "key", "no", "head", "text"]
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            keys = np.array([text_key(i, t) for i, t in zip(ids, texts, strict=True)], np.int64)
-            ids = np.array([i or 0 for i in ids], np.int64)
-            for doc, grams, _, _ in explode(texts):
-                if not len(doc):
-                    continue
-                near = np.argsort(doc << np.uint64(40) | grams >> np.uint64(24))  # texts stay together, and equal n-grams of one meet
-                doc, grams = doc[near].astype(np.int64), grams[near]
-                edges = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])]))
-                n = np.diff(np.append(edges, len(doc))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[edges]]), pa.array(keys[doc[edges]]), _signed(grams[edges]), pa.array(n)], ["id", "key", "gram", "n"])
+            rows: list[tuple] = []
+            held = 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                text = text.as_py() or b""
+                key = text_key(doc_id, text)
+                for no, (head, piece) in enumerate(pieces(text, order, size)):
+                    rows.append((doc_id, key, no, head, piece))
+                    held += len(piece)
+                    if held >= size:
+                        yield _table(rows, names)
+                        rows, held = [], 0
+            if rows:
+                yield _table(rows, names)
+
+    def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of their first bytes, second bytes and so on: those of small numbers compress to nearly nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+class Exploded:
+    """The n-grams of the pieces of a batch by position: for each order their hashes, the places of their last words, and the distinct ones in order."""
+
+    def __init__(self, table: pa.Table, order: int) -> None:
+        texts = table.column("text").combine_chunks().to_pylist()
+        words, self.sizes = Words().of_texts(texts)
+        self.n = len(words)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int64), self.sizes)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(self.n) - starts[self.owner]
+        self.context = self.place < np.asarray(table.column("head"), np.int64)[self.owner]
+        self.copies = np.asarray(table.column("copies"), np.int64)[self.owner]
+        self.words, self.order = words, order
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-grams of order ``k`` and the places of their last words."""
+        last = np.flatnonzero(self.place >= k - 1)
+        return Rolling(0x9E3779B97F4A7C15 + 2 * k)(self.words, k)[last - (k - 1)], last
+
+
+def _edges(distinct: np.ndarray, bits: int) -> np.ndarray:
+    """Where each partition of the hash begins and ends among sorted hashes."""
+    starts = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
+    return np.append(np.searchsorted(distinct, starts), len(distinct))
+
+
+def _asker(order: int, bits: int):
+    """What a batch asks: for each order and partition its distinct n-grams, with how often it holds them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.column("batch")[0].as_py()
+        found = Exploded(table, order)
+        part, grams, numbers = [], [], []
+        for k in range(1, order + 1):
+            hashes, last = found.grams(k)
+            distinct, n = np.unique(hashes, return_counts=True)
+            weight = np.where(found.context[last], 0, found.copies[last])
+            odd = np.flatnonzero(weight != 1)  # words given as context only, and rows that repeat
+            np.add.at(n, np.searchsorted(distinct, hashes[odd]), weight[odd] - 1)
+            edges = _edges(distinct, bits)
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                mine = slice(edges[p], edges[p + 1])
+                part.append(((k - 1) << bits) + p)
+                grams.append(packed(np.diff(distinct[mine], prepend=np.uint64(0))))
+                numbers.append(packed(n[mine]))
+        return pa.table({"batch": pa.array([batch] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "grams": pa.array(grams, pa.binary()), "n": pa.array(numbers, pa.binary())})
 
     return run
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of words of each row, with its key."""
-    for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").cast(pa.binary()).to_pylist()
-        key = [text_key(i, t) for i, t in zip(ids.to_pylist(), texts, strict=True)]
-        n = [sum(len(b.split()) for b in blocks(t or b"")) for t in texts]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([i or 0 for i in ids.to_pylist()], pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "id", "key", "n_words"])
+def _answer(table: pa.Table) -> pa.Table:
+    """The count table of a partition, joined to what each batch asked for; its sum with the first answer."""
+    asked = [np.cumsum(unpacked(x)) for x in table.column("grams").to_pylist()]
+    numbers = np.concatenate([unpacked(x) for x in table.column("n").to_pylist()]).astype(np.int64)
+    order = np.argsort(np.concatenate(asked), kind="stable")
+    keys = np.concatenate(asked)[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.add.reduceat(numbers[order], first)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.repeat(counts, np.diff(np.append(first, len(keys))))
+    stops = np.cumsum([len(x) for x in asked])
+    answers = [packed(back[stop - len(x) : stop]) for x, stop in zip(asked, stops, strict=True)]
+    total = np.zeros(len(asked), np.int64)
+    total[0] = counts.sum()
+    return pa.table({"batch": table.column("batch"), "part": table.column("part"), "counts": pa.array(answers, pa.binary()), "total": pa.array(total)})
+
+
+def _scorer(order: int, bits: int, least_count: int, n_words: int):
+    """Scores of the pieces of a batch, its n-grams joined to their counts by position."""
+    back = math.log10(BACKOFF)
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        found = Exploded(table, order)
+        answers = answers.sort_by("part")
+        part, data = np.asarray(answers.column("part")), answers.column("counts").to_pylist()
+        score, below = np.zeros(found.n), np.zeros(found.n, np.int64)
+        for k in range(1, order + 1):
+            hashes, last = found.grams(k)
+            _, at = np.unique(hashes, return_inverse=True)
+            mine = np.flatnonzero(part >> bits == k - 1).tolist()
+            counts = np.concatenate([unpacked(data[i]) for i in mine]).astype(np.int64)[at] if mine else np.empty(0, np.int64)
+            if k == 1:
+                score[last] = np.log10(counts / n_words)
+            else:
+                known = counts >= least_count
+                score[last[~known]] += back
+                score[last[known]] = np.log10(counts[known] / below[last[known] - 1])
+            below = np.zeros(found.n, np.int64)
+            below[last] = counts
+        mine = ~found.context
+        words = np.bincount(found.owner[mine], minlength=len(found.sizes))
+        total = np.bincount(found.owner[mine], score[mine], minlength=len(found.sizes))
+        return pa.table({"doc_id": table.column("doc_id"), "key": table.column("key"), "copies": table.column("copies"), "words": pa.array(words, pa.int64()), "total": pa.array(total, pa.float64())})
+
+    return run
 
 
-def score_corpus(docs: DataFrame, order: int = 3, least_count: int = 2, slices: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 3, least_count: int = 2, batch_bytes: int = BATCH_BYTES, table_bytes: int = TABLE_BYTES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log10_score, log10_per_word) of each row, from counts over all rows."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    back = math.log10(BACKOFF)
-    sums: list[DataFrame] = []
-    below: DataFrame | None = None  # the count table of the order below: (gram, n, s), s = log10 of the score
-    for k in range(1, order + 1):
-        tables = []
-        for part in range(slices if k > 1 else 1):
-            counted = rows.mapInArrow(_counter(k, part, slices if k > 1 else 1), "gram long, prefix long, suffix long, n long")
-            counted = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
-            tables.append(materialize(counted if k == 1 else counted.where(F.col("n") >= least_count), f"counts-{k}"))
-        if k == 1:
-            total = sum(t.agg(F.sum("n")).first()[0] or 0 for t in tables)
-            gains = [t.select("gram", "n", (F.log10(F.col("n") / F.lit(float(max(total, 1))))).alias("s")) for t in tables]
-            gains = [t.withColumn("gain", F.col("s")) for t in gains]
-        else:
-            shorter = below.select(F.col("gram").alias("prefix"), F.col("n").alias("before"))
-            tail = below.select(F.col("gram").alias("suffix"), F.col("s").alias("tail"))
-            gains = []
-            for t in tables:
-                joined = t.join(shorter, "prefix").join(tail, "suffix").withColumn("s", F.log10(F.col("n") / F.col("before")))
-                gains.append(materialize(joined.select("gram", "n", "s", (F.col("s") - F.lit(back) - F.col("tail")).alias("gain")), f"gains-{k}"))
-                discard(t)
-        for part, gain in enumerate(gains):
-            mine = rows.mapInArrow(_by_document(k, part, slices if k > 1 else 1), "id long, key long, gram long, n int")
-            hits = mine.join(gain.select("gram", "gain").hint("shuffle_hash"), "gram")
-            words = F.sum("n") if k == 1 else F.lit(0)
-            sums.append(materialize(hits.groupBy("id", "key").agg(F.sum(F.col("n") * F.col("gain")).alias("total"), words.cast("long").alias("words")), "sums"))
-        below = gains[0]
-        for g in gains[1:]:
-            below = below.unionByName(g)
-    every = sums[0]
-    for s in sums[1:]:
-        every = every.unionByName(s)
-    every = every.groupBy("id", "key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
-    sized = rows.mapInArrow(_sizes, "doc_id long, id long, key long, n_words long")
-    tried = sum(F.greatest(F.col("n_words") - (k - 1), F.lit(0)) for k in range(2, order + 1)) if order > 1 else F.lit(0)
-    score = F.when(F.col("n_words") > 0, F.col("total") * F.col("n_words") / F.col("words") + tried * F.lit(back))  # rows that repeat share one sum
-    out = sized.join(every, ["id", "key"], "left").withColumn("log10_score", score)
-    return out.select("doc_id", "n_words", "log10_score", (F.col("log10_score") / F.col("n_words")).alias("log10_per_word"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1.0, size * order / table_bytes))))
+    cut = rows.mapInArrow(_cutter(order, block), "doc_id long, key long, no int, head int, text binary")
+    once = cut.groupBy("doc_id", "key", "no").agg(F.first("head").alias("head"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    dealt = once.withColumn("batch", F.pmod(F.xxhash64("doc_id", "key", "no"), F.lit(size // batch_bytes + 1)))
+    asked = dealt.groupBy("batch").applyInArrow(_asker(order, bits), "batch long, part int, grams binary, n binary")
+    answers = materialize(asked.groupBy("part").applyInArrow(_answer, "batch long, part int, counts binary, total long"), "counts")
+    n_words = answers.where(F.col("part") < (1 << bits)).agg(F.sum("total")).first()[0] or 0
+    score = _scorer(order, bits, least_count, n_words)
+    scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, key long, copies long, words long, total double")
+    summed = scored.groupBy("doc_id", "key").agg(F.max("copies").alias("copies"), F.sum("words").alias("n_words"), F.sum("total").alias("total"))
+    summed = summed.withColumn("log10_score", F.when(F.col("n_words") > 0, F.col("total"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return summed.select("doc_id", "n_words", "log10_score", (F.col("log10_score") / F.col("n_words")).alias("log10_per_word"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from marlstone.llm import lm
@@ -36,12 +37,12 @@ def made():
     return rows + [rows[10], rows[10], (99, rows[11][1])]
 
 
-@pytest.mark.parametrize(("order", "least", "slices"), [(1, 2, 1), (2, 2, 3), (3, 2, 2), (4, 1, 1)])
-def test_matches_brute_force(spark, tmp_path, order, least, slices):
+@pytest.mark.parametrize(("order", "least", "sizes"), [(1, 2, (100, 100, 30)), (2, 2, (1000, 50, 1 << 20)), (3, 2, (500, 200, 20)), (4, 1, (1 << 20, 1 << 20, 40)), (3, 2, (1 << 20, 1 << 20, 1 << 20))])
+def test_matches_brute_force(spark, tmp_path, order, least, sizes):
     rows = [*made(), (None, "a b c a b"), (12, "a b c d e"), (12, "a b")]
     path = str(tmp_path / "d")
     spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_words string").repartition(3).write.parquet(path)
-    got = sorted(((r.doc_id, r.n_words, r.log10_score or 0.0) for r in lm.score_corpus(spark.read.parquet(path), order, least, slices).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.log10_score or 0.0) for r in lm.score_corpus(spark.read.parquet(path), order, least, *sizes).collect()), key=str)
     want = brute(rows, order, least)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(math.isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want, strict=True))
@@ -61,18 +62,27 @@ def test_query_matches_sql(spark):
 def test_input_out_of_a_shuffle(spark):
     rows = [(i, f"a b c w{i % 3}") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert lm.score_corpus(df, slices=1).where("n_words = 4 and log10_score < 0").count() == 50
+    assert lm.score_corpus(df).where("n_words = 4 and log10_score < 0").count() == 50
 
 
-def test_long_texts_are_exploded_in_blocks(spark):
+def test_long_texts_are_cut_with_their_context():
     words = [f"w{i % 7}" for i in range(1000)]
-    whole, cut = lm.Exploder(3, 0, 1), lm.Exploder(3, 0, 1, size=50)
-    texts = [b"a b", " ".join(words).encode(), None, b"a b c"]
-    parts = [list(cut(texts)), list(whole(texts))]
-    assert len(parts[0]) > 20 and len(parts[1]) == 1
-    for cut_up, at_once in zip(zip(*parts[0], strict=True), parts[1][0], strict=True):
-        assert [x for part in cut_up for x in part.tolist()] == at_once.tolist()
-    assert max(map(len, lm.blocks(texts[1], 50))) < 60
+    text = " ".join(words).encode()
+    found = list(lm.pieces(text, 3, 50))
+    assert len(found) > 20 and max(len(p) for _, p in found) < 70
+    assert [w for head, piece in found for w in piece.split()[head:]] == text.split()
+    assert all(head == 2 for head, _ in found[1:])
+    at = 0
+    for head, piece in found:
+        mine = piece.split()
+        assert mine == text.split()[at - head : at + len(mine) - head]
+        at += len(mine) - head
+    assert list(lm.pieces(b"", 3)) == [(0, b"")] and list(lm.pieces(b"aaaa bb cccc d", 1, 3)) == [(0, b"aaaa"), (0, b" bb"), (0, b" cccc"), (0, b" d")]
+
+
+def test_packed_numbers():
+    x = np.array([0, 1, 255, 256, (1 << 64) - 1, 1 << 40], np.uint64)
+    assert (lm.unpacked(lm.packed(x)) == x).all() and len(lm.unpacked(lm.packed(x[:0]))) == 0
 
 
 def test_word_hashes():
@@ -89,9 +99,9 @@ def test_words_that_a_polynomial_takes_for_one(spark):
     a, b = thue_morse_words()
     assert len(set(Words().of_texts([a.encode() + b" " + b.encode()])[0].tolist())) == 2
     rows = [(1, f"{a} x {b}"), (2, f"{b} x {a}"), (3, f"{a} {a} {b}")]
-    got = sorted((r.doc_id, r.n_words, r.log10_score) for r in lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), slices=1).collect())
+    got = sorted((r.doc_id, r.n_words, r.log10_score) for r in lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert all(g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, brute(rows, 3, 2), strict=True))
 
 
 def test_empty_table(spark):
-    assert lm.score_corpus(spark.createDataFrame([], "doc_id long, text string"), slices=1).count() == 0
+    assert lm.score_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
