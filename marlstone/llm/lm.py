@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from marlstone.llm.common import Rolling, Words, materialize
 
 BLOCK = 4 << 20
 #: Bytes of text of a batch, and of n-grams of a partition of a count table, at about which further ones are made.
-BATCH_BYTES, TABLE_BYTES = 8 << 20, 32 << 20
+BATCH_BYTES, TABLE_BYTES = 4 << 20, 32 << 20
 BACKOFF = 0.4
 WHITE = re.compile(rb"[ \t-\r]")
 
@@ -68,26 +69,29 @@ def text_key(doc_id: int | None, text: bytes | None) -> int:
 
 
 def _cutter(order: int, size: int):
+    """Pieces of the texts of a batch of rows; those that repeat in it come once, with their number."""
+    kinds = {"doc_id": pa.int64(), "key": pa.int64(), "no": pa.int32(), "head": pa.int32(), "text": pa.binary(), "copies": pa.int64()}
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "no", "head", "text"]
         for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
+            keys = [text_key(i, t.as_py()) for i, t in zip(ids, texts, strict=True)]
+            copies = Counter(zip(ids, keys, strict=True))
             rows: list[tuple] = []
             held = 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                text = text.as_py() or b""
-                key = text_key(doc_id, text)
-                for no, (head, piece) in enumerate(pieces(text, order, size)):
-                    rows.append((doc_id, key, no, head, piece))
+            for doc_id, key, text in zip(ids, keys, texts, strict=True):
+                n = copies.pop((doc_id, key), 0)
+                for no, (head, piece) in enumerate(pieces(text.as_py() or b"", order, size) if n else ()):
+                    rows.append((doc_id, key, no, head, piece, n))
                     held += len(piece)
                     if held >= size:
-                        yield _table(rows, names)
+                        yield table(rows)
                         rows, held = [], 0
             if rows:
-                yield _table(rows, names)
-
-    def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield table(rows)
 
     return run
 
@@ -108,11 +112,10 @@ class Exploded:
         texts = table.column("text").combine_chunks().to_pylist()
         words, self.sizes = Words().of_texts(texts)
         self.n = len(words)
-        self.owner = np.repeat(np.arange(len(texts), dtype=np.int64), self.sizes)
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(self.n) - starts[self.owner]
-        self.context = self.place < np.asarray(table.column("head"), np.int64)[self.owner]
-        self.copies = np.asarray(table.column("copies"), np.int64)[self.owner]
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+        starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.place = np.arange(self.n, dtype=np.int32) - starts[self.owner]
+        self.context = self.place < np.asarray(table.column("head"), np.int32)[self.owner]
         self.words, self.order = words, order
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +136,12 @@ def _asker(order: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
         found = Exploded(table, order)
+        weights = np.where(found.context, 0, np.asarray(table.column("copies"))[found.owner])
         part, grams, numbers = [], [], []
         for k in range(1, order + 1):
             hashes, last = found.grams(k)
             distinct, n = np.unique(hashes, return_counts=True)
-            weight = np.where(found.context[last], 0, found.copies[last])
+            weight = weights[last]
             odd = np.flatnonzero(weight != 1)  # words given as context only, and rows that repeat
             np.add.at(n, np.searchsorted(distinct, hashes[odd]), weight[odd] - 1)
             edges = _edges(distinct, bits)
@@ -203,9 +207,9 @@ def score_corpus(docs: DataFrame, order: int = 3, least_count: int = 2, batch_by
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1.0, size * order / table_bytes))))
-    cut = rows.mapInArrow(_cutter(order, block), "doc_id long, key long, no int, head int, text binary")
-    once = cut.groupBy("doc_id", "key", "no").agg(F.first("head").alias("head"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    dealt = once.withColumn("batch", F.pmod(F.xxhash64("doc_id", "key", "no"), F.lit(size // batch_bytes + 1)))
+    cut = rows.mapInArrow(_cutter(order, block), "doc_id long, key long, no int, head int, text binary, copies long")
+    dealt = cut.withColumn("batch", F.pmod(F.xxhash64("doc_id", "key", "no"), F.lit(size // batch_bytes + 1))).repartition("batch")
+    dealt = dealt.groupBy("batch", "doc_id", "key", "no").agg(F.first("head").alias("head"), F.first("text").alias("text"), F.sum("copies").alias("copies"))
     asked = dealt.groupBy("batch").applyInArrow(_asker(order, bits), "batch long, part int, grams binary, n binary")
     answers = materialize(asked.groupBy("part").applyInArrow(_answer, "batch long, part int, counts binary, total long"), "counts")
     n_words = answers.where(F.col("part") < (1 << bits)).agg(F.sum("total")).first()[0] or 0
