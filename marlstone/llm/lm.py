@@ -11,7 +11,8 @@ distinct ones go, with their numbers, to partitions of the n-gram hash. There th
 count table of the partition is made, and joined back to what each batch asked for.
 The counts return to the batches, where they are joined to the n-grams by position
 and scored; scores are summed by document. Contexts need no join of their own: the
-context of an n-gram is one itself, a word before, in the same batch.
+context of an n-gram is one itself, a word before, in the same batch. Partitions are
+counted in ``slices`` shares, for each of which the batches are exploded again.
 
 A frequent n-gram comes once a batch to its partition, however often it occurs, so
 no key is hot. Batches and partitions are as many as the input asks for.
@@ -30,6 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ from marlstone.llm.common import Rolling, Words, materialize
 BLOCK = 4 << 20
 #: Bytes of text of a batch, and of n-grams of a partition of a count table, at about which further ones are made.
 BATCH_BYTES, TABLE_BYTES = 4 << 20, 32 << 20
+#: Shares of the partitions that are counted one after the other, so that only one share of the n-grams is on disk at a time.
+SLICES = 2
 BACKOFF = 0.4
 WHITE = re.compile(rb"[ \t-\r]")
 
@@ -124,14 +128,18 @@ class Exploded:
         return Rolling(0x9E3779B97F4A7C15 + 2 * k)(self.words, k)[last - (k - 1)], last
 
 
+def _partition(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Partitions are ranges of the hash, so that sorted n-grams have them in order."""
+    return hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
+
+
 def _edges(distinct: np.ndarray, bits: int) -> np.ndarray:
     """Where each partition of the hash begins and ends among sorted hashes."""
-    starts = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
-    return np.append(np.searchsorted(distinct, starts), len(distinct))
+    return np.searchsorted(_partition(distinct, bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
-def _asker(order: int, bits: int):
-    """What a batch asks: for each order and partition its distinct n-grams, with how often it holds them."""
+def _asker(order: int, bits: int, share: int, slices: int):
+    """What a batch asks of one share of the partitions: for each order its distinct n-grams, with how often it holds them."""
 
     def run(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
@@ -140,6 +148,9 @@ def _asker(order: int, bits: int):
         part, grams, numbers = [], [], []
         for k in range(1, order + 1):
             hashes, last = found.grams(k)
+            if slices > 1:
+                mine = _partition(hashes, bits) % np.uint64(slices) == share
+                hashes, last = hashes[mine], last[mine]
             distinct, n = np.unique(hashes, return_counts=True)
             weight = weights[last]
             odd = np.flatnonzero(weight != 1)  # words given as context only, and rows that repeat
@@ -202,7 +213,7 @@ def _scorer(order: int, bits: int, least_count: int, n_words: int):
     return run
 
 
-def score_corpus(docs: DataFrame, order: int = 3, least_count: int = 2, batch_bytes: int = BATCH_BYTES, table_bytes: int = TABLE_BYTES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 3, least_count: int = 2, batch_bytes: int = BATCH_BYTES, table_bytes: int = TABLE_BYTES, block: int = BLOCK, slices: int = SLICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log10_score, log10_per_word) of each row, from counts over all rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -210,8 +221,11 @@ def score_corpus(docs: DataFrame, order: int = 3, least_count: int = 2, batch_by
     cut = rows.mapInArrow(_cutter(order, block), "doc_id long, key long, no int, head int, text binary, copies long")
     dealt = cut.withColumn("batch", F.pmod(F.xxhash64("doc_id", "key", "no"), F.lit(size // batch_bytes + 1))).repartition("batch")
     dealt = dealt.groupBy("batch", "doc_id", "key", "no").agg(F.first("head").alias("head"), F.first("text").alias("text"), F.sum("copies").alias("copies"))
-    asked = dealt.groupBy("batch").applyInArrow(_asker(order, bits), "batch long, part int, grams binary, n binary")
-    answers = materialize(asked.groupBy("part").applyInArrow(_answer, "batch long, part int, counts binary, total long"), "counts")
+    tables = []
+    for share in range(min(slices, 1 << bits)):
+        asked = dealt.groupBy("batch").applyInArrow(_asker(order, bits, share, min(slices, 1 << bits)), "batch long, part int, grams binary, n binary")
+        tables.append(materialize(asked.groupBy("part").applyInArrow(_answer, "batch long, part int, counts binary, total long"), "counts"))
+    answers = reduce(DataFrame.unionByName, tables)
     n_words = answers.where(F.col("part") < (1 << bits)).agg(F.sum("total")).first()[0] or 0
     score = _scorer(order, bits, least_count, n_words)
     scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, key long, copies long, words long, total double")

@@ -37,7 +37,7 @@ def made():
     return rows + [rows[10], rows[10], (99, rows[11][1])]
 
 
-@pytest.mark.parametrize(("order", "least", "sizes"), [(1, 2, (100, 100, 30)), (2, 2, (1000, 50, 1 << 20)), (3, 2, (500, 200, 20)), (4, 1, (1 << 20, 1 << 20, 40)), (3, 2, (1 << 20, 1 << 20, 1 << 20))])
+@pytest.mark.parametrize(("order", "least", "sizes"), [(1, 2, (100, 100, 30)), (2, 2, (1000, 50, 1 << 20)), (3, 2, (500, 200, 20, 3)), (4, 1, (1 << 20, 1 << 20, 40)), (3, 2, (1 << 20, 1 << 20, 1 << 20))])
 def test_matches_brute_force(spark, tmp_path, order, least, sizes):
     rows = [*made(), (None, "a b c a b"), (12, "a b c d e"), (12, "a b")]
     path = str(tmp_path / "d")
