@@ -13,7 +13,7 @@ from marlstone.sources.adapters import vectors
 
 NOW = HOT_NOW
 #: Cosines from which on an event is like another, and from which on it is the same.
-LOW, HIGH = 0.50, 0.67
+LOW, HIGH = 0.1, 0.9
 #: Articles told of an event, newest ones always among them.
 ARTICLES, RECENT = 8, 2
 #: Fixed value: seconds after which the age of an article counts. Sources of quick news, whose old articles are not scored.
