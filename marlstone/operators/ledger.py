@@ -20,6 +20,23 @@ def with_close_as_of(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return marked.where("trade_id is not null").select("trade_id", "code", "trade_date", F.col("close").cast("double").alias("close"))
 
 
+def bounded_as_of(trades: DataFrame, bars: DataFrame, days: int = 5) -> DataFrame:
+    """(trade_id, trade_date, close): each trade with the latest bar of its day or of the ``days`` before; trades without one have no row.
+
+    Bars are found once for each code and day of trade, not for each trade, and no side
+    of a join is sent to all tasks through the driver. Rows that repeat a trade's id
+    are taken together: those with a bar as near as the nearest stay.
+    """
+    asked = trades.select("code", "trade_date").distinct().withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days))))
+    asked = asked.select("code", F.col("trade_date").alias("asked"), "back", F.date_sub("trade_date", F.col("back")).alias("trade_date"))
+    met = bars.select(F.col("code").cast(trades.schema["code"].dataType).alias("code"), "trade_date", "close").join(asked.hint("merge"), ["code", "trade_date"])
+    hits = met.groupBy("code", F.col("asked").alias("day")).agg(F.array_sort(F.collect_list(F.struct("back", "trade_date", "close"))).alias("hits"))
+    mine = trades.where("trade_id is not null").select("trade_id", "code", F.col("trade_date").alias("day")).join(hits.hint("merge"), ["code", "day"])
+    nearest = F.min(F.col("hits")[0]["back"]).over(Window.partitionBy("trade_id"))
+    best = mine.withColumn("nearest", nearest).select("trade_id", F.explode(F.filter("hits", lambda x: x["back"] == F.col("nearest"))).alias("hit"))
+    return best.select("trade_id", "hit.trade_date", F.col("hit.close").cast("double").alias("close"))
+
+
 def nav(trades: DataFrame, bars: DataFrame, capital: float = 1e9) -> DataFrame:
     """Cash, holdings at the latest close (else the latest trade) of codes with shares left, the sum of both, and its ratio to the start value."""
     last = bars.groupBy("code").agg(F.max_by("close", "trade_date").cast("double").alias("close"))

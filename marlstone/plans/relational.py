@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import features as fx
+from marlstone.operators import ledger
 from marlstone.operators.pairs import prefix_candidates, similar_vectors
 from marlstone.plans.dialect import both, spark_query
 from marlstone.plans.news import HOT_NOW
 from marlstone.session import settle
-from marlstone.sources.adapters import vectors
+from marlstone.sources.adapters import every_quote, trades, vectors
 
 NOW = HOT_NOW
 #: Cosines from which on an event is like another, and from which on it is the same.
@@ -310,4 +311,8 @@ def vector_recall(spark, sf_dir, low: float = LOW, high: float = HIGH, top: int
     return similar_vectors(found.where("id % 50 = 0"), found, low, high, top=top)
 
 
-QUERIES |= {"band_join": band_join, "vector_recall": vector_recall}
+def bounded_as_of(spark, sf_dir):
+    return ledger.bounded_as_of(trades(spark, sf_dir), every_quote(spark, sf_dir))
+
+
+QUERIES |= {"band_join": band_join, "bounded_as_of": bounded_as_of, "vector_recall": vector_recall}
