@@ -38,6 +38,29 @@ def last_ancestors(links: DataFrame) -> DataFrame:
     return steps.select("id", "root")
 
 
+def roots_within(links: DataFrame, most: int = 10) -> DataFrame:
+    """(id, root, depth) of (id, parent): where up to ``most`` steps up lead; a step ends at a row whose parent is null, missing or itself.
+
+    Steps of one, two, four ... links are put together, so ten links take five joins, each over a row an id.
+    """
+    up = links.distinct()
+    known = up.select(F.col("id").alias("parent"), F.lit(1).alias("depth")).where("parent is not null")
+    moved = F.col("depth").isNotNull() & (F.col("parent") != F.col("id"))
+    step = settle(up.join(known, "parent", "left").select("id", F.when(moved, F.col("parent")).otherwise(F.col("id")).alias("root"), F.when(moved, 1).otherwise(0).alias("depth")))
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        on = second.where("id is not null").select(F.col("id").alias("root"), F.col("root").alias("far"), F.col("depth").alias("further"))
+        return settle(first.join(on, "root", "left").select("id", F.coalesce("far", "root").alias("root"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")))
+
+    done = None
+    while most:
+        if most & 1:
+            done = step if done is None else then(done, step)
+        most >>= 1
+        step = then(step, step) if most else step
+    return done
+
+
 def event_ids(articles: DataFrame) -> DataFrame:
     """(id, event_id) of (id, title, related_to_id, ai_score): a root with a title is its own event, others take that of their last ancestor; null where that has no title, is missing or is on a cycle."""
     roots = articles.where(ROOT).select(F.col("id").alias("root"))
