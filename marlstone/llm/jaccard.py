@@ -2,15 +2,12 @@
 
 Each text is a set of shingles of five words. Its label in each tree of the forest
 is a sequence of ``DEEPEST`` minhashes; a tree is the trie of all labels, and a
-node of it is a common prefix. Matching starts from whole labels and shortens the
-prefix that must match, one minhash at a time, until the measured recall is
-reached: query documents (those whose id is divisible by 50) are compared exactly
-with partners from the shallow nodes (``SHALLOWEST``) where nearly all links meet,
-and ``measured_depth`` takes the longest prefix that still finds the wanted share
-of those links in some tree. With too few links to tell, the depth is the one that
-finds pairs at the threshold with the wanted probability. Documents below one node
-of that depth are candidates, verified exactly on the sets of their shingles, each told
-by 64 bits of its words' xxh3.
+node of it is a common prefix. The length of the prefix that must match follows from
+the threshold and the wanted recall alone (``likely_depth``): no part of the rows is
+measured for it. ``measured_depth`` tells what prefix the links of query documents
+(those whose id is divisible by 50) would allow; a caller may pass it as ``depth``.
+Documents below one node of that depth are candidates, verified exactly on the sets of
+their shingles, each told by 64 bits of its words' xxh3.
 
 Documents with the same words are one class, represented by the smallest id, so
 copies cost one member. A node with many members, or many shingles, is cut into
@@ -254,7 +251,7 @@ def grouped(docs: DataFrame, threshold: float, recall: float, tile: int, depth:
     worded = F.expr("n_shingles > 0 and doc_id is not null")
     classes = signed.where(worded).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     classes = materialize(classes, "classes")
-    depth = depth or measured_depth(classes, rows, threshold, recall)
+    depth = depth or likely_depth(threshold, recall)
     members = nodes(classes, depth, "n_shingles")
     sizes = members.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
     tiles = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("weight") / TILE_SHINGLES))).cast("int")
@@ -281,7 +278,7 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float =
 
     ``class_id``: least id of the component of links; ``copy_of``: least id with
     the same words; ``n_copies``: rows with the same words, this one included.
-    ``depth`` sets the matched prefix instead of measuring it.
+    ``depth`` sets the matched prefix instead of ``likely_depth``.
     """
     found = grouped(docs, threshold, recall, tile, depth, id_col, text_col)
     copies = F.coalesce("copies", F.lit(1))
