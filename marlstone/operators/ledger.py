@@ -23,8 +23,8 @@ def with_close_as_of(trades: DataFrame, bars: DataFrame) -> DataFrame:
 def bounded_as_of(trades: DataFrame, bars: DataFrame, days: int = 5) -> DataFrame:
     """(trade_id, trade_date, close): each trade with the latest bar of its day or of the ``days`` before; trades without one have no row.
 
-    Bars are found once for each code and day of trade, not for each trade, and no side
-    of a join is sent to all tasks through the driver. Rows that repeat a trade's id
+    Bars are found once for each code and day of trade, not for each trade, and the
+    joins here are sorted ones, so trades and hits are not sent through the driver. Rows that repeat a trade's id
     are taken together: those with a bar as near as the nearest stay.
     """
     asked = trades.select("code", "trade_date").distinct().withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days))))
