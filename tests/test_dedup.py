@@ -67,3 +67,26 @@ def test_near_texts_have_near_fingerprints(spark, tmp_path):
     assert far(0, 1) == 0 and far(0, 2) < 16 < far(0, 3)
     kept = {r.id: r.kept for r in refinement.long_lane(spark, str(tmp_path)).collect()}
     assert kept[0] and not kept[1] and not kept[2] and kept[3]
+
+
+def test_votes_are_those_of_all_tokens(spark):
+    """Told by arrays, a batch at a time; lambdas over 64 bits a token took most of the time of all that uses fingerprints."""
+    from hashlib import md5
+
+    from marlstone.operators import fingerprints
+
+    rows = [(i, 60 * i, [f"w{(i * k) % 17}é" for k in range(i % 9)]) for i in range(700)] + [(700, 1, None)]
+    found = fingerprints.faces(spark.createDataFrame(rows, "id long, published long, ts array<string>")).collect()
+
+    def side(tokens, at):
+        own = [int(md5(t.encode()).hexdigest()[at : at + 8], 16) for t in tokens]  # noqa: S324
+        return sum(1 << b for b in range(32) if sum(1 if x >> b & 1 else -1 for x in own) > 0)
+
+    assert sorted(map(tuple, found)) == [(i, at, side(ts, 0), side(ts, 8)) for i, at, ts in rows if ts]
+    assert fingerprints.faces(spark.createDataFrame(rows[:1], "id long, published long, ts array<string>")).count() == 0
+
+
+def test_fingerprints_are_no_folds_of_lambdas(spark):
+    for name in ("simhash", "simhash_pairs", "simhash_classes"):
+        plan = refinement.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan, name

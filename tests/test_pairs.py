@@ -121,3 +121,13 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 103), (103, 101), (60, 61)]
     got = {r.id: r.label for r in dedup.components(spark.createDataFrame(links, "older long, newer long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 60: 60, 61: 60, 100: 100, 101: 100, 103: 100}
+
+
+def test_common_lengths_of_many_pairs_are_those_of_each():
+    rnd = random.Random(5)
+    older = ["".join(rnd.choice("abcdeé你") for _ in range(n)) for n in (0, 1, 63, 64, 65, 120, 128, 129, 200)] + ["a" * 64, "a" * 130]
+    newer = ["".join(rnd.choice("abcxyé好") for _ in range(n)) for n in (0, 1, 40, 64, 100, 128, 190)] + ["a" * 64, "a" * 140, "zzz"]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(older)), range(len(newer)), indexing="ij"))
+    want = [pairs.common_length(older[a], newer[b]) for a, b in zip(i, j, strict=True)]
+    assert pairs.common_lengths(older, newer, i, j).tolist() == want
+    assert pairs.common_lengths(older, newer, i[:0], j[:0]).tolist() == []
