@@ -102,3 +102,30 @@ def test_what_is_remembered_is_bounded():
     state.hasTimedOut = True
     list(run((0,), iter([]), state))
     assert not state.exists
+
+
+def test_late_articles_and_bounded_keys(spark, tmp_path):
+    """Keys are shares of the blocks' values, not the values themselves; what comes late still meets what came before it."""
+    rows = articles(90, 4)
+    late = set(range(25, 32)) | {50}
+    triggers = [[r for r in rows[:60] if r[0] not in late], [r for r in rows if r[0] in late or r[0] >= 60]]
+    path, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    kinds = "id long, at long, hi long, lo long"
+    for part in triggers:
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(kinds).parquet(path)
+        query = similarity.run_to_table(similarity.near_fingerprints(stream, masks(), FAR, keep=20 * similarity.DAY, shares=2), out, check)
+        query.awaitTermination()
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * len(masks())
+    want, held = {}, []
+    for i, at, hi, lo in (r for part in triggers for r in part):
+        there = [e for e in held if at - e[1] <= 20 * similarity.DAY]
+        for o, then, h, low in there:
+            far = (hi ^ h).bit_count() + (lo ^ low).bit_count()
+            if far <= FAR:
+                first, last = sorted([(then, o), (at, i)])
+                want[first[1], last[1]] = float(far)
+        if not any((hi, lo) == e[2:] for e in there):
+            held.append((i, at, hi, lo))
+    got = [(r.older, r.newer, r.distance) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted((*k, d) for k, d in want.items()) and any(j in late or i in late for i, j in want)
