@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marlstone.operators.cross_section import PERIODS, WEIGHTS
 from marlstone.plans.dialect import both, run_text
+from marlstone.session import settle
 from marlstone.sources import adapters
 
 #: Days before a day whose bars its rating may use.
@@ -14,6 +17,9 @@ def _periods(template: str, glue: str = ", ") -> str:
     return glue.join(template.format(p=p, k=k - 1, w=f"{WEIGHTS[p]}e0") for p, k in PERIODS.items())
 
 
+BARS = "v AS (SELECT code, name, trade_date, CAST(close AS DOUBLE) AS close FROM every_quote WHERE close > 0)"
+
+
 def daily_ratings(d, lookback: int = LOOKBACK) -> str:
     """CTEs up to rated: the cross-section of each day on which anything was traded.
 
@@ -21,11 +27,20 @@ def daily_ratings(d, lookback: int = LOOKBACK) -> str:
     long as the lookback lets it, so that each (series, day) comes from one bar and no
     day is computed for itself.
     """
-    return f"""v AS (SELECT code, name, trade_date, CAST(close AS DOUBLE) AS close FROM every_quote WHERE close > 0),
+    return f"""{BARS},
 t AS (SELECT DISTINCT trade_date AS day FROM v),
-l AS (SELECT *, {_periods("lag(close, {k}) OVER w AS c_{p}, lag(trade_date, {k}) OVER w AS d_{p}")}, lead(trade_date) OVER w AS later FROM v WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
+{_lagged()},
 x AS (SELECT *, {d.days("trade_date", f"least(coalesce(later - 1, (SELECT max(day) FROM t)), trade_date + {lookback})")} AS day FROM l WHERE c_p3 IS NOT NULL),
-y AS (SELECT x.code, x.name, x.day, x.trade_date, {_periods(f"CASE WHEN d_{{p}} >= x.day - {lookback} THEN CAST(round(CAST((close / c_{{p}} - 1) * 100 AS DECIMAL(20,8)), 2) AS DOUBLE) END AS {{p}}")} FROM x JOIN t ON t.day = x.day WHERE d_p3 >= x.day - {lookback}),
+{_scored(d, lookback)}"""
+
+
+def _lagged() -> str:
+    return f"""l AS (SELECT *, {_periods("lag(close, {k}) OVER w AS c_{p}, lag(trade_date, {k}) OVER w AS d_{p}")}, lead(trade_date) OVER w AS later FROM v WINDOW w AS (PARTITION BY code ORDER BY trade_date))"""
+
+
+def _scored(d, lookback: int) -> str:
+    """From x, the bars that may stand for a day: CTEs up to rated."""
+    return f"""y AS (SELECT x.code, x.name, x.day, x.trade_date, {_periods(f"CASE WHEN d_{{p}} >= x.day - {lookback} THEN CAST(round(CAST((close / c_{{p}} - 1) * 100 AS DECIMAL(20,8)), 2) AS DOUBLE) END AS {{p}}")} FROM x JOIN t ON t.day = x.day WHERE d_p3 >= x.day - {lookback}),
 scored AS (SELECT *, CAST(round(CAST(({_periods("CASE WHEN {p} IS NULL THEN 0e0 ELSE {p} * {w} END", " + ")}) / ({_periods("CASE WHEN {p} IS NULL THEN 0e0 ELSE {w} END", " + ")}) AS DECIMAL(20,8)), 4) AS DOUBLE) AS score FROM y),
 rated AS (SELECT *, CAST(greatest(1, least(99, {d.even("CAST((rank() OVER (PARTITION BY day ORDER BY score) + (count(*) OVER (PARTITION BY day, score) - 1) / 2.0) / count(*) OVER (PARTITION BY day) * 98 + 1 AS DECIMAL(12,6))")})) AS INT) AS rs_rating FROM scored)"""
 
@@ -42,7 +57,11 @@ SELECT rated.code, rated.name, src.day AS trade_date, {_periods("rated.{p}")}, r
 def board(d, day: str = adapters.AS_OF, top: int = 200, least: int = 1, lookback: int = LOOKBACK) -> str:
     """The ratings of ``day``, or of the last day rated before it, from ``least`` on, with that day's close and change: best first, ``top`` of them. Names with a mark are left out."""
     return f"""WITH {daily_ratings(d, lookback)},
-p AS (SELECT max(day) AS day FROM rated WHERE day <= DATE '{day}'),
+{_best(day, top, least)}"""
+
+
+def _best(day: str, top: int, least: int) -> str:
+    return f"""p AS (SELECT max(day) AS day FROM rated WHERE day <= DATE '{day}'),
 q AS (SELECT code, trade_date, close, close - lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS change, lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS before FROM v),
 b AS (SELECT rated.code, rated.name, rated.day AS trade_date, {_periods("rated.{p}")}, rated.score, rated.rs_rating, q.close, round(q.change, 4) AS change, round(q.change / q.before * 100, 4) AS pct_change
   FROM rated JOIN p ON p.day = rated.day LEFT JOIN q ON q.code = rated.code AND q.trade_date = rated.day WHERE rated.name NOT LIKE '%ST%' AND rated.rs_rating >= {least})
@@ -52,6 +71,28 @@ SELECT * FROM b ORDER BY rs_rating DESC, pct_change DESC NULLS LAST, close DESC
 QUERIES, ORACLES = both({"rs_backfill": (backfill, "every_quote"), "rs_board": (board, "every_quote")})
 
 
+def bars_and_days(spark, every_quote):
+    """The bars v and the days of trade t of ``daily_ratings``, each computed once, as the text names them many times."""
+    bars = settle(run_text(spark, lambda d: f"WITH {BARS} SELECT * FROM v", every_quote=every_quote))
+    return {"bars": bars, "days": settle(bars.select(F.col("trade_date").alias("day")).distinct())}
+
+
+def rs_board(spark, sf_dir, day: str = adapters.AS_OF, top: int = 200, least: int = 1, lookback: int = LOOKBACK):
+    """``board``, rating no day but its own: bars stand for spans of days, so the last day rated is the last day of trade in the latest span."""
+    frames = bars_and_days(spark, adapters.every_quote(spark, sf_dir))
+    text = lambda d: f"""WITH v AS (SELECT * FROM bars), t AS (SELECT * FROM days),
+{_lagged()},
+u AS (SELECT *, least(coalesce(later - 1, (SELECT max(day) FROM t)), trade_date + {lookback}, d_p3 + {lookback}) AS until FROM l WHERE c_p3 IS NOT NULL AND trade_date <= DATE '{day}'),
+o AS (SELECT max(day) AS day FROM t WHERE day <= (SELECT max(least(until, DATE '{day}')) FROM u WHERE until >= trade_date)),
+x AS (SELECT u.*, o.day FROM u JOIN o ON u.trade_date <= o.day AND u.until >= o.day),
+{_scored(d, lookback)},
+{_best(day, top, least)}"""
+    return run_text(spark, text, **frames)
+
+
+QUERIES["rs_board"] = rs_board
+
+
 def ratings_between(spark, sf_dir: str, start: str, end: str, lookback: int = LOOKBACK):
     """``rs_backfill`` of these days, from the bars that they can use."""
     from datetime import date, timedelta
