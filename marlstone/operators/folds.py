@@ -119,16 +119,17 @@ def trend_signals(bars: DataFrame) -> DataFrame:
     return _latest_signals(bars.select("code", "trade_date", *signal_columns())).select("code", "t1", "t3", "t4", "volume_ratio")
 
 
-def trend_screen(bars: DataFrame, least_amount: float = 2e7, stale_days: int = 3, least_rows: int = 55) -> DataFrame:
+def trend_screen(bars: DataFrame, least_amount: float = 2e7, stale_days: int = 3, least_rows: int = 55, newest: DataFrame | None = None) -> DataFrame:
     """The five trend rules with the score 0.4 strength + 0.3 momentum + 0.3 volume, null where an index is; one shuffle by series.
 
     ``liquid``, ``fresh`` and ``long_enough`` are the filters before the rules:
-    mean amount of 20 bars, days behind the latest bar of all, number of bars.
+    mean amount of 20 bars, days behind the latest bar of all (``newest``, where these
+    are not all), number of bars.
     """
     steps = F.array_sort(F.collect_list(F.struct("trade_date", "tr", "plus", "minus", "close"))).alias("s")
     last = _latest_signals(moves(bars, *signal_columns()), steps)
     found = last.select("*", rsi_of(F.col("s.close")).alias("rsi"), adx_of(F.filter("s", lambda x: x["tr"].isNotNull())).alias("adx"))
-    newest = bars.agg(F.max("trade_date").alias("newest"))
+    newest = bars.agg(F.max("trade_date").alias("newest")) if newest is None else newest
     part = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     two = lambda c: F.round(c, 2)
     score = 0.4 * F.least(F.lit(1.0), two("adx") / 50) + 0.3 * part((two("rsi") - 50) / 30) + 0.3 * F.least(F.lit(1.0), F.col("volume_ratio") / 3)

@@ -23,22 +23,28 @@ FALL, STEEP, TEMPERED, STEEPLY = -5, -10, 0.6, 0.3
 NO_COMPANY = ["A股", "港股", "美股", "沪深", "创业板", "科创板", "北交所", "利好", "利空", "涨停", "跌停", "大盘", "行情", "机构", "基金", "ETF", "央行", "财政部", "证监会", "交易所", "宏观", "GDP", "CPI", "PMI", "LPR", "MLF"]
 #: Local midnight of the day, in seconds; the given news start then.
 DAY = 1704067200 - 28800
+BARE = "CAST(split_part(code, '.', 1) AS BIGINT)"
 CODE = r"(?i)\b([0-9]{6}\.(?:SZ|SH|BJ))\b"
 
 
-def board(d, day: int = DAY, least: float = LEAST, most: int = MOST) -> str:
-    """Over news (id, title, ai_score, tags, entity, kind, sentiment, published), entities (entity, code), vcp (code, vcp_score), trend (code, trend_score), rating (code, name, rs_rating) and move (code, sum_pct)."""
+def _meant(d, day: int, least: float, most: int) -> str:
+    """CTEs up to m(id, code): the day's news and the codes that they stand for."""
     excluded = ", ".join(map(d.lit, NO_COMPANY))
-    tenth = lambda x: f"CAST(round(CAST({x} AS DECIMAL(20,8)), 1) AS DOUBLE)"
     return f"""WITH h AS (SELECT * FROM news WHERE published >= {day} AND published < {day + 86400} AND ai_score >= {least} ORDER BY ai_score DESC, id LIMIT {most}),
 g AS (SELECT id, trim(tag) AS tag FROM (SELECT id, {d.unnest("tags")} AS tag FROM h) AS u),
 k AS (SELECT id, tag FROM g WHERE length(tag) >= 2 AND tag NOT IN ({excluded}) AND NOT {d.rx("tag", "^[0-9]+$")} AND NOT (length(tag) <= 3 AND {d.rx("tag", "^[ -~]*$")})
   UNION ALL SELECT id, trim(entity) AS tag FROM h WHERE length(trim(entity)) >= 2 AND trim(entity) NOT IN ({excluded})),
-m AS (SELECT DISTINCT id, code FROM (SELECT k.id, e.code FROM k JOIN entities e ON e.entity = k.tag WHERE e.code IS NOT NULL UNION ALL SELECT id, upper({d.one("tag", CODE)}) AS code FROM g WHERE {d.rx("tag", CODE)}) AS u),
+m AS (SELECT DISTINCT id, code FROM (SELECT k.id, e.code FROM k JOIN entities e ON e.entity = k.tag WHERE e.code IS NOT NULL UNION ALL SELECT id, upper({d.one("tag", CODE)}) AS code FROM g WHERE {d.rx("tag", CODE)}) AS u)"""
+
+
+def board(d, day: int = DAY, least: float = LEAST, most: int = MOST) -> str:
+    """Over news (id, title, ai_score, tags, entity, kind, sentiment, published), entities (entity, code), vcp (code, vcp_score), trend (code, trend_score), rating (code, name, rs_rating) and move (code, sum_pct)."""
+    tenth = lambda x: f"CAST(round(CAST({x} AS DECIMAL(20,8)), 1) AS DOUBLE)"
+    return f"""{_meant(d, day, least, most)},
 n AS (SELECT m.code, h.*, row_number() OVER (PARTITION BY m.code ORDER BY h.ai_score DESC, h.id) AS rn FROM m JOIN h ON h.id = m.id),
 t AS (SELECT code, {d.gather("substring(title, 1, 80)", "rn")} AS titles FROM n WHERE rn <= {TITLES} GROUP BY code),
 c AS (SELECT code, {d.gather("kind", "kind")} AS kinds FROM (SELECT DISTINCT code, kind FROM n WHERE kind != '') AS u GROUP BY code),
-a AS (SELECT code, CAST(split_part(code, '.', 1) AS BIGINT) AS bare, count(*) AS news_count, max(ai_score) AS top_score, {tenth("sum(CAST(ai_score AS DECIMAL(8,4))) * 1e0 / count(*)")} AS avg_score, {tenth("sum(CAST(sentiment AS DECIMAL(8,4))) * 1e0 / count(sentiment)")} AS raw FROM n GROUP BY code),
+a AS (SELECT code, {BARE} AS bare, count(*) AS news_count, max(ai_score) AS top_score, {tenth("sum(CAST(ai_score AS DECIMAL(8,4))) * 1e0 / count(*)")} AS avg_score, {tenth("sum(CAST(sentiment AS DECIMAL(8,4))) * 1e0 / count(sentiment)")} AS raw FROM n GROUP BY code),
 j AS (SELECT a.*, v.code IS NOT NULL AS in_vcp, v.vcp_score, w.code IS NOT NULL AS in_trend, w.trend_score, r.rs_rating, CASE WHEN v.code IS NOT NULL OR w.code IS NOT NULL THEN r.name END AS name, p.sum_pct,
   CASE WHEN p.sum_pct <= {STEEP} THEN 'strong_down' WHEN p.sum_pct <= {FALL} THEN 'down' END AS warning
   FROM a LEFT JOIN vcp v ON v.code = a.bare LEFT JOIN trend w ON w.code = a.bare LEFT JOIN rating r ON r.code = a.bare LEFT JOIN move p ON p.code = a.bare),
@@ -57,10 +63,14 @@ def catalyst_board(spark: SparkSession, sf_dir: str, day: int = DAY) -> DataFram
     bars = settle(quotes(spark, sf_dir))  # read once for all that follows
     told = news(spark, sf_dir).withColumns({"entity": F.lit(""), "kind": F.element_at("tags", 3), "sentiment": F.col("ai_score") - 5})
     # A row a series each; settled before they are filtered, as a filter would be pushed into their folds and run them again.
-    funnel = settle(run_text(spark, screening.stage2, quotes=bars).select("code", "vcp_score"))
-    vcp = settle(run_text(spark, screening.vcp, quotes=bars).select("code", "detected")).where("detected").select("code").join(funnel, "code", "left")
-    trend = settle(fold_ops.trend_screen(bars)).where("liquid AND fresh AND long_enough AND t1 AND t2 AND t3 AND t4 AND t5").select("code", F.col("score").alias("trend_score"))
-    frames = {"news": told, "entities": entities(spark, sf_dir), "vcp": vcp, "trend": trend, "rating": cs.rs_rating(bars).select("code", "name", "rs_rating"), "move": cs.price_trend(bars).select("code", "sum_pct")}
+    # Screens and moves are of a series each: only those that the board names are computed. Ratings take all.
+    dictionary = entities(spark, sf_dir)
+    named = run_text(spark, lambda d: f"{_meant(d, day, LEAST, MOST)} SELECT DISTINCT {BARE} AS code FROM m", news=told, entities=dictionary)
+    few = settle(bars.join(F.broadcast(settle(named)), "code", "left_semi"))  # a few codes for each of at most ``MOST`` articles
+    funnel = settle(run_text(spark, screening.stage2, quotes=few).select("code", "vcp_score"))
+    vcp = settle(run_text(spark, screening.vcp, quotes=few).select("code", "detected")).where("detected").select("code").join(funnel, "code", "left")
+    trend = settle(fold_ops.trend_screen(few, newest=bars.agg(F.max("trade_date").alias("newest")))).where("liquid AND fresh AND long_enough AND t1 AND t2 AND t3 AND t4 AND t5").select("code", F.col("score").alias("trend_score"))
+    frames = {"news": told, "entities": dictionary, "vcp": vcp, "trend": trend, "rating": cs.rs_rating(bars).select("code", "name", "rs_rating"), "move": cs.price_trend(few).select("code", "sum_pct")}
     frames |= {n: settle(frames[n]) for n in ("rating", "move")}
     return run_text(spark, lambda d: board(d, day), **frames)
 
