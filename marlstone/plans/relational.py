@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import features as fx
 from marlstone.operators import ledger
-from marlstone.operators.pairs import prefix_candidates, similar_vectors
+from marlstone.operators.pairs import closest_titles, similar_vectors
 from marlstone.plans.dialect import both, spark_query
 from marlstone.plans.news import HOT_NOW
 from marlstone.session import settle
@@ -293,16 +293,9 @@ QUERIES, ORACLES = both(FOUND)
 
 
 def band_join(spark, sf_dir, least: float = 0.5, band: int = 21600):
-    """(newer, older, sim): for each root its most similar title of another source in the six hours before it, by trigrams; only titles that share a rare one are compared."""
-    text = lambda d: f"SELECT id, source, published, related_to_id, {d.shingles('lower(title)', 3)} AS grams, CAST(floor(published / {band}) AS BIGINT) AS slot FROM news WHERE length(title) > 0 AND published > {NOW} - 72 * 3600"
-    titles = settle(spark_query(text, "news")(spark, sf_dir))
-    side = lambda name: titles.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("source", "published", "related_to_id", "grams")))
-    met = prefix_candidates(titles, least).join(side("newer"), "newer").where("newer_related_to_id IS NULL").join(side("older"), "older")
-    met = met.where(f"older_source != newer_source AND older_published < newer_published AND newer_published - older_published < {band}")
-    sized = met.select("newer", "older", F.size(F.array_intersect("older_grams", "newer_grams")).alias("common"), (F.size("older_grams") + F.size("newer_grams")).alias("sizes"))
-    sim = sized.withColumn("sim", F.col("common").cast("double") / (F.col("sizes") - F.col("common"))).where(F.col("sim") > least)
-    best = sim.groupBy("newer").agg(F.max_by(F.struct("older", "sim"), F.struct("sim", -F.col("older"))).alias("best"))
-    return best.select("newer", "best.older", F.round("best.sim", 6).alias("sim"))
+    """(newer, older, sim): for each root its most similar title of another source in the six hours before it, by trigrams."""
+    text = lambda d: f"SELECT id, source, published, related_to_id IS NULL AS root, lower(title) AS t FROM news WHERE length(title) > 0 AND published > {NOW} - 72 * 3600"
+    return closest_titles(settle(spark_query(text, "news")(spark, sf_dir)), least, band).withColumn("sim", F.round("sim", 6))
 
 
 def vector_recall(spark, sf_dir, low: float = LOW, high: float = HIGH, top: int = 3):
