@@ -38,10 +38,13 @@ def _lagged() -> str:
     return f"""l AS (SELECT *, {_periods("lag(close, {k}) OVER w AS c_{p}, lag(trade_date, {k}) OVER w AS d_{p}")}, lead(trade_date) OVER w AS later FROM v WINDOW w AS (PARTITION BY code ORDER BY trade_date))"""
 
 
+SCORE = f"""CAST(round(CAST(({_periods("CASE WHEN {p} IS NULL THEN 0e0 ELSE {p} * {w} END", " + ")}) / ({_periods("CASE WHEN {p} IS NULL THEN 0e0 ELSE {w} END", " + ")}) AS DECIMAL(20,8)), 4) AS DOUBLE) AS score"""
+
+
 def _scored(d, lookback: int) -> str:
     """From x, the bars that may stand for a day: CTEs up to rated."""
     return f"""y AS (SELECT x.code, x.name, x.day, x.trade_date, {_periods(f"CASE WHEN d_{{p}} >= x.day - {lookback} THEN CAST(round(CAST((close / c_{{p}} - 1) * 100 AS DECIMAL(20,8)), 2) AS DOUBLE) END AS {{p}}")} FROM x JOIN t ON t.day = x.day WHERE d_p3 >= x.day - {lookback}),
-scored AS (SELECT *, CAST(round(CAST(({_periods("CASE WHEN {p} IS NULL THEN 0e0 ELSE {p} * {w} END", " + ")}) / ({_periods("CASE WHEN {p} IS NULL THEN 0e0 ELSE {w} END", " + ")}) AS DECIMAL(20,8)), 4) AS DOUBLE) AS score FROM y),
+scored AS (SELECT *, {SCORE} FROM y),
 rated AS (SELECT *, CAST(greatest(1, least(99, {d.even("CAST((rank() OVER (PARTITION BY day ORDER BY score) + (count(*) OVER (PARTITION BY day, score) - 1) / 2.0) / count(*) OVER (PARTITION BY day) * 98 + 1 AS DECIMAL(12,6))")})) AS INT) AS rs_rating FROM scored)"""
 
 
@@ -93,6 +96,46 @@ x AS (SELECT u.*, o.day FROM u JOIN o ON u.trade_date <= o.day AND u.until >= o.
 QUERIES["rs_board"] = rs_board
 
 
+def _spans(lookback: int) -> str:
+    """From l: CTEs up to s, the stretches of days for which a bar stands with the same changes and score, so that these are computed once a bar instead of once a day.
+
+    The longer a period, the older its bar and the sooner it leaves the lookback.
+    """
+    names = sorted(PERIODS, key=PERIODS.get)
+    until = {p: f"least(until, coalesce(d_{p} + {lookback}, trade_date - 1))" for p in names}
+    spans = [f"named_struct('n', {n}, 'start', {f'greatest(trade_date, {until[names[n]]} + 1)' if n < len(names) else 'trade_date'}, 'stop', {until[p]})" for n, p in enumerate(names, 1)]
+    valid = {p: f"CASE WHEN span.n >= {n} THEN CAST(round(CAST((close / c_{p} - 1) * 100 AS DECIMAL(20,8)), 2) AS DOUBLE) END AS {p}" for n, p in enumerate(names, 1)}
+    return f"""u AS (SELECT *, least(coalesce(later - 1, (SELECT max(day) FROM t)), trade_date + {lookback}) AS until FROM l WHERE c_p3 IS NOT NULL),
+o AS (SELECT *, explode(filter(array({", ".join(spans)}), x -> x.start <= x.stop)) AS span FROM u),
+y AS (SELECT code, name, span.start AS start, span.stop AS stop, {", ".join(valid[p] for p in PERIODS)} FROM o),
+s AS (SELECT *, {SCORE} FROM y)"""
+
+
+def every_day(lookback: int = LOOKBACK, start: str | None = None, end: str | None = None) -> str:
+    """``backfill`` over the bars ``every_quote`` and the days of trade ``days``. A day is sorted once: with rows up to and including those of equal score counted, rank and count of equals need no windows of their own, and the rating is rounded in whole numbers, to six digits and then to the even one, as ``even`` does to decimals."""
+    first, last = (f"DATE '{x}'" if x else f"(SELECT {f}(day) FROM t)" for x, f in ((start, "min"), (end, "max")))
+    return f"""WITH {BARS}, t AS (SELECT * FROM days),
+{_lagged()},
+{_spans(lookback)},
+x AS (SELECT code, name, {_periods("{p}")}, score, explode(sequence(start, stop, INTERVAL 1 DAY)) AS day FROM s),
+k AS (SELECT /*+ BROADCAST(t) */ x.* FROM x JOIN t ON t.day = x.day),
+w AS (SELECT *, rank() OVER w AS below, count(*) OVER w AS upto, count(*) OVER (PARTITION BY day ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n FROM k WINDOW w AS (PARTITION BY day ORDER BY score)),
+m AS (SELECT *, (98000000 * (below + upto) + n) DIV (2 * n) + 1000000 AS millionths FROM w),
+rated AS (SELECT *, CAST(greatest(1, least(99, millionths DIV 1000000 + CASE WHEN millionths % 1000000 > 500000 OR millionths % 1000000 = 500000 AND millionths DIV 1000000 % 2 = 1 THEN 1 ELSE 0 END)) AS INT) AS rs_rating FROM m),
+cal AS (SELECT explode(sequence(least({first}, (SELECT min(day) FROM t)), {last}, INTERVAL 1 DAY)) AS day),
+src AS (SELECT cal.day, max(t.day) OVER (ORDER BY cal.day ROWS UNBOUNDED PRECEDING) AS source_day FROM cal LEFT JOIN t ON t.day = cal.day)
+SELECT /*+ BROADCAST(src) */ rated.code, rated.name, src.day AS trade_date, {_periods("rated.{p}")}, rated.score, rated.rs_rating, src.day != src.source_day AS copied FROM src JOIN rated ON rated.day = src.source_day WHERE src.day >= {first}"""
+
+
+def rated_days(spark, every_quote, lookback: int = LOOKBACK, start: str | None = None, end: str | None = None):
+    """``backfill`` of these bars."""
+    days = settle(run_text(spark, lambda d: f"WITH {BARS} SELECT DISTINCT trade_date AS day FROM v", every_quote=every_quote))
+    return run_text(spark, lambda d: every_day(lookback, start, end), every_quote=every_quote, days=days)
+
+
+QUERIES["rs_backfill"] = lambda spark, sf_dir: rated_days(spark, adapters.every_quote(spark, sf_dir))
+
+
 def ratings_between(spark, sf_dir: str, start: str, end: str, lookback: int = LOOKBACK):
     """``rs_backfill`` of these days, from the bars that they can use."""
     from datetime import date, timedelta
