@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marlstone.operators.cross_section import PERIODS, WEIGHTS
@@ -11,6 +13,8 @@ from marlstone.sources import adapters
 
 #: Days before a day whose bars its rating may use.
 LOOKBACK = adapters.DAYS
+#: Days of a block that is rated at once, and what its rows hold of a bar.
+BLOCK, RATED = 4, ["code", "name", *PERIODS, "score"]
 
 
 def _periods(template: str, glue: str = ", ") -> str:
@@ -111,26 +115,48 @@ y AS (SELECT code, name, span.start AS start, span.stop AS stop, {", ".join(vali
 s AS (SELECT *, {SCORE} FROM y)"""
 
 
-def every_day(lookback: int = LOOKBACK, start: str | None = None, end: str | None = None) -> str:
-    """``backfill`` over the bars ``every_quote`` and the days of trade ``days``. A day is sorted once: with rows up to and including those of equal score counted, rank and count of equals need no windows of their own, and the rating is rounded in whole numbers, to six digits and then to the even one, as ``even`` does to decimals."""
-    first, last = (f"DATE '{x}'" if x else f"(SELECT {f}(day) FROM t)" for x, f in ((start, "min"), (end, "max")))
-    return f"""WITH {BARS}, t AS (SELECT * FROM days),
-{_lagged()},
-{_spans(lookback)},
-x AS (SELECT code, name, {_periods("{p}")}, score, explode(sequence(start, stop, INTERVAL 1 DAY)) AS day FROM s),
-k AS (SELECT /*+ BROADCAST(t) */ x.* FROM x JOIN t ON t.day = x.day),
-w AS (SELECT *, rank() OVER w AS below, count(*) OVER w AS upto, count(*) OVER (PARTITION BY day ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n FROM k WINDOW w AS (PARTITION BY day ORDER BY score)),
-m AS (SELECT *, (98000000 * (below + upto) + n) DIV (2 * n) + 1000000 AS millionths FROM w),
-rated AS (SELECT *, CAST(greatest(1, least(99, millionths DIV 1000000 + CASE WHEN millionths % 1000000 > 500000 OR millionths % 1000000 = 500000 AND millionths DIV 1000000 % 2 = 1 THEN 1 ELSE 0 END)) AS INT) AS rs_rating FROM m),
-cal AS (SELECT explode(sequence(least({first}, (SELECT min(day) FROM t)), {last}, INTERVAL 1 DAY)) AS day),
-src AS (SELECT cal.day, max(t.day) OVER (ORDER BY cal.day ROWS UNBOUNDED PRECEDING) AS source_day FROM cal LEFT JOIN t ON t.day = cal.day)
-SELECT /*+ BROADCAST(src) */ rated.code, rated.name, src.day AS trade_date, {_periods("rated.{p}")}, rated.score, rated.rs_rating, src.day != src.source_day AS copied FROM src JOIN rated ON rated.day = src.source_day WHERE src.day >= {first}"""
+def ranked(scores: np.ndarray) -> np.ndarray:
+    """Ratings from 1 to 99 of sorted scores by their mean rank, rounded to six digits and then to the even whole number, as ``even`` does to decimals, in whole numbers."""
+    n = len(scores)
+    twice = np.searchsorted(scores, scores, "left") + 1 + np.searchsorted(scores, scores, "right")
+    millionths = (98_000_000 * twice + n) // (2 * n) + 1_000_000
+    whole, part = millionths // 1_000_000, millionths % 1_000_000
+    return np.clip(whole + ((part > 500_000) | ((part == 500_000) & (whole % 2 == 1))), 1, 99).astype(np.int32)
+
+
+def _days_of_block(block: pa.Table) -> pa.Table:
+    """The rows of each day of trade in a block of days, from the spans (code, name, p3 ..., score, start, stop) that reach into it."""
+    block = block.sort_by("score")
+    number = lambda c: block.column(c).to_numpy()
+    start, stop, score = number("first"), number("last"), number("score")
+    parts = []
+    for day in sorted(block.column("days")[0].as_py()) if len(score) else []:
+        rows = np.flatnonzero((start <= day) & (stop >= day))
+        if len(rows):
+            parts.append(block.select(RATED).take(pa.array(rows)).append_column("day", pa.array(np.full(len(rows), day, np.int32))).append_column("rs_rating", pa.array(ranked(score[rows]))))
+    return pa.concat_tables(parts) if parts else pa.schema([*(block.schema.field(c) for c in RATED), pa.field("day", pa.int32()), pa.field("rs_rating", pa.int32())]).empty_table()
 
 
 def rated_days(spark, every_quote, lookback: int = LOOKBACK, start: str | None = None, end: str | None = None):
-    """``backfill`` of these bars."""
+    """``backfill`` of these bars: spans of days go to the blocks of days that they reach into, whose days of trade are rated by arrays, each day of its own."""
     days = settle(run_text(spark, lambda d: f"WITH {BARS} SELECT DISTINCT trade_date AS day FROM v", every_quote=every_quote))
-    return run_text(spark, lambda d: every_day(lookback, start, end), every_quote=every_quote, days=days)
+    number = "datediff({}, DATE '1970-01-01')".format
+    spans = f"""WITH {BARS}, t AS (SELECT * FROM days),
+{_lagged()},
+{_spans(lookback)},
+k AS (SELECT {", ".join(RATED)}, {number("start")} AS first, {number("stop")} AS last FROM s),
+x AS (SELECT *, explode(sequence(first DIV {BLOCK}, last DIV {BLOCK})) AS block FROM k),
+b AS (SELECT {number("day")} DIV {BLOCK} AS block, collect_list({number("day")}) AS days FROM t GROUP BY 1)
+SELECT /*+ BROADCAST(b) */ x.*, b.days FROM x JOIN b ON b.block = x.block"""
+    met = run_text(spark, lambda d: spans, every_quote=every_quote, days=days)
+    kinds = "code long, name string, " + "".join(f"{p} double, " for p in PERIODS) + "score double, day int, rs_rating int"
+    rated = met.groupBy("block").applyInArrow(_days_of_block, kinds)
+    first, last = (f"DATE '{x}'" if x else f"(SELECT {f}(day) FROM t)" for x, f in ((start, "min"), (end, "max")))
+    text = f"""WITH t AS (SELECT * FROM days),
+cal AS (SELECT explode(sequence(least({first}, (SELECT min(day) FROM t)), {last}, INTERVAL 1 DAY)) AS day),
+src AS (SELECT cal.day, max(t.day) OVER (ORDER BY cal.day ROWS UNBOUNDED PRECEDING) AS source_day FROM cal LEFT JOIN t ON t.day = cal.day)
+SELECT /*+ BROADCAST(src) */ rated.code, rated.name, src.day AS trade_date, {_periods("rated.{p}")}, rated.score, rated.rs_rating, src.day != src.source_day AS copied FROM src JOIN ratings AS rated ON rated.day = {number("src.source_day")} WHERE src.day >= {first}"""
+    return run_text(spark, lambda d: text, days=days, ratings=rated)
 
 
 QUERIES["rs_backfill"] = lambda spark, sf_dir: rated_days(spark, adapters.every_quote(spark, sf_dir))

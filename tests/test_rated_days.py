@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 
 from marlstone.plans import ratings
@@ -25,3 +27,11 @@ def test_spans_give_the_rows_of_days(spark, lookback, start, end):
     got = sorted(map(repr, ratings.rated_days(spark, bars, lookback, start, end).collect()))
     assert got == want
     assert len(want) > 100 and any("copied=True" in r for r in want)
+
+
+def test_mean_ranks_of_equal_scores():
+    assert ratings.ranked(np.array([1.0])).tolist() == [99]
+    assert ratings.ranked(np.array([1.0, 1.0, 2.0])).tolist() == [50, 50, 99]
+    for n in (2, 7, 49, 98, 196):
+        want = [max(1, min(99, int((Decimal(98) * k / n + 1).quantize(Decimal("1e-6"), ROUND_HALF_UP).to_integral_value(ROUND_HALF_EVEN)))) for k in range(1, n + 1)]
+        assert ratings.ranked(np.arange(n, dtype=float)).tolist() == want
