@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import features as fx
 from marlstone.plans.dialect import DuckSql, both, duck_query, run_text
-from marlstone.session import settle
+from marlstone.session import settle, stored
 from marlstone.sources import adapters
 
 #: Least score from which on a root has an event of its own, given a title.
@@ -28,7 +28,7 @@ def last_ancestors(links: DataFrame) -> DataFrame:
     rounds = max(steps.count(), 1).bit_length() + 1
     for _ in range(rounds):
         ahead = steps.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        steps = settle(steps.join(ahead, "root", "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("open")))
+        steps = stored(steps.join(ahead, "root", "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("open")))
         if steps.where("open").isEmpty():
             break
         done = steps.select("id", "root")
